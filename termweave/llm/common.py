@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a task holds as words. A longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
@@ -96,3 +97,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/termweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of text that a chunk of documents has on average: what one task of a chunked operator holds.
+CHUNK_BYTES = 8_000_000
+#: Smaller inputs are dealt over the shuffle partitions as long as a chunk has this much.
+LEAST_CHUNK_BYTES = 250_000
+
+
+def chunked(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """chunk, doc_id (long), text, and the number of chunks, which follows the bytes of text.
+
+    A document's chunk comes from its id and text, so one source or one repeated id doesn't fill a chunk.
+    """
+    picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-total // chunk_bytes), min(partitions, -(-total // LEAST_CHUNK_BYTES)))
+    return picked.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
+
+
+def chunk_rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
+    """Ids and texts of a chunk in the order of id (null first), then text: the same each time a chunk is read."""
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] is not None, texts[i] or b""))
+    return [ids[i] for i in order], [texts[i] or b"" for i in order]
+
+
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Buckets 0..n-1 that ascend with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    if not len(sorted_values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1
+    return np.concatenate(([0], cut)), np.concatenate((cut, [len(sorted_values)]))
+
+
+def in_sorted(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each value is in the ascending array."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(of, values), len(of) - 1)
+    return of[at] == values
+
+
+def unpack(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in table.column(name).to_pylist()]
+
+
+def joined(arrays: list[np.ndarray], dtype) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, dtype)

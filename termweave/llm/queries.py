@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, pii, quality_rules, url_filter
+from . import license_scan, packing, pii, quality_rules, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,22 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("mined", F.array_join("mined", " "))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 20), ' ') AS x FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM w WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM r, range(20) AS g(k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -48,11 +64,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_pii": op6_pii,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
+    "op3_substring_dedup": OP3_SQL,
     "op9_quality_rules": f"SELECT {', '.join(OP9)} FROM ({quality_rules.sql()})",
 }
