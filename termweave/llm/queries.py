@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, ngram_join, packing, pii, quality_rules, substring_dedup, url_filter
+from . import decontamination, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def _remainder(of: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def _judged(df: DataFrame, held_out) -> DataFrame:
+    return df.withColumns({"held_out": F.coalesce(held_out, F.lit(False)), "predicted": (F.col("score") >= 0.3).cast("int")})
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = toxicity.train(docs, labels, _remainder(4) != 2)
+    return _judged(toxicity.score(docs, weights), _remainder(4) == 2).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.train(docs, labels, _remainder(5) != 0)
+    return _judged(quality_classifier.score(docs, model), _remainder(5) == 0).select("doc_id", "held_out", "score", "predicted", "difference")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -79,13 +103,17 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
 }
 
 SQL = {
+    "op4_decontamination": decontamination.sql(),
     "op10_ngram_join": OP10_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op9_quality_rules": f"SELECT {', '.join(OP9)} FROM ({quality_rules.sql()})",
