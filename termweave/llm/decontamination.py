@@ -30,10 +30,17 @@ def _hashed(df: DataFrame, text: str) -> Column:
 
 
 def _seeds(df: DataFrame, keep: list[str], words: str, span: int, masks: tuple[str, ...], at: str) -> DataFrame:
-    """A row for each mask at each position `at` of the array of word hashes: keep, at and seed."""
-    places = df.filter(F.size(words) >= span).select(*keep, F.explode(F.sequence(F.lit(0), F.size(words) - span)).alias(at))
+    """A row for each mask at each position `at` of the array of word hashes: keep, at, seed, and near, the words
+    around: lead words before the seed, the seed and what follows, as many as a comparison may need."""
+    room = OVERLAP - span
+    # The outer form, because Spark would infer a filter from explode() and compute the words or the seeds twice for it.
+    starts = F.when(F.size(words) >= span, F.sequence(F.lit(0), F.size(words) - span))
+    places = df.select(*keep, words, F.explode_outer(starts).alias(at)).filter(F.col(at).isNotNull())
+    lead = F.least(F.col(at), F.lit(room))
     hashes = [F.xxhash64(F.lit(f"{span}:{m}"), *(F.get(words, F.col(at) + i) for i, c in enumerate(m) if c == "1")) for m in masks]
-    return places.select(*keep, at, F.explode(F.array(*hashes)).alias("seed"))
+    # The whole array ends here: a row that a join lets through has the words around alone.
+    places = places.select(*keep, at, lead.alias(f"lead_{at}"), F.slice(words, F.col(at) - lead + 1, lead + span + room).alias(f"near_{at}"), F.array(*hashes).alias("seeds"))
+    return places.select(*keep, at, f"lead_{at}", f"near_{at}", F.explode_outer("seeds").alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_share: int = MIN_SHARE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
@@ -50,26 +57,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
             wanted = classes.filter(F.col("size") >= span if n == span else F.col("size") == n)
             if blocks > 1:
                 wanted = wanted.filter(F.pmod(F.xxhash64("iw"), F.lit(blocks)) == block)
-            seeds = _seeds(wanted, ["item_ids", "iw"], "iw", n, picks, "q")
-            hits = _seeds(d, ["doc_id", "text_key", "dw"], "dw", n, picks, "p").join(F.broadcast(seeds), "seed")
-            part = _verified(hits, n, min_share)
+            seeds = _seeds(wanted, ["item_ids"], "iw", n, picks, "q")
+            hits = _seeds(d, ["doc_id", "text_key"], "dw", n, picks, "p").join(F.broadcast(seeds), "seed")
+            part = _compared(hits)
             found = part if found is None else found.unionByName(part)
-    best = found.groupBy("doc_id", "text_key", "item_ids").agg(F.count("*").alias("n_hits"), F.max("share").alias("share"), F.min("first_word").alias("first_word"))
+    # Judged here and not before: a filter above would become part of the join's condition and end its generated code.
+    good = F.col("share") >= min_share
+    best = found.groupBy("doc_id", "text_key", "item_ids").agg(F.count_if(good).alias("n_hits"), F.max("share").alias("share"), F.min(F.when(good, F.col("first_word"))).alias("first_word")).filter(good)
     return best.select("doc_id", "text_key", F.explode("item_ids").alias("item_id"), "n_hits", "share", "first_word")
 
 
-def _verified(hits: DataFrame, span: int, min_share: int) -> DataFrame:
-    """Hits whose best stretch around the seed agrees in min_share of its words."""
-    room = OVERLAP - span
-    # Words of the item before and after the seed that both texts have.
-    before = F.least(F.col("q"), F.col("p"), F.lit(room))
-    after = F.least(F.size("iw") - F.col("q"), F.size("dw") - F.col("p"), F.lit(span + room))
-    side = hits.select("doc_id", "text_key", "item_ids", (F.col("p") - before).cast("long").alias("first_word"), F.slice("iw", F.col("q") - before + 1, before + after).alias("a"), F.slice("dw", F.col("p") - before + 1, before + after).alias("b"))
+def _compared(hits: DataFrame) -> DataFrame:
+    """The share of words, in hundredths, in which the best stretch around each hit agrees."""
+    # Words before the seed and from it on that both texts have.
+    before = F.least("lead_q", "lead_p")
+    after = F.least(F.size("near_q") - F.col("lead_q"), F.size("near_p") - F.col("lead_p"))
+    part = lambda x: F.slice(f"near_{x}", F.col(f"lead_{x}") - before + 1, before + after)
+    side = hits.select("doc_id", "text_key", "item_ids", (F.col("p") - before).cast("long").alias("first_word"), part("q").alias("a"), part("p").alias("b"))
     side = side.withColumn("same", F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))).drop("a", "b")
     size = F.least(F.size("same"), F.lit(OVERLAP))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - size + 1), lambda s: F.aggregate(F.slice("same", s, size), F.lit(0), lambda x, y: x + y))
     side = side.withColumn("share", (F.floor(F.array_max(sums) * 100 / size)).cast("long"))
-    return side.filter(F.col("share") >= min_share).select("doc_id", "text_key", "item_ids", "share", "first_word")
+    return side.select("doc_id", "text_key", "item_ids", "share", "first_word")
 
 
 def sql(min_share: int = MIN_SHARE) -> str:
