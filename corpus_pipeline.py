@@ -1,7 +1,64 @@
-"""From raw documents to packed training sequences."""
-STAGES = []
+"""From raw documents to packed training sequences: rules, near copies, benchmark leaks, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents, with whatever other columns came along. Null texts are empty: the rules reject them.
+"""
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termweave.llm import decontamination, ngram_join, packing, pii, quality_rules
+from termweave.llm.common import written
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects. The rules read each text in place, so no join follows."""
+    return quality_rules.kept_rows(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest doc_id; of rows with that id, all."""
+    groups = ngram_join.join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaks = decontamination.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "text_key").distinct()
+    # An id may be null, so it is compared as such; the text's key carries the join.
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    same = (keyed["_key"] == leaks["text_key"]) & keyed["doc_id"].eqNullSafe(leaks["doc_id"])
+    return keyed.join(leaks, same, "left_anti").select(docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by its kind; n_chars follows the text."""
+    return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", keep_by_rules),
+    ("ngram_jaccard_join", keep_one_of_near_copies),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+]
+
+#: Ids of a tokenizer have no SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each result written to the shared folder before the next stage reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

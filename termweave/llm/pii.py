@@ -149,6 +149,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return picked.mapInArrow(run, f"doc_id {kind.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, redacted string")
 
 
+def masked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with every span in the text replaced by its kind; the other columns stay."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            clean = [redacted(t, find_spans(t)) for t in column(batch, text)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, a count of each base kind, base_sha256 and spans, from the spans that scan() gives."""
     found = scan(docs)

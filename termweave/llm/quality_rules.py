@@ -55,12 +55,14 @@ def _removed(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, its text (null: empty) and the measures that rules may name."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id, its text (null: empty), the measures that rules may name and, as carried, another column."""
+    also = [docs[carry].alias("carried")] if carry else []
+    df = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.coalesce(docs[text], F.lit("")).alias("t"), *also)
+    own = ["doc_id", "text", *(["carried"] if carry else [])]
     has_word = F.col("t") != ""
     df = df.select(
-        "doc_id", "text",
+        *own,
         F.when(has_word, words_of(F.col("t"))).otherwise(F.array().cast("array<string>")).alias("w"),
         F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
         _removed(F.col("t"), "#*$%&|<>").cast("long").alias("n_symbols"),
@@ -69,7 +71,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
     n = F.size("w")
     df = df.select(
-        "doc_id", "text", "word_chars", "n_symbols", "n_bangs",
+        *own, "word_chars", "n_symbols", "n_bangs",
         n.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -92,14 +94,22 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("places")
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
     """doc_id, text, the measures, base_failed, failed (names of the rules that failed) and kept."""
-    df = measured(docs, doc_id, text)
+    df = measured(docs, doc_id, text, carry)
     base = F.expr(" or ".join(f"({r.fails()})" for r in BASE_RULES))
     failed = F.array_compact(F.array(*(F.when(F.expr(r.fails()), F.lit(r.name)) for r in (*BASE_RULES, *rules))))
     return df.withColumns({"base_failed": base, "failed": failed}).withColumn("kept", F.size("failed") == 0)
 
 
+def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that pass, with all their columns."""
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    judged = apply_rules(whole, rules, carry="row")
+    # A filter on kept would be pushed below every projection, with the measures copied into it again and again.
+    return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("carried"))).alias("row")).filter("row is not null").select("row.*")
+
+
 def sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL for doc_id, text, the contract's measures, base_failed and kept."""
     fails = " or ".join(f"({r.fails()})" for r in (*BASE_RULES, *rules))
