@@ -35,11 +35,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.full(max(n, 1), base % 2**64, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; those of a usual slice are kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, SLICE_BYTES), base % 2**64, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= SLICE_BYTES:
+            _POWERS[base] = known
+    return known[:n]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -7,8 +7,9 @@ n - ceil(share * n) + 1 n-grams of the order; only sets that do are probed again
 
 1. Chunks of documents send these n-grams, once for all their sets, to find those that several sets have. A frequent one
    names the set with the most frequent n-grams as its hub, which is probed against the trees of all chunks that have it.
-2. Sets not yet connected that share such an n-gram are compared by a parity sketch, which never loses a link, and what
-   remains is probed. A group too large for one task is split into blocks, and each two blocks meet once.
+2. For each shared n-gram, a chunk then names its sets with a parity sketch, and of the sets that link with one hub, if
+   they are many, the hub alone. Where sets that are not connected share an n-gram, they are probed: named ones against
+   those that the sketch, which never loses a link, allows, all others against all that share it in the other's chunk.
 
 Links are found between classes of equal sets, so a group of equal or of near copies costs in proportion to its size.
 Null and empty texts have empty sets and link with nothing; fewer words than an n-gram are one n-gram. Rows stay one to
@@ -19,6 +20,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,13 @@ from .components import components
 WORDS = 4
 PERCENT = 85
 #: n-grams whose frequency the global order knows, the most frequent ones of the corpus. The order is only faster for it.
-RANKED = 1 << 18
+RANKED = 1 << 17
 #: From so many sets (or chunks) on, an n-gram has a hub.
 HUB_FROM = 12
-#: Sets of a group that meet in one task.
-BLOCK = 2048
+#: Linked sets of one chunk and hub that an n-gram names one by one; beyond, it names the hub alone.
+LINKED_BY_NAME = 256
+#: Chunks whose shared n-grams meet in one task of the second step.
+CHUNKS_A_BUCKET = 8
 #: Rows of a chunk are numbered below this.
 SPAN = 1 << 32
 
@@ -59,20 +63,26 @@ def signature_size(n: int, percent: int = PERCENT) -> int:
 
 
 class Order:
-    """The global order: n-grams by falling frequency (0 outside the ranked ones), then by hash."""
+    """The global order: n-grams by falling frequency (0 outside the ranked ones), then by hash. hashes ascend."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order].astype(np.uint32)
+        self.hashes, self.counts = hashes, counts
 
     def sort(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The set in order, and the frequencies."""
+        """The ascending set in order, and the frequencies."""
         counts = np.zeros(len(shingles), np.uint32)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
-            counts = np.where(self.hashes[at] == shingles, self.counts[at], np.uint32(0))
-        order = np.lexsort((shingles, ~counts))
-        return shingles[order], counts[order]
+        if not len(self.hashes):
+            return shingles, counts
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        hit = self.hashes[at] == shingles
+        often = np.flatnonzero(hit)
+        if not len(often):
+            return shingles, counts
+        # The others stand by hash already.
+        n, h = self.counts[at[often]], shingles[often]
+        order = np.lexsort((h, ~n))
+        counts[: len(often)] = n[order]
+        return np.concatenate((h[order], shingles[~hit])), counts
 
     def key(self, ordered: np.ndarray, counts: np.ndarray) -> bytes:
         """Bytes that compare as the ordered sets do."""
@@ -150,46 +160,69 @@ class PrefixTree:
         return found
 
 
+def sketch_bits(n: int) -> int:
+    """A power of two from twice the set's size on."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the n-grams in each of a power of two of bits, at least twice as many as n-grams."""
-    size = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    """Parity of the n-grams that fall on each bit."""
+    size = sketch_bits(len(shingles))
     odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The sketch in fewer bits."""
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
-
-
-def near_pairs(groups: np.ndarray, side: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int = PERCENT):
-    """Pairs of rows of one group, in different parts, whose sizes and sketches allow a link. Rows of side 0 meet all, of
-    side 1 (the later block) those of side 0, of side 2 (a block with itself) one another."""
-    order = np.lexsort((sizes, groups))
-    for a, b in zip(*runs(groups[order])):
-        rows = order[a:b]
-        if len(np.unique(parts[rows])) < 2:
-            continue
-        sizes_here = sizes[rows]
-        for i, r in enumerate(rows[:-1]):
-            # A linked set is at most 100 / percent times as large.
-            stop = i + 1 + int(np.searchsorted(sizes_here[i + 1 :], 100 * sizes[r] // percent, side="right"))
-            others = rows[i + 1 : stop]
-            others = others[(parts[others] != parts[r]) & ((side[others] != side[r]) | (side[r] == 2))]
-            if not len(others):
-                continue
-            mine = np.frombuffer(sketches[r], np.uint64)
-            widths = np.array([len(sketches[o]) // 8 for o in others])
-            for width in np.unique(widths):
-                same = others[widths == width]
-                size = min(width, len(mine))
-                them = np.stack([folded(np.frombuffer(sketches[o], np.uint64), size) for o in same])
-                apart = np.bitwise_count(them ^ folded(mine, size)).sum(axis=1)
-                best = (sizes[r] + sizes[same] - apart) // 2
-                for o in same[best >= needed(sizes[r], sizes[same], percent)]:
-                    yield int(r), int(o)
+class Sketched:
+    """Sets that may have to be compared: their places, parts (what they are connected with), sizes and sketches."""
+
+    def __init__(self):
+        self.nodes, self.parts, self.sizes, self.bits = [], [], [], []
+
+    def add(self, node: int, part: int, size: int, bits: bytes) -> int:
+        self.nodes.append(node)
+        self.parts.append(part)
+        self.sizes.append(size)
+        self.bits.append(bits)
+        return len(self.nodes) - 1
+
+    def close(self) -> None:
+        self.parts, self.sizes = np.array(self.parts, np.int64), np.array(self.sizes, np.int64)
+        self.widths = np.array([len(b) // 8 for b in self.bits], np.int64)
+
+    def matrix(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Sketches of one width, folded to a smaller one."""
+        m = np.frombuffer(b"".join(self.bits[i] for i in rows.tolist()), np.uint64).reshape(len(rows), -1)
+        while m.shape[1] > width:
+            m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+        return m
+
+    def pairs(self, rows: np.ndarray, percent: int):
+        """Pairs of different parts that can link: two sets differ in at least as many n-grams as their sketches in bits.
+
+        All but the largest part's sets are held against all sets, so a group that is mostly connected costs little."""
+        parts, count = np.unique(self.parts[rows], return_counts=True)
+        few = rows[self.parts[rows] != parts[count.argmax()]]
+        is_few = np.isin(rows, few)
+        for own in np.unique(self.widths[few]):
+            a = few[self.widths[few] == own]
+            # A linked set is at most as much larger or smaller as the share allows: sketches twice or half as wide.
+            for other in (own // 2, own, own * 2):
+                right_rows = self.widths[rows] == other
+                b, b_few = rows[right_rows], is_few[right_rows]
+                if not len(b):
+                    continue
+                width = int(min(own, other))
+                left, right = self.matrix(a, width), self.matrix(b, width)
+                for at in range(0, len(a), 64):
+                    some = a[at : at + 64]
+                    n, m = self.sizes[some][:, None], self.sizes[b][None, :]
+                    fits = (self.parts[some][:, None] != self.parts[b][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                    fits &= ~b_few[None, :] | (some[:, None] < b[None, :])  # of two that are few, once
+                    x, y = np.nonzero(fits)
+                    apart = np.bitwise_count(left[at + x] ^ right[y]).sum(axis=1, dtype=np.int64)
+                    n, m = self.sizes[some[x]], self.sizes[b[y]]
+                    good = (n + m - apart) // 2 >= needed(n, m, percent)
+                    yield from zip(some[x[good]].tolist(), b[y[good]].tolist())
 
 
 def ranked(docs: DataFrame, k: int, keep: int, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -205,31 +238,38 @@ def ranked(docs: DataFrame, k: int, keep: int, text: str) -> tuple[np.ndarray, n
 
     counts = docs.select(docs[text]).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "h").limit(keep).toArrow()
-    return top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    hashes, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    by = np.argsort(hashes)
+    return hashes[by], np.minimum(n[by], 2**32 - 1).astype(np.uint32)
 
 
 _SENT = "bucket int, chunk int, hashes binary, rows binary, counts binary, scores binary"
-_ASKED = "chunk int, hashes binary, row bigint, target int"
-_SHIPPED = "chunk int, hashes binary, hub bigint, shingles binary"
-_FOUND = "kind int, node bigint, other bigint, doc_id bigint, n bigint, tokens array<bigint>, shingles array<bigint>, sketch binary"
-DOCUMENT, LINK, ACTIVE = 0, 1, 2
-
-
-def _table(columns: dict, types: dict) -> pa.Table:
-    return pa.table({k: pa.array(v, types[k]) for k, v in columns.items()})
+_ASKED = "chunk int, hashes binary, row bigint, target int, wanted binary"
+_SHIPPED = "chunk int, hashes binary, hub bigint, shingles binary, wanted binary"
+_FOUND = "bucket int, chunk int, kind int, node bigint, other bigint, doc_id bigint, n bigint, hashes binary, rows binary, sizes binary, sketches binary, hubs binary"
+_KEPT = "kind int, node bigint, other bigint, doc_id bigint, n bigint"
+DOCUMENT, LINK, NAMED, LINKED = range(4)
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 
 
-_TYPES = {"chunk": pa.int32(), "hashes": pa.binary(), "row": pa.int64(), "target": pa.int32(), "hub": pa.int64(), "shingles": pa.binary()}
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows) if rows else ((),) * len(fields)
+    return pa.table({name: pa.array(list(c), _ARROW[kind]) for (name, kind), c in zip(fields, columns)})
 
 
-def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, hub_from: int = HUB_FROM, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, hub_from: int = HUB_FROM) -> DataFrame:
     """doc_id (long), n_shingles, component_id: the smallest doc_id that links reach from the document."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(ranked(docs, k, RANKED, text))
     rows, n = chunked(docs, doc_id, text, chunk_bytes)
+    buckets = -(-n // CHUNKS_A_BUCKET)
+
+    def tail(s: np.ndarray) -> np.ndarray:
+        return s[-signature_size(len(s), percent) :]
 
     def classes(table: pa.Table):
-        """Ids, the row that each row's set is first seen in (-1: empty), and the ordered sets of these rows by row."""
+        """Ids, the row that each row's set is first seen in (-1: empty), sizes, and these rows' sets in order."""
         ids, texts = chunk_rows(table)
         seen, first, sizes, sets, ordering = {}, np.full(len(texts), -1, np.int64), np.zeros(len(texts), np.int64), {}, Order(*order.value)
         for i, s in shingle_sets(texts, k):
@@ -238,20 +278,37 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
                 sets[i] = ordering.sort(s)
         return ids, first, sizes, sets, ordering
 
+    def links(base: int, sets: dict, ordering: Order, tails: dict[int, np.ndarray], probes) -> list[tuple[int, int]]:
+        """(hub, node) for each probe (hub, its set, the rows to try: None for all) and set of the chunk that link."""
+        names = list(tails)
+        flat = joined([tails[i] for i in names], np.uint64)
+        of = np.repeat(np.array(names, np.int64), [len(tails[i]) for i in names])
+        by = np.argsort(flat, kind="stable")
+        flat, of = flat[by], of[by]
+        wanted = []
+        for hub, s, only in probes:
+            spans = zip(np.searchsorted(flat, tail(s)), np.searchsorted(flat, tail(s), side="right"))
+            near = np.unique(joined([of[a:b] for a, b in spans if b > a], np.int64))
+            near = near if only is None else near[np.isin(near, only)]
+            wanted.append([i for i in near.tolist() if base + i != hub])
+        at = sorted({i for w in wanted for i in w})
+        place = {i: j for j, i in enumerate(at)}
+        tree = PrefixTree([sets[i][0] for i in at], [ordering.key(*sets[i]) for i in at])
+        return [(hub, base + at[j]) for (hub, s, _), w in zip(probes, wanted) for j in tree.probe(s, [place[i] for i in w], percent)]
+
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, _, _, sets, _ = classes(table)
-        tails = [(i, s[-signature_size(len(s), percent) :], float(c.sum()) / len(s)) for i, (s, c) in sets.items()]
+        tails = [(i, tail(s), float(c.sum()) / len(s)) for i, (s, c) in sets.items()]
+        lengths = [len(t) for _, t, _ in tails]
         hashes = joined([t for _, t, _ in tails], np.uint64)
-        row = np.repeat(np.array([i for i, _, _ in tails], np.uint32), [len(t) for _, t, _ in tails])
-        score = np.repeat(np.array([x for _, _, x in tails], np.float32), [len(t) for _, t, _ in tails])
+        row = np.repeat(np.array([i for i, _, _ in tails], np.uint32), lengths)
+        score = np.repeat(np.array([x for _, _, x in tails], np.float32), lengths)
         by = np.lexsort((row, -score, hashes))  # the most central set of each n-gram first
         hashes, row, score = hashes[by], row[by], score[by]
         starts, ends = runs(hashes)
         hashes, row, score, count = hashes[starts], row[starts], score[starts], np.minimum(ends - starts, 255).astype(np.uint8)
         bucket = bucket_of(hashes, n)
-        a, b = runs(bucket)
-        blobs = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(a, b)], pa.binary())
-        return pa.table({"bucket": pa.array(bucket[a], pa.int32()), "chunk": pa.array(np.full(len(a), key[0].as_py()), pa.int32()), "hashes": blobs(hashes), "rows": blobs(row), "counts": blobs(count), "scores": blobs(score)})
+        return _table([(int(bucket[a]), key[0].as_py(), *(x[a:b].tobytes() for x in (hashes, row, count, score))) for a, b in zip(*runs(bucket))], _SENT)
 
     def meet(table: pa.Table) -> pa.Table:
         """To each chunk, its n-grams that other sets have too; to the chunk of a hub, where to send it."""
@@ -263,118 +320,156 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
         starts, ends = runs(hashes[by])
         sums = np.add.reduceat(count[by].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
         several = np.zeros(len(hashes), bool)
+        several[by] = np.repeat(sums > 1, ends - starts)
         asked = set()
-        for a, b, total in zip(starts[sums > 1], ends[sums > 1], sums[sums > 1]):
-            several[by[a:b]] = True
-            if total >= hub_from:
-                hub = by[a]
-                asked.update((int(chunk[hub]), int(row[hub]), int(c)) for c in chunk[by[a:b]])
+        for a, b in zip(starts[sums >= hub_from], ends[sums >= hub_from]):
+            hub = by[a]
+            asked.update((int(chunk[hub]), int(row[hub]), int(c)) for c in chunk[by[a:b]])
         cut = np.cumsum([0, *map(len, parts)])
-        out = [(int(c), p[several[a:b]].tobytes(), None, None) for c, p, a, b in zip(names, parts, cut, cut[1:]) if several[a:b].any()]
-        out += [(c, None, r, t) for c, r, t in sorted(asked)]
-        return _table(dict(zip(("chunk", "hashes", "row", "target"), zip(*out))) if out else dict.fromkeys(("chunk", "hashes", "row", "target"), []), _TYPES)
+        out = [(int(c), p[several[a:b]].tobytes(), None, None, None) for c, p, a, b in zip(names, parts, cut, cut[1:]) if several[a:b].any()]
+        return _table(out + [(c, None, r, t, None) for c, r, t in sorted(asked)], _ASKED)
 
     def ship(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        """Sets that another chunk asked for, by row or (row null, target given) as all with an n-gram; the chunk's own shared n-grams."""
         chunk, ordering = key[0].as_py(), Order(*order.value)
-        asked: dict[int, set[int]] = {}
+        asked: dict[tuple[int, int], set[int] | None] = {}
+        shared: dict[int, set[int]] = {}
         out = []
-        for h, r, t in zip(*(right.column(c).to_pylist() for c in ("hashes", "row", "target"))):
-            if r is None:
-                out.append((chunk, h, None, None))
-            else:
-                asked.setdefault(r, set()).add(t)
-        if asked:
-            texts = chunk_rows(left)[1]
-            at = sorted(asked)
-            for i, s in shingle_sets([texts[r] for r in at], k):
-                blob = ordering.sort(s)[0].tobytes()
-                out += [(t, None, chunk * SPAN + at[i], blob) for t in sorted(asked[at[i]])]
-        return _table(dict(zip(("chunk", "hashes", "hub", "shingles"), zip(*out))) if out else dict.fromkeys(("chunk", "hashes", "hub", "shingles"), []), _TYPES)
+        for h, r, t, w in zip(*(right.column(c).to_pylist() for c in ("hashes", "row", "target", "wanted"))):
+            if t is None:
+                out.append((chunk, h, None, None, None))
+            elif r is None:
+                for x in np.frombuffer(h, np.uint64).tolist():
+                    shared.setdefault(x, set()).add(t)
+            elif w is None:
+                asked[r, t] = None
+            elif asked.get((r, t), ()) is not None:
+                asked.setdefault((r, t), set()).update(np.frombuffer(w, np.uint32).tolist())
+        texts = chunk_rows(left)[1] if asked or shared else []
+        at = range(len(texts)) if shared else sorted({r for r, _ in asked})
+        targets: dict[int, list[int]] = {}
+        for r, t in sorted(asked):
+            targets.setdefault(r, []).append(t)
+        some = np.array(sorted(shared), np.uint64)
+        for i, s in shingle_sets([texts[r] for r in at], k):
+            s, r = ordering.sort(s)[0], at[i]
+            last = tail(s)
+            extra = {t for h in last[in_sorted(last, some)].tolist() for t in shared[h]}
+            for t in extra | set(targets.get(r, ())):
+                rows_there = None if t in extra else asked[r, t]
+                out.append((t, None, chunk * SPAN + r, s.tobytes(), None if rows_there is None else np.array(sorted(rows_there), np.uint32).tobytes()))
+        return _table(out, _SHIPPED)
+
+    def probes_of(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray | None]]:
+        found = zip(*(table.column(c).to_pylist() for c in ("hub", "shingles", "wanted")))
+        return [(h, np.frombuffer(s, np.uint64), None if w is None else np.frombuffer(w, np.uint32)) for h, s, w in found if h is not None]
 
     def verify(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        base = key[0].as_py() * SPAN
+        chunk = key[0].as_py()
+        base = chunk * SPAN
         ids, first, sizes, sets, ordering = classes(left)
-        hashes = right.column("hashes").to_pylist()
-        known = np.unique(joined([np.frombuffer(h, np.uint64) for h in hashes if h is not None], np.uint64))
-        tokens = {}
-        for i, (s, _) in sets.items():
-            tail = s[-signature_size(len(s), percent) :]
-            if len(tail := tail[in_sorted(tail, known)]):
-                tokens[i] = tail
-        out = [(DOCUMENT, base + i, base + int(first[i]) if first[i] >= 0 else None, ids[i], int(sizes[i]), None, None, None) for i in range(len(ids))]
-        active = list(tokens)
-        out += [(ACTIVE, base + i, None, None, len(sets[i][0]), tokens[i].view(np.int64), sets[i][0].view(np.int64), sketch(sets[i][0])) for i in active]
-        hubs = {h: np.frombuffer(s, np.uint64) for h, s in zip(right.column("hub").to_pylist(), right.column("shingles").to_pylist()) if h is not None}
-        if hubs and active:
-            tree = PrefixTree([sets[i][0] for i in active], [ordering.key(*sets[i]) for i in active])
-            flat = joined([tokens[i] for i in active], np.uint64)
-            of = np.repeat(np.arange(len(active)), [len(tokens[i]) for i in active])
-            by = np.argsort(flat, kind="stable")
-            flat, of = flat[by], of[by]
-            for hub, s in hubs.items():
-                tail = s[-signature_size(len(s), percent) :]
-                spans = zip(np.searchsorted(flat, tail), np.searchsorted(flat, tail, side="right"))
-                wanted = np.unique(joined([of[a:b] for a, b in spans if b > a], np.int64)).tolist()
-                out += [(LINK, hub, base + active[i], None, None, None, None, None) for i in tree.probe(s, wanted, percent) if base + active[i] != hub]
-        columns = list(zip(*out)) if out else [()] * 8
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("kind", "node", "other", "doc_id", "n", "tokens", "shingles", "sketch"), columns, types)})
+        known = np.unique(joined([np.frombuffer(h, np.uint64) for h in right.column("hashes").to_pylist() if h is not None], np.uint64))
+        tails = {i: t for i, (s, _) in sets.items() if len(t := (x := tail(s))[in_sorted(x, known)])}
+        none = (None,) * 5
+        out = [(chunk % buckets, chunk, DOCUMENT, base + i, base + int(first[i]) if first[i] >= 0 else None, ids[i], int(sizes[i]), *none) for i in range(len(ids))]
+        pairs = links(base, sets, ordering, tails, probes_of(right))
+        out += [(chunk % buckets, chunk, LINK, a, b, None, None, *none) for a, b in pairs]
+        hub_of = {hub: hub for hub, _, _ in probes_of(right) if hub // SPAN == chunk}
+        for hub, node in pairs:
+            for x in (node, hub):
+                hub_of[x] = min(hub, hub_of.get(x, hub))
+        hashes = joined(list(tails.values()), np.uint64)
+        row = np.repeat(np.array(list(tails), np.int64), [len(t) for t in tails.values()])
+        hub = np.array([hub_of.get(base + i, -1) for i in tails], np.int64).repeat([len(t) for t in tails.values()])
+        by = np.lexsort((row, hub, hashes))
+        hashes, row, hub = hashes[by], row[by], hub[by]
+        # Sets that link with one hub are named one by one up to a number.
+        start = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (hub[1:] != hub[:-1]))) if len(hashes) else np.zeros(0, bool))
+        count = np.diff(np.append(start, len(hashes)))
+        many = np.repeat((count > LINKED_BY_NAME) & (hub[start] >= 0), count)
+        bits = {i: sketch(sets[i][0]) for i in np.unique(row[~many]).tolist()}
+        bucket = bucket_of(hashes, buckets)
+        for a, b in zip(*runs(bucket)):
+            h, r = hashes[a:b][~many[a:b]], row[a:b][~many[a:b]]
+            once = np.unique(r).tolist()
+            if once:
+                about = np.array([(i, len(sets[i][0]), hub_of.get(base + i, -1)) for i in once], np.int64).tobytes()
+                out.append((int(bucket[a]), chunk, NAMED, None, None, None, None, h.tobytes(), r.astype(np.uint32).tobytes(), about, b"".join(bits[i] for i in once), None))
+            if many[a:b].any():
+                both = np.unique(np.stack([hashes[a:b][many[a:b]], hub[a:b][many[a:b]].astype(np.uint64)], axis=1), axis=0)
+                out.append((int(bucket[a]), chunk, LINKED, None, None, None, None, both[:, 0].tobytes(), None, None, None, both[:, 1].astype(np.int64).tobytes()))
+        return _table(out, _FOUND)
+
+    def compare(table: pa.Table) -> pa.Table:
+        """Which sets have to be probed where, so that all that share an n-gram are connected or compared."""
+        known, flat, of = Sketched(), [], []
+        where: dict[int, list[tuple[int, int]]] = {}
+        for chunk, kind, h, r, about, sk, hubs in zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "hashes", "rows", "sizes", "sketches", "hubs"))):
+            if kind == NAMED:
+                at, place = 0, {}
+                for i, size, hub in np.frombuffer(about, np.int64).reshape(-1, 3).tolist():
+                    width, node = sketch_bits(size) // 8, chunk * SPAN + i
+                    place[i] = known.add(node, hub if hub >= 0 else node, size, sk[at : at + width])
+                    at += width
+                flat.append(np.frombuffer(h, np.uint64))
+                of.append(np.array([place[i] for i in np.frombuffer(r, np.uint32).tolist()], np.int64))
+            elif kind == LINKED:
+                for x, hub in zip(np.frombuffer(h, np.uint64).tolist(), np.frombuffer(hubs, np.int64).tolist()):
+                    where.setdefault(x, []).append((hub, chunk))
+        known.close()
+        flat, of = joined(flat, np.uint64), joined(of, np.int64)
+        by = np.lexsort((of, flat))
+        flat, of = flat[by], of[by]
+        asked: dict[tuple[int, int], set[int] | None] = {}
+        whole: dict[tuple[int, int], set[int]] = {}
+        seen = set()
+        starts, ends = runs(flat)
+        parts = known.parts[of]
+        mixed = np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts) if len(starts) else np.zeros(0, bool)
+        for x, a, b, differ in zip(flat[starts].tolist(), starts, ends, mixed):
+            group = of[a:b]
+            for hub, chunk in where.get(x, ()):
+                asked.update(dict.fromkeys(((known.nodes[i], chunk) for i in group.tolist() if known.parts[i] != hub), None))
+            if not differ or (name := group.tobytes()) in seen:
+                continue
+            seen.add(name)
+            for i, j in known.pairs(group, percent):
+                to = known.nodes[i], known.nodes[j] // SPAN
+                if asked.get(to, ()) is not None:
+                    asked.setdefault(to, set()).add(known.nodes[j] % SPAN)
+        for h, places in where.items():
+            hubs = sorted({hub for hub, _ in places})
+            for hub, chunk in places:
+                whole_to = {c for other, c in places if other > hub}
+                if len(hubs) > 1 and whole_to:
+                    for c in whole_to:
+                        whole.setdefault((chunk, c), set()).add(h)
+        out = [(a // SPAN, None, a % SPAN, c, None if w is None else np.array(sorted(w), np.uint32).tobytes()) for (a, c), w in asked.items()]
+        out += [(chunk, np.array(sorted(hs), np.uint64).tobytes(), None, c, None) for (chunk, c), hs in whole.items()]
+        return _table(out, _ASKED)
+
+    def probe(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        base, probes = key[0].as_py() * SPAN, probes_of(right)
+        found = []
+        if probes:
+            texts, ordering = chunk_rows(left)[1], Order(*order.value)
+            at = range(len(texts)) if any(w is None for _, _, w in probes) else sorted({int(i) for _, _, w in probes for i in w})
+            sets = {at[i]: ordering.sort(s) for i, s in shingle_sets([texts[r] for r in at], k)}
+            found = links(base, sets, ordering, {i: tail(s) for i, (s, _) in sets.items()}, probes)
+        return _table([(LINK, a, b, None, None) for a, b in found], _KEPT)
+
+    def passed(table: pa.Table) -> pa.Table:
+        return table.filter(pc.field("kind") <= LINK).select(["kind", "node", "other", "doc_id", "n"])
 
     by_chunk = rows.groupBy("chunk")
     asked = by_chunk.applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _ASKED)
     shipped = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(ship, _SHIPPED)
-    found = written(by_chunk.cogroup(shipped.groupBy("chunk")).applyInArrow(verify, _FOUND), "ngram-sets")
-    active = found.filter(F.col("kind") == ACTIVE)
-    links = found.filter(F.col("kind") == LINK).select("node", "other")
-    parts = components(links)
-    links = links.unionByName(_remaining(active, parts, percent, block))
-    whole = components(written(links, "ngram-links"))
-    own = found.filter(F.col("kind") == DOCUMENT).select("node", "doc_id", "n", F.coalesce("other", "node").alias("class"))
+    found = by_chunk.cogroup(shipped.groupBy("chunk")).applyInArrow(verify, _FOUND).groupBy("bucket")
+    more = by_chunk.cogroup(found.applyInArrow(compare, _ASKED).groupBy("chunk")).applyInArrow(ship, _SHIPPED)
+    more = by_chunk.cogroup(more.groupBy("chunk")).applyInArrow(probe, _KEPT)
+    kept = written(found.applyInArrow(passed, _KEPT).unionByName(more), "ngram-links")
+    whole = components(kept.filter(F.col("kind") == LINK))
+    own = kept.filter(F.col("kind") == DOCUMENT).select("doc_id", "n", F.coalesce("other", "node").alias("class"))
     placed = own.join(whole.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root").select("doc_id", "n_shingles", "component_id")
-
-
-def _remaining(active: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between sets that share one of their last n-grams and are not connected yet."""
-    sets = active.select("node", "n", "tokens", "sketch").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    entries = sets.select("node", "part", F.explode("tokens").alias("h"))
-    open_ = entries.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members")).filter("low <> high").select("h", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    entries = sets.select("node", "part", "n", "sketch", F.explode("tokens").alias("h")).join(open_, "h")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # Block i meets block j in the group of (i, j): each set goes to as many groups as there are blocks.
-    entries = entries.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("mine", "with"), F.greatest("mine", "with")
-    side = F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1)
-    entries = entries.select(F.xxhash64("h", low, high).alias("group"), side.alias("side"), "node", "part", "n", "sketch")
-
-    def compare(table: pa.Table) -> pa.Table:
-        column = lambda c: table.column(c).to_numpy()
-        nodes = column("node")
-        pairs = {(int(min(nodes[a], nodes[b])), int(max(nodes[a], nodes[b]))) for a, b in near_pairs(column("group"), column("side"), column("part"), column("n"), table.column("sketch").to_pylist(), percent)}
-        return pa.table({"node": pa.array([a for a, _ in pairs], pa.int64()), "other": pa.array([b for _, b in pairs], pa.int64())})
-
-    spread = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    pairs = entries.groupBy(F.pmod("group", F.lit(spread))).applyInArrow(compare, "node bigint, other bigint").distinct()
-    shingles = active.select("node", "shingles")
-    others = pairs.join(shingles.withColumnRenamed("node", "other"), "other")
-    tasks = F.pmod(F.xxhash64("node"), F.lit(spread))
-
-    def probe(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            probes = {a: np.array(s, np.int64).view(np.uint64) for a, s in zip(left.column("node").to_pylist(), left.column("shingles").to_pylist())}
-            wanted, rows, sets = {}, {}, []
-            for a, b, s in zip(*(right.column(c).to_pylist() for c in ("node", "other", "shingles"))):
-                if b not in rows:
-                    rows[b] = len(sets)
-                    sets.append(np.array(s, np.int64).view(np.uint64))
-                wanted.setdefault(a, {})[rows[b]] = b
-            # The sets are in the global order already; equal beginnings are neighbours by their bytes.
-            tree = PrefixTree(sets, [s.astype(">u8").tobytes() for s in sets])
-            for a, of in wanted.items():
-                out += [(a, of[i]) for i in tree.probe(probes[a], list(of), percent)]
-        return pa.table({"node": pa.array([a for a, _ in out], pa.int64()), "other": pa.array([b for _, b in out], pa.int64())})
-
-    probing = shingles.join(pairs.select("node").distinct(), "node", "left_semi")
-    return probing.groupBy(tasks.alias("t")).cogroup(others.groupBy(tasks.alias("t"))).applyInArrow(probe, "node bigint, other bigint")

@@ -41,7 +41,7 @@ RULES = (
     Rule("word_length_high", "word_chars - 12 * n_words", high=0),
     Rule("symbols", "10 * n_symbols - 3 * n_words", high=0),
     Rule("exclamations", "10 * n_bangs - 3 * n_words", high=0),
-    Rule("stop_words", "n_stop_words", low=2),
+    Rule("stop_words", "n_stop_words", low=1),
     Rule("repeated_lines", "10 * n_dup_lines - 5 * n_lines", high=0),
 )
 SPACE = " \t\n\x0b\x0c\r"
