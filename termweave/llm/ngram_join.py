@@ -10,6 +10,8 @@ n - ceil(share * n) + 1 n-grams of the order; only sets that do are probed again
 2. For each shared n-gram, a chunk then names its sets with a parity sketch, and of the sets that link with one hub, if
    they are many, the hub alone. Where sets that are not connected share an n-gram, they are probed: named ones against
    those that the sketch, which never loses a link, allows, all others against all that share it in the other's chunk.
+3. Of many candidates that are connected with each other, the nearest are probed first, and the rest only if no link is
+   found.
 
 Links are found between classes of equal sets, so a group of equal or of near copies costs in proportion to its size.
 Null and empty texts have empty sets and link with nothing; fewer words than an n-gram are one n-gram. Rows stay one to
@@ -35,6 +37,8 @@ RANKED = 1 << 17
 HUB_FROM = 12
 #: Linked sets of one chunk and hub that an n-gram names one by one; beyond, it names the hub alone.
 LINKED_BY_NAME = 256
+#: Sets of one part that a set is probed against at first: those that the sketch finds nearest.
+NEAREST = 6
 #: Chunks whose shared n-grams meet in one task of the second step.
 CHUNKS_A_BUCKET = 8
 #: Rows of a chunk are numbered below this.
@@ -197,7 +201,7 @@ class Sketched:
         return m
 
     def pairs(self, rows: np.ndarray, percent: int):
-        """Pairs of different parts that can link: two sets differ in at least as many n-grams as their sketches in bits.
+        """Pairs of different parts that can link, and how far apart they are at least: two sets differ in at least as many n-grams as their sketches in bits.
 
         All but the largest part's sets are held against all sets, so a group that is mostly connected costs little."""
         parts, count = np.unique(self.parts[rows], return_counts=True)
@@ -222,7 +226,7 @@ class Sketched:
                     apart = np.bitwise_count(left[at + x] ^ right[y]).sum(axis=1, dtype=np.int64)
                     n, m = self.sizes[some[x]], self.sizes[b[y]]
                     good = (n + m - apart) // 2 >= needed(n, m, percent)
-                    yield from zip(some[x[good]].tolist(), b[y[good]].tolist())
+                    yield some[x[good]], b[y[good]], (apart / (n + m))[good]
 
 
 def ranked(docs: DataFrame, k: int, keep: int, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -245,10 +249,10 @@ def ranked(docs: DataFrame, k: int, keep: int, text: str) -> tuple[np.ndarray, n
 
 _SENT = "bucket int, chunk int, hashes binary, rows binary, counts binary, scores binary"
 _ASKED = "chunk int, hashes binary, row bigint, target int, wanted binary"
-_SHIPPED = "chunk int, hashes binary, hub bigint, shingles binary, wanted binary"
+_SHIPPED = "chunk int, hashes binary, hub bigint, shingles binary, wanted binary, later int"
 _FOUND = "bucket int, chunk int, kind int, node bigint, other bigint, doc_id bigint, n bigint, hashes binary, rows binary, sizes binary, sketches binary, hubs binary"
-_KEPT = "kind int, node bigint, other bigint, doc_id bigint, n bigint"
-DOCUMENT, LINK, NAMED, LINKED = range(4)
+_KEPT = "kind int, node bigint, other bigint, doc_id bigint, n bigint, more binary"
+DOCUMENT, LINK, NAMED, LINKED, LATER = range(5)
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 
 
@@ -337,7 +341,9 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
         out = []
         for h, r, t, w in zip(*(right.column(c).to_pylist() for c in ("hashes", "row", "target", "wanted"))):
             if t is None:
-                out.append((chunk, h, None, None, None))
+                out.append((chunk, h, None, None, None, 0))
+            elif t < 0:
+                out.append((chunk, None, r, h, w, 1))
             elif r is None:
                 for x in np.frombuffer(h, np.uint64).tolist():
                     shared.setdefault(x, set()).add(t)
@@ -357,12 +363,12 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
             extra = {t for h in last[in_sorted(last, some)].tolist() for t in shared[h]}
             for t in extra | set(targets.get(r, ())):
                 rows_there = None if t in extra else asked[r, t]
-                out.append((t, None, chunk * SPAN + r, s.tobytes(), None if rows_there is None else np.array(sorted(rows_there), np.uint32).tobytes()))
+                out.append((t, None, chunk * SPAN + r, s.tobytes(), None if rows_there is None else np.array(sorted(rows_there), np.uint32).tobytes(), 0))
         return _table(out, _SHIPPED)
 
     def probes_of(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray | None]]:
-        found = zip(*(table.column(c).to_pylist() for c in ("hub", "shingles", "wanted")))
-        return [(h, np.frombuffer(s, np.uint64), None if w is None else np.frombuffer(w, np.uint32)) for h, s, w in found if h is not None]
+        found = zip(*(table.column(c).to_pylist() for c in ("hub", "shingles", "wanted", "later")))
+        return [(h, np.frombuffer(s, np.uint64), None if w is None else np.frombuffer(w, np.uint32)) for h, s, w, x in found if h is not None and not x]
 
     def verify(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
@@ -422,7 +428,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
         flat, of = flat[by], of[by]
         asked: dict[tuple[int, int], set[int] | None] = {}
         whole: dict[tuple[int, int], set[int]] = {}
-        seen = set()
+        seen, near = set(), []
         starts, ends = runs(flat)
         parts = known.parts[of]
         mixed = np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts) if len(starts) else np.zeros(0, bool)
@@ -433,10 +439,24 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
             if not differ or (name := group.tobytes()) in seen:
                 continue
             seen.add(name)
-            for i, j in known.pairs(group, percent):
-                to = known.nodes[i], known.nodes[j] // SPAN
+            near += known.pairs(group, percent)
+        left, right, apart = (np.concatenate([x[k] for x in near]) if near else np.zeros(0, np.int64) for k in range(3))
+        _, once = np.unique(left * max(1, len(known.nodes)) + right, return_index=True)
+        left, right, apart = left[once], right[once], apart[once]
+        by = np.lexsort((right, apart, known.parts[right], left)) if len(left) else once
+        left, right = left[by], right[by]
+        first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (known.parts[right[1:]] != known.parts[right[:-1]])))) if len(left) else once
+        # The nearest of each part are probed; the others only if that leaves the two unconnected.
+        later = []
+        for a, b in zip(first, np.append(first[1:], len(left))):
+            node = known.nodes[left[a]]
+            for j in right[a : min(b, a + NEAREST)].tolist():
+                to = node, known.nodes[j] // SPAN
                 if asked.get(to, ()) is not None:
                     asked.setdefault(to, set()).add(known.nodes[j] % SPAN)
+            if b > a + NEAREST:
+                others = np.array([known.nodes[j] for j in right[a + NEAREST : b].tolist()], np.int64)
+                later.append((node // SPAN, np.array([known.parts[right[a]]], np.int64).tobytes(), node, -1, others.tobytes()))
         for h, places in where.items():
             hubs = sorted({hub for hub, _ in places})
             for hub, chunk in places:
@@ -446,7 +466,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
                         whole.setdefault((chunk, c), set()).add(h)
         out = [(a // SPAN, None, a % SPAN, c, None if w is None else np.array(sorted(w), np.uint32).tobytes()) for (a, c), w in asked.items()]
         out += [(chunk, np.array(sorted(hs), np.uint64).tobytes(), None, c, None) for (chunk, c), hs in whole.items()]
-        return _table(out, _ASKED)
+        return _table(out + later, _ASKED)
 
     def probe(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         base, probes = key[0].as_py() * SPAN, probes_of(right)
@@ -456,10 +476,19 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
             at = range(len(texts)) if any(w is None for _, _, w in probes) else sorted({int(i) for _, _, w in probes for i in w})
             sets = {at[i]: ordering.sort(s) for i, s in shingle_sets([texts[r] for r in at], k)}
             found = links(base, sets, ordering, {i: tail(s) for i, (s, _) in sets.items()}, probes)
-        return _table([(LINK, a, b, None, None) for a, b in found], _KEPT)
+        later = [(LATER, h, int(np.frombuffer(s, np.int64)[0]), None, None, w) for h, s, w, x in zip(*(right.column(c).to_pylist() for c in ("hub", "shingles", "wanted", "later"))) if x]
+        return _table([(LINK, a, b, None, None, None) for a, b in found] + later, _KEPT)
 
     def passed(table: pa.Table) -> pa.Table:
-        return table.filter(pc.field("kind") <= LINK).select(["kind", "node", "other", "doc_id", "n"])
+        kept = table.filter(pc.field("kind") <= LINK).select(["kind", "node", "other", "doc_id", "n"])
+        return kept.append_column("more", pa.nulls(kept.num_rows, pa.binary()))
+
+    def asked_later(table: pa.Table) -> pa.Table:
+        out: dict[tuple[int, int], set[int]] = {}
+        for node, more in zip(table.column("node").to_pylist(), table.column("more").to_pylist()):
+            for other in np.frombuffer(more, np.int64).tolist():
+                out.setdefault((node, other // SPAN), set()).add(other % SPAN)
+        return _table([(a // SPAN, None, a % SPAN, c, np.array(sorted(w), np.uint32).tobytes()) for (a, c), w in out.items()], _ASKED)
 
     by_chunk = rows.groupBy("chunk")
     asked = by_chunk.applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _ASKED)
@@ -468,7 +497,17 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
     more = by_chunk.cogroup(found.applyInArrow(compare, _ASKED).groupBy("chunk")).applyInArrow(ship, _SHIPPED)
     more = by_chunk.cogroup(more.groupBy("chunk")).applyInArrow(probe, _KEPT)
     kept = written(found.applyInArrow(passed, _KEPT).unionByName(more), "ngram-links")
-    whole = components(kept.filter(F.col("kind") == LINK))
+    links_found = kept.filter(F.col("kind") == LINK).select("node", "other")
+    whole = components(links_found)
+    # What was put off is still needed where the two are in different components.
+    late = kept.filter(F.col("kind") == LATER).join(whole.withColumnRenamed("component", "a"), "node", "left")
+    late = late.join(whole.select(F.col("node").alias("other"), F.col("component").alias("b")), "other", "left").filter(F.coalesce("a", "node") != F.coalesce("b", "other"))
+    late = written(late.select("node", "more"), "ngram-later")
+    if not late.isEmpty():
+        again = late.groupBy(F.pmod(F.xxhash64("node"), F.lit(n)).alias("k")).applyInArrow(asked_later, _ASKED)
+        again = by_chunk.cogroup(again.groupBy("chunk")).applyInArrow(ship, _SHIPPED)
+        again = by_chunk.cogroup(again.groupBy("chunk")).applyInArrow(probe, _KEPT).select("node", "other")
+        whole = components(written(links_found.unionByName(again), "ngram-links"))
     own = kept.filter(F.col("kind") == DOCUMENT).select("doc_id", "n", F.coalesce("other", "node").alias("class"))
     placed = own.join(whole.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
