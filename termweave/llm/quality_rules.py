@@ -91,7 +91,10 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
         lambda a, p: F.struct((p + WINDOW).alias("end"), (a["covered"] + WINDOW - F.greatest(F.lit(0), a["end"] - p)).alias("covered")),
         lambda a: a["covered"],
     )
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("places")
+    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("places")
+    # The outer form of a generator of one row: a filter on a measure stays above it. Below, Spark would copy all that a
+    # measure is made from into the filter, again and again, until the plan has no end.
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
@@ -106,8 +109,7 @@ def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "d
     """The rows of docs that pass, with all their columns."""
     whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     judged = apply_rules(whole, rules, carry="row")
-    # A filter on kept would be pushed below every projection, with the measures copied into it again and again.
-    return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("carried"))).alias("row")).filter("row is not null").select("row.*")
+    return judged.filter("kept").select("carried.*")
 
 
 def sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
