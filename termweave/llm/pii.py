@@ -4,9 +4,10 @@ A null text is an empty one. Spans are code points, end exclusive, in the order
 step is linear in the text, whatever the text holds. Rows stay one to one, also for repeated or null doc_id.
 """
 
-import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,9 +111,11 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         score = min(1.0, SCORES[kind] + RAISE * any(w in before for w in CONTEXT[kind]))
         if kind in BASE or score >= THRESHOLD:
             found.append((kind, start, end, score))
-    taken = [x for x in found if x[0] in BASE]
-    # A span of another kind inside one that is already reported adds nothing.
-    found = [x for x in found if x[0] in BASE or not any(a <= x[1] and x[2] <= b for _, a, b, _ in taken)] if len(taken) < 50 else found
+    taken = sorted((x[1], x[2]) for x in found if x[0] in BASE)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    # A span of another kind inside one that is already reported adds nothing. A span that starts no later and ends no
+    # earlier holds it, so the farthest end so far tells.
+    found = [x for x in found if x[0] in BASE or not (i := bisect_right(starts, x[1])) or reach[i - 1] < x[2]]
     return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
