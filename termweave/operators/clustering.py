@@ -1,6 +1,7 @@
 """Clusters of vectors. A substitute, not the reference method: components of the graph of similar pairs."""
 
 from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,15 @@ def bisecting(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "em
     return BisectingKMeans(k=k, seed=seed).fit(df).transform(df).select(key, F.col("prediction").alias("cluster"))
 
 
+def silhouette(vectors: DataFrame, clusters: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """One row with the mean silhouette (squared Euclidean distance) over members that are not noise; null below two clusters."""
+    c = clusters.filter("cluster >= 0").select(key, F.col("cluster").cast("double").alias("prediction"))
+    df = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).join(c, key)
+    many = df.select("prediction").distinct().limit(2).count() > 1
+    value = ClusteringEvaluator().evaluate(df) if many else None
+    return vectors.sparkSession.createDataFrame([(value,)], "silhouette double")
+
+
 def groups(clusters: DataFrame, key: str, sample: int = 10) -> DataFrame:
     """Size and first members of each cluster, for its name; noise last."""
     return clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(key)), 1, sample).alias("members"))

@@ -6,6 +6,9 @@ An upsert gives the whole new table; the caller writes it. Keys are collection_n
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import key_phrases
+from .retrieval import top_k
+
 KEY = ["collection_name", "term"]
 
 
@@ -43,6 +46,48 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("r")).select(*key, "r.*")
 
 
+def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Chunks by chunk_id; those of new replace old ones whole."""
+    return _merged(old, new, {}, ["chunk_id"])
+
+
+def deleted(chunks: DataFrame, **where: str) -> tuple[DataFrame, DataFrame]:
+    """(the table without the rows that have these values, how many documents and chunks go). No value fits null."""
+    hit = F.lit(True)
+    for column, value in where.items():
+        hit = hit & F.col(column).eqNullSafe(F.lit(value))
+    return chunks.filter(~hit), chunks.filter(hit).agg(F.countDistinct("document_id").alias("n_documents"), F.count("*").alias("n_chunks"))
+
+
+def collections(chunks: DataFrame) -> DataFrame:
+    """S17."""
+    return chunks.select("collection_name").distinct()
+
+
+def document_texts(chunks: DataFrame) -> DataFrame:
+    """The chunks of each document in order, with an empty line between; order: ordinal, then text. Null texts go."""
+    parts = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
+    return chunks.filter("text is not null").groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def described(table: DataFrame) -> DataFrame:
+    """Terms with a definition, as "term: definition"."""
+    return table.filter("definition is not null and definition <> ''").select("collection_name", "term", F.concat_ws(": ", "term", "definition").alias("described"))
+
+
+def reverse_index(table: DataFrame) -> DataFrame:
+    """Key, term for each alias and each key phrase of a definition, in lower case. Rows, not lists: one key may have many terms."""
+    keys = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce(key_phrases(F.col("definition")), F.array().cast("array<string>")))
+    return table.select(F.explode(keys).alias("key"), "term").select(F.lower(F.trim("key")).alias("key"), "term").filter("key <> ''").distinct()
+
+
+def relevant_chunks(chunks: DataFrame, terms: list[str], most: int = 3) -> DataFrame:
+    """the first chunks (by document, then ordinal) that hold each of the asked terms; terms are a short list."""
+    asked = F.array(*map(F.lit, dict.fromkeys(terms))) if terms else F.array().cast("array<string>")
+    hits = chunks.withColumn("term", F.explode(F.filter(asked, lambda t: F.contains("text", t))))
+    return top_k(hits, most, ["term"], "document_id", "ordinal").select("term", "rank", "document_id", "ordinal")
+
+
 def load_with_categories(terms: DataFrame, categories: DataFrame) -> DataFrame:
     """Terms with a definition and their category, null for the unclassified."""
     c = categories.select("term", F.when(F.col("category") != "unclassified", F.col("category")).alias("category")).groupBy("term").agg(F.min("category").alias("domain"))

@@ -59,6 +59,12 @@ def expanding_mean(long: DataFrame, order: str = "query_id") -> DataFrame:
     return long.withColumn("mean", F.sum(F.col("value").cast("decimal(18,6)")).over(so_far).cast("double") / F.count("value").over(so_far))
 
 
+def by_k(long: DataFrame, digits: int = 6) -> DataFrame:
+    """Mean of each metric at each k, k as a number."""
+    at = F.split("metric", "@")
+    return long.filter("metric like '%@%'").groupBy(F.get(at, F.lit(0)).alias("metric"), F.get(at, F.lit(1)).cast("int").alias("k")).agg(F.round(F.avg("value"), digits).alias("mean"))
+
+
 def rating(mean):
     """A21."""
     return F.when(mean >= 0.9, "excellent").when(mean >= 0.8, "good").when(mean >= 0.7, "fair").when(mean >= 0.6, "weak").otherwise("poor")
@@ -112,6 +118,17 @@ def upper_median(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return r.groupBy(*by).agg(F.round(F.avg(column), 6).alias("mean"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col(column))).alias("median"))
 
 
+def term_details(truth: DataFrame, found: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each true term, whether it was found, and its frequency, 0 where it has none."""
+    return flags(truth, found).filter("in_truth").join(counts.select("term", "frequency"), "term", "left").select("term", "in_found", F.coalesce("frequency", F.lit(0)).alias("frequency"))
+
+
+def dropout_report(stages: DataFrame) -> DataFrame:
+    """R2: each term's state after its last stage: the stage's name and whether the term is there; null counts as absent."""
+    last = F.max_by(F.struct("stage", F.coalesce("present", F.lit(False)).alias("extracted")), "stage_index")
+    return stages.groupBy("term").agg(last.alias("r")).select("term", F.col("r.stage").alias("last_stage"), "r.extracted")
+
+
 def rerank_impact(scores: DataFrame) -> DataFrame:
     """Per frequency bin (all five, 1.0 where empty) how re-ranking changed scores: frequency, base, revised."""
     bins = scores.sparkSession.createDataFrame([(b,) for b in ("1", "2", "3-5", "6-10", "11+")], "bin string")

@@ -106,6 +106,23 @@ def combined_score(scores: DataFrame, stage: str = "final") -> DataFrame:
     return kept.select("term", F.round((a * F.col("t") + b * F.col("c")) * bonus, 6).alias("score"))
 
 
+def best(scores: DataFrame, most: int = 1500) -> DataFrame:
+    """T4: the terms with the highest scores; what compares terms with each other works on these."""
+    return scores.orderBy(F.desc("score"), "term").limit(most)
+
+
+def seeds(capped: DataFrame, percent: float = 15.0) -> DataFrame:
+    """The best per cent of terms that best() has left, one at least."""
+    return best(capped, max(1, int(capped.count() * percent / 100)))
+
+
+def to_define(capped: DataFrame, percent: float = 50.0) -> DataFrame:
+    """T5: all abbreviations and the best per cent of the other terms that best() has left."""
+    short = F.coalesce(T.is_abbreviation(F.col("term")), F.lit(False))
+    rest = capped.filter(~short)
+    return capped.filter(short).unionByName(best(rest, int(rest.count() * percent / 100)))
+
+
 def nested_filter(scores: DataFrame, ratio: float = 0.3) -> DataFrame:
     """without terms that a longer kept term holds and whose C-value is below ratio of its.
 

@@ -39,10 +39,10 @@ def mine(docs: DataFrame, low: int = 2, high: int = 6, least: int = 2, most: int
     c = terms.cvalue(found)
     kept = terms.nested_filter(c)
     scores = terms.combined_score(found.join(terms.tfidf(s, found), "term").join(kept, "term"))
-    top = terms.written(scores.orderBy(F.desc("score"), "term").limit(most), "mined-top")
+    top = terms.written(terms.best(scores, most), "mined-top")
     vectors = providers.apply(top.select("term"), "term", "embedding", embed, "array<float>").withColumn("vec_id", F.xxhash64("term"))
     edges = similarity.semantic_graph(terms.written(vectors, "mined-vectors"), 0.5)
-    seeds = top.orderBy(F.desc("score"), "term").limit(max(1, int(top.count() * 0.15))).select(F.xxhash64("term").alias("id"))
+    seeds = terms.seeds(top).select(F.xxhash64("term").alias("id"))
     ranks = graph.pagerank(edges.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")), seeds)
     importance = top.select("term", F.xxhash64("term").alias("id")).join(ranks, "id").select("term", F.col("rank").alias("importance"))
     return graph.revised(top, importance)

@@ -112,9 +112,9 @@ def _halves(spark, sf_dir):
     return old, new.withColumn("definition", F.concat(F.lit("new "), "definition"))
 
 
-@query(f"SELECT collection_name, term, id FROM ({_DICT}) WHERE contains(lower(term), 'steel') OR contains(lower(definition), 'steel') OR len(list_filter(aliases, lambda x: contains(lower(x), 'steel'))) > 0")
+@query(f"SELECT collection_name, term, id FROM ({_DICT}) WHERE contains(lower(term), 'ma') OR contains(lower(definition), 'ma') OR len(list_filter(aliases, lambda x: contains(lower(x), 'ma'))) > 0")
 def dictionary_search(spark, sf_dir):
-    return D.search(_dictionary(spark, sf_dir), "STEEL").select("collection_name", "term", "id")
+    return D.search(_dictionary(spark, sf_dir), "MA").select("collection_name", "term", "id")
 
 
 @query(f"SELECT coalesce(a.collection_name, b.collection_name) AS collection_name, coalesce(a.term, b.term) AS term, coalesce(b.definition, a.definition) AS definition, CASE WHEN b.term IS NULL THEN a.domain WHEN a.term IS NULL THEN b.domain ELSE coalesce(b.domain, a.domain) END AS domain, array_to_string(CASE WHEN b.term IS NULL THEN a.aliases WHEN a.term IS NULL OR len(b.aliases) > 0 THEN b.aliases ELSE a.aliases END, '|') AS aliases FROM {_OLD} a FULL JOIN {_NEW} b ON a.collection_name = b.collection_name AND a.term = b.term")
@@ -273,7 +273,7 @@ _SET = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
 
 @query(f"WITH a AS (SELECT doc_id, {_SET} AS w FROM documents), b AS (SELECT item_id, {_SET} AS w FROM benchmark), i AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM a) JOIN (SELECT item_id, unnest(w) AS x FROM b) USING (x) GROUP BY ALL) SELECT doc_id, item_id, round(n / (len(a.w) + len(b.w) - n), 6) AS jaccard FROM i JOIN a USING (doc_id) JOIN b USING (item_id) WHERE n / (len(a.w) + len(b.w) - n) >= 0.2")
 def jaccard_pairs(spark, sf_dir):
-    """X6 of documents and benchmark items: they meet at the words they share, counted before anything is paired in full."""
+    """sum(weight::DECIMAL(28, 12))::DOUBLE / count(weight) AS avg_weight6 of documents and benchmark items: they meet at the words they share, counted before anything is paired in full."""
     a = _docs(spark, sf_dir).select("doc_id", T.word_set(F.col("text")).alias("w"))
     b = table(spark, sf_dir, "benchmark").select("item_id", T.word_set(F.col("text")).alias("v"))
     n = a.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x")).join(b.select("item_id", F.size("v").alias("m"), F.explode("v").alias("x")), "x").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("k"))
@@ -315,7 +315,7 @@ _NODES = "nodes AS (SELECT 'P' || p_partkey AS id, 'Term' AS node_type, p_name A
 _EDGES = "edges AS MATERIALIZED (SELECT 'P' || l_partkey AS source_id, 'S' || l_suppkey AS target_id, CASE l_returnflag WHEN 'A' THEN 'SYNONYM' WHEN 'N' THEN 'RELATED_TO' ELSE 'IS_A' END AS edge_type, round(1 - l_discount * 5, 4) AS weight, round(1 - l_tax, 4) AS confidence, l_orderkey || '-' || l_linenumber AS id FROM lineitem)"
 
 
-@query(f"WITH {_NODES}, {_EDGES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT node_type) FROM nodes) AS node_types, (SELECT count(*) FROM nodes WHERE node_type = 'Term') AS terms, count(*) AS edges, count(DISTINCT edge_type) AS edge_types, round(avg(weight), 6) AS avg_weight, round(avg(confidence), 6) AS avg_confidence FROM edges")
+@query(f"WITH {_NODES}, {_EDGES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT node_type) FROM nodes) AS node_types, (SELECT count(*) FROM nodes WHERE node_type = 'Term') AS terms, count(*) AS edges, count(DISTINCT edge_type) AS edge_types, sum(weight::DECIMAL(28, 12))::DOUBLE / count(weight) AS avg_weight, sum(confidence::DECIMAL(28, 12))::DOUBLE / count(confidence) AS avg_confidence FROM edges")
 def graph_stats(spark, sf_dir):
     return G.statistics(_nodes(spark, sf_dir), _edges(spark, sf_dir))
 
@@ -338,7 +338,7 @@ def graph_bfs(spark, sf_dir):
 _PASSES = "e AS (SELECT src, dst, max(p) AS p FROM (SELECT source_id AS src, target_id AS dst, CASE edge_type WHEN 'SYNONYM' THEN 0.95::DOUBLE WHEN 'IS_A' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END * weight * confidence AS p FROM edges UNION ALL SELECT target_id, source_id, CASE edge_type WHEN 'SYNONYM' THEN 0.95::DOUBLE WHEN 'IS_A' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END * weight * confidence FROM edges) JOIN nodes ON nodes.id = dst AND node_type = 'Term' GROUP BY ALL)"
 
 
-@query(f"WITH {_NODES}, {_EDGES}, {_PASSES}, s AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 100 = 0), f1 AS (SELECT seed, dst AS id, max(p * 0.7::DOUBLE) AS w FROM s JOIN e ON src = seed GROUP BY ALL HAVING max(p * 0.7::DOUBLE) >= 0.3), n AS (SELECT seed FROM f1 WHERE id <> seed GROUP BY 1 HAVING count(*) >= 20), f2 AS (SELECT seed, dst AS id, max(w * p * 0.7::DOUBLE * 0.7::DOUBLE) AS w FROM f1 JOIN e ON src = f1.id WHERE seed NOT IN (FROM n) GROUP BY ALL HAVING max(w * p * 0.7::DOUBLE * 0.7::DOUBLE) >= 0.3), a AS (SELECT seed, id, w, 1 AS depth FROM f1 WHERE id <> seed UNION ALL SELECT seed, id, w, 2 FROM f2 WHERE id <> seed AND NOT EXISTS (FROM f1 WHERE f1.seed = f2.seed AND f1.id = f2.id)) SELECT seed, id, round(w, 6) AS weight, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(w, 6) DESC, id) AS r FROM a) WHERE r <= 20")
+@query(f"WITH {_NODES}, {_EDGES}, {_PASSES}, s AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 100 = 0), f1 AS (SELECT seed, dst AS id, max(p * 0.7::DOUBLE) AS w FROM s JOIN e ON src = seed GROUP BY ALL HAVING max(p * 0.7::DOUBLE) >= 0.3), n AS (SELECT seed FROM f1 WHERE id <> seed GROUP BY 1 HAVING count(*) >= 20), f2 AS (SELECT seed, dst AS id, max(w * p * 0.7::DOUBLE * 0.7::DOUBLE) AS w FROM f1 JOIN e ON src = f1.id WHERE seed NOT IN (FROM n) GROUP BY ALL HAVING max(w * p * 0.7::DOUBLE * 0.7::DOUBLE) >= 0.3), a AS (SELECT seed, id, w, 1 AS depth FROM f1 WHERE id <> seed UNION ALL SELECT seed, id, w, 2 FROM f2 WHERE id <> seed AND NOT Esum(weight::DECIMAL(28, 12))::DOUBLE / count(weight) AS avg_weightISTS (FROM f1 WHERE f1.seed = f2.seed AND f1.id = f2.id)) SELECT seed, id, round(w, 6) AS weight, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(w, 6) DESC, id) AS r FROM a) WHERE r <= 20")
 def graph_expand(spark, sf_dir):
     """Every hundredth part is a query term."""
     seeds = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("id"))
@@ -440,7 +440,8 @@ def metric_heatmap(spark, sf_dir):
 
 # Extraction: words of the benchmark as truth, words of documents that come five times and more as found.
 _TRUTH = r"truth AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(trim(lower(text)), '\s+'), lambda x: x <> '')) AS term FROM benchmark)"
-_FOUND = f"counts AS (SELECT token AS term, sum(tf)::BIGINT AS frequency FROM ({_POSTINGS}) GROUP BY 1), found AS (SELECT term FROM counts WHERE frequency >= 5)"
+_COUNTS_SQL = f"counts AS (SELECT token AS term, sum(tf)::BIGINT AS frequency FROM ({_POSTINGS}) GROUP BY 1)"
+_FOUND = f"{_COUNTS_SQL}, found AS (SELECT term FROM counts WHERE frequency >= 5)"
 _FLAGS = f"{_TRUTH}, {_FOUND}, flags AS (SELECT term, t.term IS NOT NULL AS in_truth, f.term IS NOT NULL AS in_found FROM truth t FULL JOIN found f USING (term))"
 _CLASS = "CASE WHEN regexp_matches(term, '^[A-Z]{2,}$') THEN 'acronym' WHEN regexp_matches(term, '[0-9]') THEN 'numeric' WHEN length(term) = 1 THEN 'single' WHEN length(term) <= 3 THEN 'short' WHEN length(term) <= 6 THEN 'medium' ELSE 'long' END"
 
@@ -512,9 +513,13 @@ def synonym_symmetric(spark, sf_dir):
     return S.symmetric(S.similar_pairs(_embeddings(spark, sf_dir), 0.3))
 
 
-@query("SELECT a.p_brand, a.p_partkey AS child, b.p_partkey AS parent, round(greatest(0.5, 1 - round(b.v - a.v, 9)), 6) AS weight FROM (SELECT p_brand, p_partkey, p_retailprice / 2000 AS v FROM part) a JOIN (SELECT p_brand, p_partkey, p_retailprice / 2000 AS v FROM part) b ON a.p_brand = b.p_brand AND round(b.v - a.v, 9) > 0.1 AND round(b.v - a.v, 9) < 0.5")
+_LAMBDA = "SELECT p_brand || p_type AS part_group, p_partkey, p_retailprice / 500 AS v FROM part"
+
+
+@query(f"SELECT a.part_group, a.p_partkey AS child, b.p_partkey AS parent, round(greatest(0.5, 1 - round(b.v - a.v, 9)), 6) AS weight FROM ({_LAMBDA}) a JOIN ({_LAMBDA}) b ON a.part_group = b.part_group AND round(b.v - a.v, 9) > 0.1 AND round(b.v - a.v, 9) < 0.5")
 def lambda_hierarchy(spark, sf_dir):
-    return S.interval_pairs(table(spark, sf_dir, "part").withColumn("v", F.col("p_retailprice") / 2000), "p_partkey", "v", 0.1, 0.5, "p_brand")
+    p = table(spark, sf_dir, "part").select(F.concat("p_brand", "p_type").alias("part_group"), "p_partkey", (F.col("p_retailprice") / 500).alias("v"))
+    return S.interval_pairs(p, "p_partkey", "v", 0.1, 0.5, "part_group")
 
 
 @query("SELECT a.label AS cluster, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.label >= 0")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from termweave.queries import QUERIES, SQL
+from termweave.more_queries import QUERIES, SQL
 
 SF = Path("/root/testdata/sf0.001")
 
