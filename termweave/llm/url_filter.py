@@ -11,11 +11,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALLOW, BLOCK = "allow", "block"
 LABEL = "label="
 #: Bytes that one mined rule takes at most in the index, and up to which size the index is broadcast.
 RULE_BYTES, BROADCAST_BYTES = 1 << 10, 8 << 20
+#: Token sets of more than this part of the pages are frequent; there are fewer than this many.
+HOT_SHARE = 10_000
 
 
 @dataclass(frozen=True)
@@ -96,11 +100,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, labels: DataFr
     if mined.count() * RULE_BYTES <= BROADCAST_BYTES:
         index = F.broadcast(index)
     # A token set is looked up once, however many pages share it.
-    rest = df.filter("fixed is null").select("tokens").distinct()
+    rest = written(df.filter("fixed is null").groupBy("tokens").agg(F.count("*").alias("n_pages")), "url-token-sets")
+    total = rest.agg(F.sum("n_pages")).first()[0] or 0
     fits = rest.withColumn("key", F.explode("tokens")).join(index, "key").filter(F.size(F.array_except("mined", "tokens")) == 0)
     order = F.struct("confidence", "support", F.size("mined"), "mined")
     best = fits.groupBy("tokens").agg(F.max_by(F.struct("mined", "mined_verdict", "confidence"), order).alias("best"))
-    undecided = df.filter("fixed is null").join(best, "tokens", "left")
+    best = written(rest.join(best, "tokens", "left"), "url-verdicts")
+    # Pages of a frequent set don't meet in one task: such sets are fewer than HOT_SHARE, so they go to the pages.
+    hot = F.col("n_pages") * HOT_SHARE > total
+    marked = df.filter("fixed is null").join(F.broadcast(best.filter(hot).select("tokens", F.struct("best").alias("held"))), "tokens", "left")
+    few = marked.filter("held is null").drop("held").join(best.filter(~hot).select("tokens", "best"), "tokens", "left")
+    undecided = marked.filter("held is not null").withColumn("best", F.col("held.best")).drop("held").unionByName(few)
     out = ["page_id", "host", "path", "rule"]
     ruled = df.filter("fixed is not null").select(*out, F.col("fixed").alias("verdict"), F.lit(None).cast("array<string>").alias("mined"), F.lit(None).cast("double").alias("confidence"))
     return ruled.unionByName(undecided.select(*out, F.coalesce("best.mined_verdict", F.lit(default)).alias("verdict"), F.col("best.mined").alias("mined"), F.col("best.confidence").alias("confidence")))
