@@ -58,9 +58,9 @@ def url_tokens() -> Column:
     labels = F.filter(F.split("host", r"\."), lambda x: x != "")
     parts = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "-"))), lambda x: x != "")
     segments = F.filter(F.split(F.regexp_replace("path", "[0-9]+", "N"), "/"), lambda x: x != "")
-    tag = lambda name, xs: F.transform(xs, lambda x: F.concat(F.lit(name), F.substring(x, 1, 64)))
+    tag = lambda name, xs: F.transform(xs, lambda x: F.concat(F.lit(name), x))
     top = F.when(F.size(labels) > 0, F.array(F.concat(F.lit("top="), F.element_at(labels, -1)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(top, tag("host=", parts), F.slice(tag("path=", segments), 1, 32)))
+    return F.array_distinct(F.concat(top, tag("host=", parts), tag("path=", segments)))
 
 
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
@@ -81,7 +81,7 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     return rules.join(rarest, "id")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, labels: DataFrame | None = None, min_support: float = 0.01, min_confidence: float = 0.8, default: str = ALLOW, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, labels: DataFrame | None = None, min_support: float = 0.01, min_confidence: float = 0.8, default: str = ALLOW, page_id: str = "page_id", url: str = "url", hot_share: int = HOT_SHARE) -> DataFrame:
     """page_id, host, path, rule, verdict and, where a mined rule decided, mined (its tokens) and confidence.
 
     labels has url and verdict; without it, the verdicts of the fixed rules on these pages are the labels.
@@ -106,8 +106,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, labels: DataFr
     order = F.struct("confidence", "support", F.size("mined"), "mined")
     best = fits.groupBy("tokens").agg(F.max_by(F.struct("mined", "mined_verdict", "confidence"), order).alias("best"))
     best = written(rest.join(best, "tokens", "left"), "url-verdicts")
-    # Pages of a frequent set don't meet in one task: such sets are fewer than HOT_SHARE, so they go to the pages.
-    hot = F.col("n_pages") * HOT_SHARE > total
+    # Pages of a frequent set don't meet in one task: such sets are fewer than hot_share, so they go to the pages.
+    hot = F.col("n_pages") * hot_share > total
     marked = df.filter("fixed is null").join(F.broadcast(best.filter(hot).select("tokens", F.struct("best").alias("held"))), "tokens", "left")
     few = marked.filter("held is null").drop("held").join(best.filter(~hot).select("tokens", "best"), "tokens", "left")
     undecided = marked.filter("held is not null").withColumn("best", F.col("held.best")).drop("held").unionByName(few)

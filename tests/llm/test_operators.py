@@ -112,6 +112,8 @@ def test_mined_url_rules(spark):
     labels = spark.createDataFrame(labels, "url string, verdict string")
     pages = spark.createDataFrame([(1, "http://new.net/buy/9"), (2, "http://new.net/en/9"), (3, None)], "page_id long, url string")
     got = {r.page_id: (r.verdict, r.mined) for r in url_filter.judge(pages, labels=labels).collect()}
+    many = pages.union(pages.filter("page_id < 3")).union(spark.createDataFrame([(4, "http://new.net/buy/8"), (5, "x://q/" + "long" * 40 + "/a" * 50)], pages.schema))
+    assert [rows_of(url_filter.judge(many, labels=labels, hot_share=n), "page_id", "verdict") for n in (1, 4, 10_000)] == [Counter({(1, "block"): 2, (2, "allow"): 2, (3, "allow"): 1, (4, "block"): 1, (5, "allow"): 1})] * 3
     assert got[1] == ("block", ["path=buy"]) and got[2][0] == "allow" and got[3] == ("allow", None)
 
 
