@@ -9,7 +9,8 @@ TEXT_TYPES = ("txt", "md")
 def texts(spark: SparkSession, path: str, types: tuple[str, ...] = TEXT_TYPES) -> DataFrame:
     """Path and text of each file of these types below a folder; files that vanish are passed over.
 
-    Fails on an empty file when read, and on a type that no reader is known for at once."""
+    Fails on a blank file when read, and on a type that no reader is known for at once. A file of no bytes has no row, as
+    Spark does not list it."""
     if unknown := set(types) - set(TEXT_TYPES):
         raise ValueError(f"no reader for {sorted(unknown)}")
     df = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.{" + ",".join(types) + "}").text(path, wholetext=True)
