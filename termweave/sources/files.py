@@ -14,7 +14,7 @@ def texts(spark: SparkSession, path: str, types: tuple[str, ...] = TEXT_TYPES) -
     if unknown := set(types) - set(TEXT_TYPES):
         raise ValueError(f"no reader for {sorted(unknown)}")
     df = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.{" + ",".join(types) + "}").text(path, wholetext=True)
-    text = F.when(F.trim("value") == "", F.raise_error(F.concat(F.lit("empty file: "), F.input_file_name())).cast("string")).otherwise(F.col("value"))
+    text = F.when(F.col("value").rlike(r"^\s*$"), F.raise_error(F.concat(F.lit("empty file: "), F.input_file_name())).cast("string")).otherwise(F.col("value"))
     return df.select(F.input_file_name().alias("path"), text.alias("text"))
 
 
