@@ -20,8 +20,9 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id; of rows with that id, all."""
-    groups = ngram_join.join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group of documents that share 80 per cent of their runs of five words, the one with the smallest doc_id; of
+    rows with that id, all. The query op10_ngram_join has limits of its own: four words, 85 per cent."""
+    groups = ngram_join.join(docs, k=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -40,6 +40,21 @@ def test_one_of_each_group_stays(staged):
     assert {r.doc_id for r in staged[2].collect()} == {c for (_, _, c) in plain_join(rows)}
 
 
+def test_copies_with_a_fifth_appended_go(spark):
+    text = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    # Copies with 18, 22, 24 and 30 per cent appended, and one with 11 of 500 words changed.
+    rows = [(1, text("a", 200)), *((10 + n, text("a", 200) + " " + text(f"b{n}_", n)) for n in (36, 44, 48, 60))]
+    rows += [(2, text("c", 500)), (20, " ".join(f"x{i}" if i % 45 == 30 else f"c{i}" for i in range(500)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert kept == {c for (_, _, c) in plain_join(rows, 80, 5)} == {1, 2, 70}
+
+
+def test_one_of_each_group_stays_by_the_limits_of_the_stage(staged):
+    rows = [(r.doc_id, r.text) for r in staged[1].collect()]
+    assert {r.doc_id for r in staged[2].collect()} == {c for (_, _, c) in plain_join(rows, 80, 5)}
+
+
 def seeds(text):
     w = [x for x in re.split(decontamination.BREAK, (text or "").lower()) if x]
     return {(m, *(w[p + i] for i, c in enumerate(m) if c == "1")) for m in decontamination.MASKS for p in range(len(w) - decontamination.SPAN + 1)}
