@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -193,6 +194,56 @@ def test_decontamination(spark, block):
     assert set(rows_of(got, "doc_id", "item_id", "n_hits", "share", "first_word")) == plain_overlaps(docs, items)
 
 
+def allowed(size):
+    return size * (100 - decontamination.MIN_SHARE) // 100
+
+
+def test_no_stretch_is_without_a_seed():
+    span, masks = decontamination.SPAN, decontamination.MASKS + decontamination.LIGHT
+    assert all(len(m) == span for m in masks)
+    for size in range(span, decontamination.OVERLAP + 1):
+        places = [{o + i for i, c in enumerate(m) if c == "1"} for m in masks for o in range(size - span + 1)]
+        for changed in combinations(range(size), allowed(size)):
+            assert any(p.isdisjoint(changed) for p in places), (size, changed)
+
+
+def plain_shares(docs, items):
+    """Without seeds: the best share of each two texts, over all ways to lay them side by side."""
+    out = {}
+    for d, t in docs:
+        for i, u in items:
+            a, b = t.split(), u.split()
+            for shift in range(-len(b), len(a)):
+                same = [x == y for x, y in zip(a[max(shift, 0) :], b[max(-shift, 0) :])]
+                size = min(len(same), decontamination.OVERLAP)
+                if size >= decontamination.SPAN:
+                    share = max(sum(same[s : s + size]) for s in range(len(same) - size + 1)) * 100 // size
+                    if share >= decontamination.MIN_SHARE:
+                        out[d, i] = max(share, out.get((d, i), 0))
+    return out
+
+
+def test_decontamination_finds_all_that_share_enough(spark):
+    r = random.Random(11)
+    make = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(n)]
+    sizes = [*range(12, 21), 35]
+    items = [(i, " ".join(make(n))) for i, n in enumerate(sizes)]
+    docs = []
+    for (_, t), n in zip(items, sizes):
+        w = t.split()[:20]
+        for k in [allowed(len(w))] * 12 + [allowed(len(w)) + 1] * 3:
+            x = list(w)
+            for j in r.sample(range(len(x)), k):
+                x[j] = "changed"
+            docs += [(len(docs), " ".join(make(13) + x + make(9))), (len(docs) + 1, " ".join(x))]
+    want = plain_shares(docs, items)
+    # What the three masks alone leave out is in the test.
+    heavy = decontamination.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), light=())
+    assert set(rows_of(heavy, "doc_id", "item_id")) < set(want)
+    got = decontamination.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert set(rows_of(got, "doc_id", "item_id", "share")) == {(*pair, share) for pair, share in want.items()}
+
+
 def test_decontamination_runs_no_python(spark):
     docs = frame(spark, corpus(8))
     plan = decontamination.overlaps(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))._jdf.queryExecution().toString()
