@@ -39,12 +39,17 @@ def tfidf(sentences: DataFrame, candidates: DataFrame, key: str = "doc_id") -> D
     return scored.select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"), F.round(F.coalesce("tf", F.lit(0.0)) * idf, 6).alias("tfidf"))
 
 
+def _starts(text: str) -> Column:
+    """The distinct one to three characters at any place of a column: what it holds begins with one of them."""
+    gram = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+    empty = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*(F.coalesce(gram(n), empty) for n in (1, 2, 3))))
+
+
 def containment(terms: DataFrame) -> DataFrame:
     """Short, long of each two terms of which one holds the other. Terms meet at the short one's first characters, up
     to three, at any place of the long one, so nothing is compared that can't start alike."""
-    gram = lambda n: F.when(F.length("term") >= n, F.transform(F.sequence(F.lit(1), F.length("term") - n + 1), lambda i: F.substr("term", i, F.lit(n))))
-    empty = F.array().cast("array<string>")
-    longs = terms.select(F.col("term").alias("long"), F.explode(F.array_distinct(F.concat(*(F.coalesce(gram(n), empty) for n in (1, 2, 3))))).alias("block"))
+    longs = terms.select(F.col("term").alias("long"), F.explode(_starts("term")).alias("block"))
     shorts = terms.filter("term <> ''").select(F.col("term").alias("short"), F.substring("term", 1, 3).alias("block"))
     return shorts.join(longs, "block").filter((F.length("long") > F.length("short")) & F.contains("long", "short")).select("short", "long")
 
@@ -52,11 +57,12 @@ def containment(terms: DataFrame) -> DataFrame:
 def independent_ratio(texts: DataFrame, candidates: DataFrame, text: str = "text") -> DataFrame:
     """Term, total, ratio. The share of a term's occurrences that are in no longer candidate, 0 if it has none.
 
-    Occurrences are counted per text and added up: candidates meet a text at their first word."""
-    words = texts.select(F.col(text).alias("t"), F.monotonically_increasing_id().alias("row")).filter("t is not null")
-    blocks = words.select("row", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
-    first = candidates.select("term", F.element_at(F.split("term", " "), 1).alias("word"))
-    counts = blocks.join(first, "word").filter(F.contains("t", "term")).groupBy("term").agg(F.sum(T.occurrences(F.col("t"), F.col("term"))).alias("total"))
+    Occurrences are counted per text and added up: candidates meet a text at their first characters, up to three, at any
+    place of it. The query's SQL still asks for the first word between blanks, so its totals may be lower."""
+    rows = texts.select(F.col(text).alias("t")).filter("t is not null")
+    blocks = rows.select("t", F.explode(_starts("t")).alias("block"))
+    first = candidates.filter("term <> ''").select("term", F.substring("term", 1, 3).alias("block"))
+    counts = blocks.join(first, "block").filter(F.contains("t", "term")).groupBy("term").agg(F.sum(T.occurrences(F.col("t"), F.col("term"))).alias("total"))
     pairs = containment(candidates.select("term"))
     inside = pairs.join(counts.withColumnRenamed("term", "long"), "long").groupBy("short").agg(F.sum("total").alias("inside"))
     out = candidates.select("term").join(counts, "term", "left").join(inside.withColumnRenamed("short", "term"), "term", "left")
