@@ -49,17 +49,17 @@ def groups(clusters: DataFrame, key: str, sample: int = 10) -> DataFrame:
 
 
 def depths(tree: DataFrame, most: int = 100) -> DataFrame:
-    """Child and the number of its ancestors, from child and parent; one round for each level."""
-    now = written(tree.select("child", F.col("parent").alias("up"), F.lit(1).alias("depth")).filter("up is not null"), "tree")
-    done = tree.filter("parent is null").select("child", F.lit(0).alias("depth"))
-    for _ in range(most):
-        up = tree.select(F.col("child").alias("up"), F.col("parent").alias("next"))
-        moved = now.join(up, "up", "left")
-        done = done.unionByName(moved.filter("next is null").select("child", "depth"))
-        now = written(moved.filter("next is not null").select("child", F.col("next").alias("up"), (F.col("depth") + 1).alias("depth")), "tree")
-        if now.isEmpty():
-            break
-    return done
+    """Child and the number of its ancestors, most + 1 for those that have more or are their own ancestors; from child and
+    parent, one of several being the least. A parent without a row of its own counts as an ancestor.
+
+    Each round looks twice as far up: a node's farthest known ancestor gives its own, so seven rounds settle 100 levels."""
+    now = tree.groupBy("child").agg(F.min("parent").alias("up")).select("child", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
+    now, reach = written(now, "tree"), 1
+    while reach <= most and not now.filter("up is not null").isEmpty():
+        far = now.select(F.col("child").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        step = now.filter("up is not null").join(far, "up", "left").select("child", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        now, reach = written(now.filter("up is null").unionByName(step), "tree"), reach * 2
+    return now.select("child", F.least("depth", F.lit(most + 1)).alias("depth"))
 
 
 def levels(nodes: DataFrame, high: float = 0.89, middle: float = 0.88) -> DataFrame:

@@ -3,11 +3,15 @@
 An upsert gives the whole new table; the caller writes it. Keys are collection_name and term, or chunk_id.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import key_phrases
+from ..storage import written
 from .retrieval import top_k
+from .similarity import string_ratio
 
 KEY = ["collection_name", "term"]
 
@@ -35,6 +39,13 @@ def upsert_replacing(old: DataFrame, new: DataFrame) -> DataFrame:
     return _merged(old, new, {"domain": F.coalesce(F.nullif("b.domain", F.lit("")), "a.domain")})
 
 
+def delete_counts(table: DataFrame, keys: DataFrame, on: list[str] = KEY) -> DataFrame:
+    """One row: how many of the asked keys (distinct) are rows of the table, so go, and how many are not."""
+    there = table.select(*on).distinct().withColumn("_there", F.lit(True))
+    found = keys.select(*on).distinct().join(there, on, "left")
+    return found.agg(F.count("_there").alias("deleted"), F.count_if(F.col("_there").isNull()).alias("errors"))
+
+
 def delete(table: DataFrame, keys: DataFrame, on: list[str] = KEY) -> DataFrame:
     """The table without the rows of these keys."""
     return table.join(keys.select(*on), on, "left_anti")
@@ -59,6 +70,24 @@ def deleted(chunks: DataFrame, **where: str) -> tuple[DataFrame, DataFrame]:
     return chunks.filter(~hit), chunks.filter(hit).agg(F.countDistinct("document_id").alias("n_documents"), F.count("*").alias("n_chunks"))
 
 
+def collection_name(name: str) -> str:
+    """The name, if it is one that a new collection may have; else a ValueError."""
+    if not re.fullmatch("[a-zA-Z0-9_]+", name):
+        raise ValueError(f"not a name of letters, digits and underscores: {name!r}")
+    return name
+
+
+def has_rows(vectors: DataFrame, chunks: DataFrame, collection: str | None = None) -> bool:
+    """whether either table has a row (of a collection); one row is looked for, not all counted."""
+    of = lambda df: df if collection is None else df.filter(F.col("collection_name") == collection)
+    return not of(vectors).isEmpty() or not of(chunks).isEmpty()
+
+
+def all_terms(table: DataFrame, collection: str) -> DataFrame:
+    """The terms of a collection, in order."""
+    return table.filter(F.col("collection_name") == collection).orderBy("term")
+
+
 def collections(chunks: DataFrame) -> DataFrame:
     """S17."""
     return chunks.select("collection_name").distinct()
@@ -130,28 +159,37 @@ def category_counts(table: DataFrame) -> DataFrame:
 
 
 def merge_similar(terms: DataFrame, least: float = 0.8) -> DataFrame:
-    """F16: terms of one domain whose strings are alike (M5 above least) become the first of them, with all aliases and the
-    longest definition. Order: term. Greedy within a domain, as a domain's terms are few; a domain is one group."""
-    import difflib
-
-    import pandas as pd
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values("term").to_dict("records"):
-            row["aliases"] = list(row["aliases"] if row["aliases"] is not None else [])
-            ratio = [difflib.SequenceMatcher(None, k["term"], row["term"]).ratio() for k in kept]
-            best = max(range(len(kept)), key=ratio.__getitem__, default=None)
-            if best is not None and ratio[best] > least:
-                k = kept[best]
-                k["aliases"] = list(dict.fromkeys([*k["aliases"], *row["aliases"]]))
-                if len(row["definition"] or "") > len(k["definition"] or ""):
-                    k["definition"] = row["definition"]
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return terms.select("domain", "term", "definition", "aliases").groupBy("domain").applyInPandas(merge, "domain string, term string, definition string, aliases array<string>")
+    """Terms in their order, each of which becomes part of the kept one that it is most like (M5 above `least`; of
+    equals the first), or is kept. term, definition, aliases: a kept term has the aliases and the names of those that
+    became part of it, sorted, without its own name, and the longest definition, of equals the first.
+
+    Rows of one term are one: all aliases, the longest definition. Null and empty terms go. Two terms are compared if they
+    share two neighbouring characters, which all do at a ratio above 0.8. Who is kept is settled in rounds, all terms at a
+    time that no open one before them can still take in."""
+    empty = F.array().cast("array<string>")
+    rows = terms.filter("term <> ''").select("term", "definition", F.coalesce("aliases", empty).alias("aliases"))
+    rows = written(rows.groupBy("term").agg(F.max_by("definition", F.struct(F.length(F.coalesce("definition", F.lit(""))), "definition")).alias("definition"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases")), "terms")
+    pairs_of = F.when(F.length("term") > 1, F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr("term", i, F.lit(2)))).otherwise(F.array("term"))
+    blocks = rows.select("term", F.explode(F.array_distinct(pairs_of)).alias("block"))
+    before = blocks.select(F.col("term").alias("by"), "block")
+    n, m = F.length("term"), F.length("by")
+    near = blocks.join(before, "block").filter((F.col("by") < F.col("term")) & (2 * F.least(n, m) / (n + m) > least)).select("term", "by").distinct()
+    near = written(near.withColumn("ratio", string_ratio("term", "by")).filter(F.col("ratio") > least), "alike")
+    kept = fresh = written(rows.select("term").join(near, "term", "left_anti"), "kept")
+    open_ = near.select("term", "by")
+    while not open_.isEmpty():
+        gone = written(open_.join(fresh.withColumnRenamed("term", "by"), "by", "left_semi").select("term").distinct(), "gone")
+        left = open_.join(gone, "term", "left_anti").join(gone.withColumnRenamed("term", "by"), "by", "left_anti")
+        # With no one before them left, terms that were open are kept.
+        free = open_.select("term").distinct().join(gone, "term", "left_anti").join(left, "term", "left_anti")
+        fresh = written(free, "kept")
+        kept, open_ = kept.unionByName(fresh), written(left, "open")
+    into = near.join(kept.withColumnRenamed("term", "by"), "by", "left_semi").join(kept, "term", "left_anti").groupBy("term").agg(F.min_by("by", F.struct(-F.col("ratio"), "by")).alias("by"))
+    placed = rows.join(into, "term", "left").select(F.coalesce("by", "term").alias("head"), "term", "definition", "aliases")
+    first = F.min_by("definition", F.struct(-F.length(F.coalesce("definition", F.lit(""))), "term"))
+    names = F.array_distinct(F.flatten(F.collect_list(F.array_append("aliases", F.col("term")))))
+    merged = placed.groupBy("head").agg(first.alias("definition"), names.alias("aliases"))
+    return merged.select(F.col("head").alias("term"), "definition", F.array_sort(F.filter("aliases", lambda a: (a != "") & (a != F.col("head")))).alias("aliases"))
 
 
 def collection_statistics(chunks: DataFrame) -> DataFrame:

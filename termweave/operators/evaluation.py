@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieval import top_k
+
 KS = (1, 3, 5, 10)
 
 
@@ -95,8 +97,23 @@ def term_scores(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 def recall_by(flagged: DataFrame, by: str, sample: int = 10) -> DataFrame:
     """N, hits, recall and the first terms of each class of the true terms."""
-    g = flagged.filter("in_truth").groupBy(by).agg(F.count("*").alias("n"), F.count_if("in_found").alias("hits"), F.collect_set("term").alias("_t"))
-    return g.select(by, "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("recall"), F.slice(F.array_sort("_t"), 1, sample).alias("sample"))
+    true = flagged.filter("in_truth")
+    g = true.groupBy(by).agg(F.count("*").alias("n"), F.count_if("in_found").alias("hits"))
+    firsts = top_k(true.select(by, "term").distinct(), sample, [by], "term").groupBy(by).agg(F.array_sort(F.collect_list("term")).alias("sample"))
+    both = g.join(firsts.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
+    return both.select(by, "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("recall"), "sample")
+
+
+def ordered_misses(flagged: DataFrame, counts: DataFrame) -> DataFrame:
+    """Term and frequency of the true terms that were not found, most frequent first."""
+    missed = flagged.filter("in_truth and not in_found").join(counts.select("term", "frequency"), "term", "left")
+    return missed.select("term", F.coalesce("frequency", F.lit(0)).alias("frequency")).orderBy(F.desc("frequency"), "term")
+
+
+def ordered_false_positives(flagged: DataFrame, scores: DataFrame) -> DataFrame:
+    """Term and score of the found terms that are not true, best first; 0 where there is no score."""
+    wrong = flagged.filter("in_found and not in_truth").join(scores.select("term", "score"), "term", "left")
+    return wrong.select("term", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "term")
 
 
 def frequency_bin(frequency):
@@ -136,6 +153,79 @@ def rerank_impact(scores: DataFrame) -> DataFrame:
     return bins.join(r.groupBy("bin").agg(F.avg("ratio").alias("mean"), F.median("ratio").alias("median"), F.count("*").alias("n")), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("mean", F.lit(1.0)), 6).alias("mean_ratio"), F.round(F.coalesce("median", F.lit(1.0)), 6).alias("median_ratio"))
 
 
+def truth_frequencies(truth: DataFrame, counts: DataFrame) -> DataFrame:
+    """Bin and n of the true terms by their frequency; null for those that have none."""
+    of = truth.select("term").distinct().join(counts.select("term", "frequency"), "term", "left")
+    return of.groupBy(frequency_bin(F.col("frequency")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def centres(long: DataFrame, digits: int = 6) -> DataFrame:
+    """Mean and median of each metric."""
+    return long.groupBy("metric").agg(F.round(F.avg("value"), digits).alias("mean"), F.round(F.median("value"), digits).alias("median"))
+
+
+def compared(runs: DataFrame, digits: int = 6) -> DataFrame:
+    """File, metric, mean of each metric that any file (run) has, 0 where a file lacks it. runs: file, metric, value."""
+    means = runs.groupBy("file", "metric").agg(F.round(F.avg("value"), digits).alias("mean"))
+    every = runs.select("file").distinct().crossJoin(F.broadcast(runs.select("metric").distinct()))  # files by metrics: a few names each
+    return every.join(means, ["file", "metric"], "left").select("file", "metric", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+def short_label(text, most: int = 30):
+    """The first characters of a long question, with dots."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def track(truth: DataFrame, stages: DataFrame, terms: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """Term, stage_index, stage, status (present, absent), what else terms has of it at that stage, and reason, for each true
+    term and stage. stages: stage_index, stage (a few rows); terms: stage_index, term and more; removed: stage_index, term, reason,
+    looked at where the term is absent."""
+    every = truth.select("term").distinct().crossJoin(F.broadcast(stages.select("stage_index", "stage")))
+    more = [c for c in terms.columns if c not in ("stage_index", "term")]
+    there = terms.dropDuplicates(["stage_index", "term"]).withColumn("_there", F.lit(True))
+    out = every.join(there, ["stage_index", "term"], "left").withColumn("status", F.when(F.col("_there"), "present").otherwise("absent"))
+    if removed is None:
+        out = out.withColumn("reason", F.lit(None).cast("string"))
+    else:
+        out = out.join(removed.groupBy("stage_index", "term").agg(F.min("reason").alias("_why")), ["stage_index", "term"], "left").withColumn("reason", F.when(F.col("status") == "absent", F.col("_why")))
+    return out.select("term", "stage_index", "stage", "status", *more, "reason")
+
+
+def stage_log(terms: DataFrame) -> DataFrame:
+    """For each stage, how many terms were there before and after, were removed and added. terms: stage_index, stage, side
+    (before, after), term."""
+    each = terms.groupBy("stage_index", "stage", "term").agg(F.bool_or(F.col("side") == "before").alias("b"), F.bool_or(F.col("side") == "after").alias("a"))
+    return each.groupBy("stage_index", "stage").agg(F.count_if("b").alias("terms_before"), F.count_if("a").alias("terms_after"), F.count_if(F.col("b") & ~F.col("a")).alias("removed"), F.count_if(F.col("a") & ~F.col("b")).alias("added"))
+
+
+def stage_summary(terms: DataFrame) -> DataFrame:
+    """One row: terms before the first stage and after the last, those of the first that the last lacks, and the number of stages."""
+    ends = terms.agg(F.min("stage_index").alias("low"), F.max("stage_index").alias("high"), F.countDistinct("stage_index").alias("stages"))
+    first = (F.col("stage_index") == F.col("low")) & (F.col("side") == "before")
+    last = (F.col("stage_index") == F.col("high")) & (F.col("side") == "after")
+    each = terms.crossJoin(F.broadcast(ends)).groupBy("term").agg(F.bool_or(first).alias("f"), F.bool_or(last).alias("l"))
+    counts = each.agg(F.count_if("f").alias("initial"), F.count_if("l").alias("final"), F.count_if(F.col("f") & ~F.col("l")).alias("removed"))
+    return counts.crossJoin(ends.select("stages"))  # one row each
+
+
+def removals(removed: DataFrame, reasons: DataFrame, most: int = 20) -> DataFrame:
+    """stage_index, reason, n and the first terms of those that a stage removed, by reason; a fixed word where there is none."""
+    why = removed.select("stage_index", "term").distinct().join(reasons.groupBy("stage_index", "term").agg(F.min("reason").alias("reason")), ["stage_index", "term"], "left").withColumn("reason", F.coalesce("reason", F.lit("理由不明")))
+    firsts = top_k(why, most, ["stage_index", "reason"], "term").groupBy("stage_index", "reason").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return why.groupBy("stage_index", "reason").agg(F.count("*").alias("n")).join(firsts, ["stage_index", "reason"])
+
+
+def profile(phases: DataFrame, most: int = 3) -> DataFrame:
+    """Phase, duration, percent of all durations, and rank, null but for the `most` longest. phases: phase, duration, a row
+    for each time that a phase ran."""
+    each = phases.groupBy("phase").agg(F.sum("duration").alias("duration"))
+    total = each.agg(F.sum("duration").alias("total"))
+    # A pipeline has a few phases, so one window over all of them is small.
+    rank = F.row_number().over(Window.orderBy(F.desc("duration"), "phase"))
+    out = each.crossJoin(F.broadcast(total)).withColumn("rank", rank)
+    return out.select("phase", "duration", F.round(F.coalesce(F.try_divide(F.col("duration") * 100, "total"), F.lit(0.0)), 4).alias("percent"), F.when(F.col("rank") <= most, F.col("rank")).alias("rank"))
+
+
 def stage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Term and whether a stage removed or added it."""
     return before.select("term").distinct().join(after.select("term"), "term", "left_anti").withColumn("change", F.lit("removed")).unionByName(after.select("term").distinct().join(before.select("term"), "term", "left_anti").withColumn("change", F.lit("added")))

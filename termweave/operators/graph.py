@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..storage import written
 
 #: What an edge type passes on of a term's weight; any other type passes 0.2.
-RELATION_WEIGHTS = {"SYNONYM": 0.95, "SIMILAR_TO": 0.8, "IS_A": 0.7, "PART_OF": 0.6, "RELATED_TO": 0.5, "CO_OCCURS_WITH": 0.4, "BELONGS_TO": 0.3}
+RELATION_WEIGHTS = {"SYNONYM": 0.95, "IS_A": 0.8, "PART_OF": 0.7, "SIMILAR_TO": 0.6, "BELONGS_TO": 0.5, "RELATED_TO": 0.4, "CO_OCCURS_WITH": 0.3}
 OTHER_RELATION, DECAY = 0.2, 0.7
 
 
@@ -31,30 +32,41 @@ def bfs(edges: DataFrame, centres: DataFrame, depth: int, types: list[str] | Non
 
 
 def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3, most: int = 20) -> DataFrame:
-    """Seed, id, weight, depth of terms round the seeds (column id), at most `most` for each seed.
+    """Seed, id, weight, depth of terms round the seeds (column id), at most `most` for each seed, of which the seed
+    itself (weight 1, depth 0) is one.
 
     weight = parent's * relation * edge weight * confidence * 0.7 ** depth. A node is visited once, at its first level,
     by the edge that gives most. A seed with enough terms after a level goes no deeper."""
     relation = F.coalesce(*(F.when(F.col("edge_type") == t, F.lit(w)) for t, w in RELATION_WEIGHTS.items()), F.lit(OTHER_RELATION))
     terms = nodes.filter("node_type = 'Term'").select(F.col("id").alias("dst"))
     e = both_ways(edges).withColumn("passes", relation * F.col("weight") * F.col("confidence")).groupBy("src", "dst").agg(F.max("passes").alias("passes")).join(terms, "dst", "left_semi")
-    frontier = written(seeds.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("weight"), F.lit(0).alias("depth")), "expand")
+    frontier = written(seeds.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("weight"), F.lit(0).alias("depth")).distinct(), "expand")
     seen = frontier
     for level in range(1, depth + 1):
-        enough = seen.filter("depth > 0").groupBy("seed").count().filter(F.col("count") >= most).select("seed")
+        enough = seen.groupBy("seed").count().filter(F.col("count") >= most).select("seed")
         new = frontier.join(enough, "seed", "left_anti").withColumnRenamed("id", "src").join(e, "src")
         new = new.groupBy("seed", F.col("dst").alias("id")).agg(F.max(F.col("weight") * F.col("passes") * DECAY**level).alias("weight")).filter(F.col("weight") >= least)
         frontier = written(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)), "expand")
         seen = seen.unionByName(frontier)
     from .retrieval import top_k
 
-    return top_k(seen.filter("depth > 0").withColumn("weight", F.round("weight", 6)), most, ["seed"], F.desc("weight"), "id").select("seed", "id", "weight", "depth")
+    return top_k(seen.withColumn("weight", F.round("weight", 6)), most, ["seed"], F.desc("weight"), "depth", "id").select("seed", "id", "weight", "depth")
 
 
-def merge_expansions(expanded: DataFrame, how: str = "max") -> DataFrame:
-    """One weight for each id over all seeds: max, mean, or sum up to 1."""
+def expand_queries(edges: DataFrame, nodes: DataFrame, queries: DataFrame, how: str = "max", **limits) -> DataFrame:
+    """query_id, id, weight: the expansions of all words between blanks of each query that are terms (of several nodes with
+    one term, the least id), merged by A25. queries: query_id, query."""
+    words = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).distinct()
+    named = nodes.groupBy("term").agg(F.min("id").alias("seed"))
+    asked = words.join(named, "term").select("query_id", "seed")
+    found = expand(edges, nodes, asked.select(F.col("seed").alias("id")), **limits)
+    return merge_expansions(asked.join(found, "seed"), how, ["query_id"])
+
+
+def merge_expansions(expanded: DataFrame, how: str = "max", by: list[str] | None = None) -> DataFrame:
+    """One weight for each id over all seeds (of each group): max, mean, or sum up to 1."""
     merged = {"max": F.max("weight"), "mean": F.avg("weight"), "sum": F.least(F.sum("weight"), F.lit(1.0))}[how]
-    return expanded.groupBy("id").agg(F.round(merged, 6).alias("weight"))
+    return expanded.groupBy(*(by or []), "id").agg(F.round(merged, 6).alias("weight"))
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
@@ -90,9 +102,17 @@ def revised(scores: DataFrame, importance: DataFrame) -> DataFrame:
 
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """No self loops; of equal (source, target, type), the greatest weight and confidence."""
-    both = old.unionByName(new).filter("source_id <> target_id")
-    return both.groupBy("source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"), F.max("confidence").alias("confidence"))
+    """No self loops; of equal (source, target, type), the greatest weight and confidence; where both tables have properties
+    (a map), those of both, the new value where a name is in both."""
+    key = ["source_id", "target_id", "edge_type"]
+    greatest = [F.max("weight").alias("weight"), F.max("confidence").alias("confidence")]
+    both = old.unionByName(new, allowMissingColumns=True).filter("source_id <> target_id").groupBy(*key).agg(*greatest)
+    if "properties" not in old.columns or "properties" not in new.columns:
+        return both
+    sides = old.select(*key, "properties", F.lit(0).alias("side")).unionByName(new.select(*key, "properties", F.lit(1).alias("side")))
+    named = sides.select(*key, "side", F.explode("properties")).groupBy(*key, "key").agg(F.max_by("value", F.struct("side", "value")).alias("value"))
+    merged = named.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
+    return both.join(merged, key, "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -141,10 +161,21 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def listing(nodes: DataFrame) -> DataFrame:
-    """Names of the terms."""
+    """Names of the terms."""
     return nodes.filter("node_type = 'Term'").select("id", "term")
 
 
+def weighted_terms(expanded: DataFrame, least: float = 0.0) -> DataFrame:
+    """Of expanded terms, those of at least this weight."""
+    return expanded.filter(F.col("weight") >= least)
+
+
+def find_nodes(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """Term and id for the asked terms, null where the graph lacks one; of several nodes, the least id."""
+    known = nodes.filter("node_type = 'Term'").groupBy("term").agg(F.min("id").alias("id"))
+    return terms.select("term").distinct().join(known, "term", "left")
+
+
 def relationships(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between terms, by name."""
     t = nodes.filter("node_type = 'Term'").select("id", "term")

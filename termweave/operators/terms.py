@@ -1,10 +1,21 @@
 """Term mining: candidates, TF-IDF, C-value, nested terms and their combination."""
 
+import re
+from collections import Counter
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..storage import written
+from .blocks import held
+
+#: Rows of keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+#: Characters of terms that a task looks for at a time; each takes about 100 bytes of an automaton.
+TERM_BLOCK = 2_000_000
 
 
 def ngrams(tokens: str, low: int, high: int) -> Column:
@@ -19,67 +30,136 @@ def ngrams(tokens: str, low: int, high: int) -> Column:
     return F.flatten(F.array(*(F.coalesce(r, empty) for r in runs)))
 
 
+def mined(docs: DataFrame, sentences: Column, low: int = 2, high: int = 6, minimum: int = 2) -> DataFrame:
+    """F5, W8 in one: term (tokens joined by a blank), size and frequency of all runs of low..high tokens of a sentence that a
+    document has `minimum` times at least. sentences: for each document, the array of its sentences' tokens.
+
+    A document is one row, so its runs are counted where it stands, and only those that repeat leave the task; a run that
+    doesn't repeat has no longer one that does. Null sentences have no runs."""
+
+    def count(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for doc in batch.column(0):
+                said = [t for t in doc.as_py() or () if t]
+                for n in range(low, high + 1):
+                    runs = Counter(chain.from_iterable(zip(*(t[i:] for i in range(n))) for t in said))
+                    often = {run: c for run, c in runs.items() if c >= minimum}
+                    if not often:
+                        break
+                    found.update(often)
+            runs = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(r) for r in runs], pa.string()), pa.array([len(r) for r in runs], pa.int32()), pa.array([found[r] for r in runs], pa.int64())], ["term", "size", "n"])
+
+    each = docs.select(sentences.alias("sentences")).mapInArrow(count, "term string, size int, n bigint")
+    return each.groupBy("term", "size").agg(F.sum("n").alias("frequency")).select("term", "frequency", "size")
+
+
 def candidate_frequency(spans: DataFrame, minimum: int = 2, key: str = "doc_id") -> DataFrame:
     """term, frequency. Terms with fewer than minimum distinct spans in a document don't count there."""
     each = spans.groupBy(key, "term").agg(F.countDistinct("start", "end").alias("n")).filter(F.col("n") >= minimum)
     return each.groupBy("term").agg(F.sum("n").alias("frequency"))
 
 
-def tfidf(sentences: DataFrame, candidates: DataFrame, key: str = "doc_id") -> DataFrame:
+def _chained(first: Column, rest: Column) -> Column:
+    """The key of a run of tokens, from the hashes of its tokens."""
+    return F.aggregate(rest, first, lambda key, x: F.xxhash64(key, x))
+
+
+def _keyed_runs(df: DataFrame, tokens: str, low: int, high: int) -> DataFrame:
+    """df with _keys: the keys of all runs of low..high tokens. Each length is made from the one before."""
+    df = df.withColumn("_h", F.transform(tokens, lambda x: F.xxhash64(x))).withColumn("_1", F.col("_h"))
+    for n in range(2, high + 1):
+        left = F.greatest(F.size("_h") - (n - 1), F.lit(0))
+        df = df.withColumn(f"_{n}", F.zip_with(F.slice(f"_{n - 1}", F.lit(1), left), F.slice("_h", F.lit(n), left), lambda key, x: F.xxhash64(key, x)))
+    return df.withColumn("_keys", F.concat(*(f"_{n}" for n in range(low, high + 1)))).drop("_h", *(f"_{n}" for n in range(1, high + 1)))
+
+
+def tfidf(sentences: DataFrame, candidates: DataFrame, key: str = "doc_id", documents: int | None = None) -> DataFrame:
     """A5: term, df, tfidf. sentences has key, sentence number and tokens (array); candidates has term (tokens joined by
-    a blank) and size. tf is 1 + ln f in each sentence, df counts documents, idf is ln((N + 1) / (df + 1)) + 1."""
-    sizes = [r[0] for r in candidates.select("size").distinct().orderBy("size").collect()]  # lengths of terms: a handful
-    n = sentences.select(key).distinct().count()
-    found = sentences.select(key, "sentence", F.explode(F.concat(*(ngrams("tokens", s, s) for s in sizes)) if sizes else ngrams("tokens", 1, 1)).alias("g")).select(key, "sentence", F.col("g.term").alias("term"))
-    found = found.join(candidates.select("term"), "term", "left_semi")
-    counts = found.groupBy("term", key, "sentence").agg((1 + F.log(F.count("*"))).alias("tf"))
-    per_term = counts.groupBy("term", key).agg(F.sum("tf").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    a blank) and size. tf is 1 + ln f in each sentence, df counts documents, idf is ln((N + 1) / (df + 1)) + 1, N the number
+    of documents (those with a sentence, if not given).
+
+    Runs of tokens are keys of 64 bits, so no text is made for what is no candidate. Candidates' keys are broadcast up to
+    BROADCAST_KEYS, beyond that the runs go to them by a shuffle."""
+    bounds = candidates.agg(F.min("size"), F.max("size"), F.count("*")).first()
+    low, high, many = bounds[0] or 1, bounds[1] or 1, bounds[2]
+    n = sentences.select(key).distinct().count() if documents is None else documents
+    hashes = F.transform(F.split("term", " "), lambda x: F.xxhash64(x))
+    wanted = candidates.select(_chained(F.get(hashes, F.lit(0)), F.slice(hashes, F.lit(2), F.size(hashes))).alias("run"), "term")
+    runs = _keyed_runs(sentences.select(key, "sentence", "tokens"), "tokens", low, high).select(key, "sentence", F.explode("_keys").alias("run"))
+    found = runs.join(F.broadcast(wanted.select("run")) if many <= BROADCAST_KEYS else wanted.select("run"), "run")
+    counts = found.groupBy("run", key, "sentence").agg((1 + F.log(F.count("*"))).alias("tf"))
+    per_run = counts.groupBy("run", key).agg(F.sum("tf").alias("tf")).groupBy("run").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     idf = F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1
-    scored = candidates.select("term").join(per_term, "term", "left")
+    scored = wanted.join(per_run, "run", "left")
     return scored.select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"), F.round(F.coalesce("tf", F.lit(0.0)) * idf, 6).alias("tfidf"))
 
 
-def _starts(text: str) -> Column:
-    """The distinct one to three characters at any place of a column: what it holds begins with one of them."""
-    gram = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
-    empty = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*(F.coalesce(gram(n), empty) for n in (1, 2, 3))))
-
-
 def containment(terms: DataFrame) -> DataFrame:
-    """Short, long of each two terms of which one holds the other. Terms meet at the short one's first characters, up
-    to three, at any place of the long one, so nothing is compared that can't start alike."""
-    longs = terms.select(F.col("term").alias("long"), F.explode(_starts("term")).alias("block"))
-    shorts = terms.filter("term <> ''").select(F.col("term").alias("short"), F.substring("term", 1, 3).alias("block"))
-    return shorts.join(longs, "block").filter((F.length("long") > F.length("short")) & F.contains("long", "short")).select("short", "long")
-
-
-def independent_ratio(texts: DataFrame, candidates: DataFrame, text: str = "text") -> DataFrame:
-    """Term, total, ratio. The share of a term's occurrences that are in no longer candidate, 0 if it has none.
-
-    Occurrences are counted per text and added up: candidates meet a text at their first characters, up to three, at any
-    place of it. The query's SQL still asks for the first word between blanks, so its totals may be lower."""
-    rows = texts.select(F.col(text).alias("t")).filter("t is not null")
-    blocks = rows.select("t", F.explode(_starts("t")).alias("block"))
-    first = candidates.filter("term <> ''").select("term", F.substring("term", 1, 3).alias("block"))
-    counts = blocks.join(first, "block").filter(F.contains("t", "term")).groupBy("term").agg(F.sum(T.occurrences(F.col("t"), F.col("term"))).alias("total"))
-    pairs = containment(candidates.select("term"))
+    """Short, long of each two terms of which one holds the other."""
+    pairs = held(terms.select(F.col("term").alias("short")), "short", terms.select(F.col("term").alias("long")), "long")
+    return pairs.filter(F.length("long") > F.length("short")).select("short", "long")
+
+
+def counted(texts: DataFrame, terms: DataFrame, text: str = "text", block: int = TERM_BLOCK) -> DataFrame:
+    """X16 for many terms: term and total, its places in all texts, at any place of them and without overlap with itself.
+
+    A task passes once over each text for all terms of a block together; terms of more than `block` characters in all
+    are looked for in several passes, so what a task holds doesn't grow with them. Terms that are nowhere have no row."""
+    terms = written(terms.select("term").filter("term <> ''").distinct(), "terms")
+    blocks = max(1, -(-(terms.agg(F.sum(F.length("term"))).first()[0] or 0) // block))
+    found = None
+    for number in range(blocks):
+        some = terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == number)
+        words = texts.sparkSession.sparkContext.broadcast([r[0] for r in some.collect()])  # about `block` characters
+
+        def count(batches, words=words):
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for i, w in enumerate(words.value):
+                machine.add_word(w, i)
+            machine.make_automaton()
+            sizes = [len(w) for w in words.value]
+            for batch in batches:
+                total: Counter = Counter()
+                for t in batch.column(0):
+                    free: dict[int, int] = {}
+                    for end, i in machine.iter(t.as_py() or "") if sizes else ():
+                        if free.get(i, 0) <= end - sizes[i] + 1:
+                            free[i] = end + 1
+                            total[i] += 1
+                yield pa.RecordBatch.from_arrays([pa.array([words.value[i] for i in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+
+        part = texts.select(F.col(text).alias("t")).mapInArrow(count, "term string, n bigint")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("term").agg(F.sum("n").alias("total"))
+
+
+def independent_ratio(texts: DataFrame, candidates: DataFrame, text: str = "text", pairs: DataFrame | None = None) -> DataFrame:
+    """Term, total, ratio. The share of a term's occurrences that are in no longer candidate, 0 if it has none. pairs: the
+    candidates' containment(), where it is at hand."""
+    counts = written(counted(texts, candidates, text), "totals")
+    pairs = containment(candidates.select("term")) if pairs is None else pairs
     inside = pairs.join(counts.withColumnRenamed("term", "long"), "long").groupBy("short").agg(F.sum("total").alias("inside"))
     out = candidates.select("term").join(counts, "term", "left").join(inside.withColumnRenamed("short", "term"), "term", "left")
     total = F.coalesce("total", F.lit(0))
     return out.select("term", total.alias("total"), F.round(F.greatest(F.lit(0.0), F.coalesce(F.try_divide(total - F.coalesce("inside", F.lit(0)), total), F.lit(0.0))), 6).alias("ratio"))
 
 
-def cvalue(candidates: DataFrame, ratios: DataFrame | None = None, least_ratio: float = 0.3) -> DataFrame:
-    """Term, cvalue: log2(size + 1) * frequency less the mean frequency of longer terms that hold it, 0 at least, and 0
-    where fewer of its occurrences are independent than least_ratio. candidates: term, size, frequency."""
+def cvalue(candidates: DataFrame, ratios: DataFrame | None = None, least_ratio: float = 0.3, pairs: DataFrame | None = None) -> DataFrame:
+    """Term, cvalue: log2(size + 1) * frequency less the mean frequency of longer terms that hold it, 0 at least. With
+    ratios (term, ratio), also 0 for a term that others hold and of whose occurrences fewer are independent than
+    least_ratio. candidates: term, size, frequency; pairs: their containment(), where it is at hand."""
     freq = candidates.select(F.col("term").alias("long"), F.col("frequency").alias("f"))
-    longer = containment(candidates.select("term")).join(freq, "long").groupBy("short").agg(F.avg("f").alias("mean")).withColumnRenamed("short", "term")
+    pairs = containment(candidates.select("term")) if pairs is None else pairs
+    longer = pairs.join(freq, "long").groupBy("short").agg(F.avg("f").alias("mean")).withColumnRenamed("short", "term")
     scored = candidates.join(longer, "term", "left")
     value = F.greatest(F.lit(0.0), F.log2(F.col("size") + 1.0) * F.col("frequency") - F.coalesce("mean", F.lit(0.0)))
     if ratios is not None:
         scored = scored.join(ratios.select("term", "ratio"), "term", "left")
-        value = F.when(F.coalesce("ratio", F.lit(0.0)) < least_ratio, 0.0).otherwise(value)
+        value = F.when(F.col("mean").isNotNull() & (F.coalesce("ratio", F.lit(0.0)) < least_ratio), 0.0).otherwise(value)
     return scored.select("term", F.round(value, 6).alias("cvalue"))
 
 
@@ -129,12 +209,12 @@ def to_define(capped: DataFrame, percent: float = 50.0) -> DataFrame:
     return capped.filter(short).unionByName(best(rest, int(rest.count() * percent / 100)))
 
 
-def nested_filter(scores: DataFrame, ratio: float = 0.3) -> DataFrame:
+def nested_filter(scores: DataFrame, ratio: float = 0.3, pairs: DataFrame | None = None) -> DataFrame:
     """without terms that a longer kept term holds and whose C-value is below ratio of its.
 
     A longer term counts only if it stays itself and has a C-value, so terms are settled from the longest down; rounds
     end when nothing is open. Each round settles every term whose longer ones are settled."""
-    pairs = containment(scores.select("term"))
+    pairs = containment(scores.select("term")) if pairs is None else pairs
     value = scores.select("term", "cvalue")
     threats = pairs.join(value.withColumnRenamed("term", "short").withColumnRenamed("cvalue", "cs"), "short").join(value.withColumnRenamed("term", "long").withColumnRenamed("cvalue", "cl"), "long")
     threats = written(threats.filter((F.col("cl") > 0) & (F.col("cs") < ratio * F.col("cl"))).select("short", "long"), "nested")
@@ -151,17 +231,108 @@ def nested_filter(scores: DataFrame, ratio: float = 0.3) -> DataFrame:
     return scores.join(gone.distinct(), "term", "left_anti")
 
 
+def _islands(tokens: DataFrame, joins: Column) -> DataFrame:
+    """Tokens that join, with island: the same number for those in one run. tokens: doc_id, sent_id, pos, surface, ..."""
+    order = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
+    marked = tokens.withColumn("joins", F.coalesce(joins, F.lit(False)))
+    return marked.withColumn("island", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order)).filter("joins")
+
+
+def _run(tokens: DataFrame) -> DataFrame:
+    """doc_id, sent_id, island, parts (the surfaces in order), start."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "surface"))), lambda x: x["surface"])
+    return tokens.groupBy("doc_id", "sent_id", "island").agg(parts.alias("parts"), F.min("pos").alias("start"))
+
+
+def _noun() -> Column:
+    return F.col("pos_major") == "noun"
+
+
 def noun_runs(tokens: DataFrame, longest: int = 15) -> DataFrame:
-    """Runs of nouns in token order as compounds of two and more, up to a length in characters.
+    """Runs of nouns and prefixes in token order as compounds of two and more, up to a length in characters.
 
     tokens: doc_id, sent_id, pos, surface, pos_major, pos_sub. A number ends a run unless a counter follows it."""
     order = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
-    number = F.col("pos_sub") == "number"
-    joins = (F.col("pos_major") == "noun") & (~number | (F.lead("pos_sub").over(order) == "counter"))
-    marked = tokens.withColumn("joins", F.coalesce(joins, F.lit(False)))
-    marked = marked.withColumn("island", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
-    runs = marked.filter("joins").groupBy("doc_id", "sent_id", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surface"))), lambda x: x["surface"]), "").alias("term"), F.count("*").alias("size"), F.min("pos").alias("start"))
-    return runs.filter((F.col("size") >= 2) & (F.length("term") <= longest)).select("doc_id", "sent_id", "start", "size", "term")
+    joins = F.col("pos_major").isin("noun", "prefix") & (~F.col("pos_sub").eqNullSafe("number") | (F.lead("pos_sub").over(order) == "counter"))
+    runs = _run(_islands(tokens, joins)).select("doc_id", "sent_id", "start", F.size("parts").cast("long").alias("size"), F.array_join("parts", "").alias("term"))
+    return runs.filter((F.col("size") >= 2) & (F.length("term") <= longest))
+
+
+def noun_ngrams(tokens: DataFrame, low: int = 2, high: int = 6) -> DataFrame:
+    """doc_id, sent_id, start, size, term of all runs of low..high tokens within runs of nouns and prefixes, valid ones (F6) alone."""
+    runs = _run(_islands(tokens, F.col("pos_major").isin("noun", "prefix")))
+    of = lambda n: F.when(F.size("parts") >= n, F.transform(F.sequence(F.lit(0), F.size("parts") - n), lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(n).cast("long").alias("size"), F.array_join(F.slice("parts", i + 1, F.lit(n)), "").alias("term"))))
+    grams = F.filter(F.flatten(F.array_compact(F.array(*(of(n) for n in range(low, high + 1))))), lambda g: T.is_valid_term(g["term"]))
+    return runs.select("doc_id", "sent_id", F.explode(grams).alias("g")).select("doc_id", "sent_id", "g.*")
+
+
+def single_nouns(tokens: DataFrame) -> DataFrame:
+    """doc_id, term, n of nouns of two characters and more that are valid (F6); tokens are those of the analyser's longest units."""
+    kept = tokens.filter(_noun() & (F.length("surface") >= 2) & T.is_valid_term(F.col("surface")))
+    return kept.groupBy("doc_id", F.col("surface").alias("term")).agg(F.count("*").alias("n"))
+
+
+def noun_subruns(tokens: DataFrame, most: int = 4, shortest: int = 2, longest: int = 20, minimum: int = 2) -> DataFrame:
+    """Term and frequency of all sub-runs of up to `most` nouns, by length in characters, found `minimum` times and more."""
+    runs = _run(_islands(tokens, _noun()))
+    of = lambda n: F.when(F.size("parts") >= n, F.transform(F.sequence(F.lit(1), F.size("parts") - n + 1), lambda i: F.array_join(F.slice("parts", i, F.lit(n)), "")))
+    terms = runs.select(F.explode(F.flatten(F.array_compact(F.array(*(of(n) for n in range(1, most + 1)))))).alias("term"))
+    kept = terms.filter(F.length("term").between(shortest, longest)).groupBy("term").agg(F.count("*").alias("frequency"))
+    return kept.filter(F.col("frequency") >= minimum)
+
+
+def noun_phrases(tokens: DataFrame) -> DataFrame:
+    """doc_id, sent_id, start, phrase: each run of two nouns and more."""
+    runs = _run(_islands(tokens, _noun())).filter(F.size("parts") >= 2)
+    return runs.select("doc_id", "sent_id", "start", F.array_join("parts", "").alias("phrase"))
+
+
+def keywords(tokens: DataFrame, shortest: int = 2, longest: int = 10, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and keyword, distinct: nouns in normal form, and runs of several nouns up to a length. tokens also has normalized."""
+    runs = _run(_islands(tokens.withColumn("surface", F.col("normalized")), _noun()))
+    one = F.filter("parts", lambda x: (F.length(x) >= shortest) & ~x.isin(*stop_words) if stop_words else F.length(x) >= shortest)
+    whole = F.array_join("parts", "")
+    return runs.select("doc_id", F.explode(F.concat(one, F.when((F.size("parts") > 1) & (F.length(whole) <= longest), F.array(whole)).otherwise(F.array().cast("array<string>")))).alias("keyword")).distinct()
+
+
+#: Patterns of terms: bracketed abbreviations, models and codes, compounds of chemistry, abbreviations and what is
+#: built with them, numbers with units, katakana with letters, technical compounds.
+PATTERNS = (
+    r"[（(][A-Z]{2,5}[）)]",
+    r"\b[0-9]+[A-Z]+[-_][0-9]+[A-Z]*\b",
+    r"\b[A-Z]+[0-9]+[A-Z]+[-_]?[0-9]*\b",
+    r"\b[0-9]+[A-Z]{2,}[-_]?[0-9]*\b",
+    r"\b(CO2|NOx|SOx|PM2\.5|NH3|H2O|CH4|N2O)\b",
+    r"\b[A-Z]{2,5}:\s*[A-Z]",
+    r"\b[A-Z]{2,5}\b",
+    r"(?<![A-Za-z0-9])[A-Z][0-9]{1,2}(?![A-Za-z0-9])",
+    r"\b[A-Z]{2,5}(制御|装置|システム|方式|機能|技術|モード)\b",
+    r"\b\d+(\.\d+)?\s*(mg|kg|kWh|MW|rpm|bar|°C|K|Pa|MPa|m³|L)/?\w*\b",
+    r"[ァ-ヴー]+[A-Z0-9]+",
+    r"[A-Z0-9]+[ァ-ヴー]+",
+    r"[ァ-ヴー]+(燃料|エンジン|システム|装置|機構)",
+    r"(高|低|新|旧|次世代|環境)[ァ-ヴー]+",
+)
+
+
+def pattern_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, term, start, end of what the patterns find in whole texts: brackets go, of "ABC: D" the part before the
+    colon stays, and what F6 refuses goes. start and end are code points of the whole match; equal spans of a term come once.
+    The patterns' word bounds are those of Unicode, so they are matched per Arrow batch."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches):
+        patterns = [re.compile(p) for p in PATTERNS]
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch.column(0), batch.column(1)):
+                spans = {(m[0].strip("（）()").split(":")[0].strip(), *m.span()) for p in patterns for m in p.finditer(t.as_py() or "")}
+                rows += [(d.as_py(), *s) for s in spans]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["doc_id", "term", "start", "end"])
+
+    found = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, term string, start bigint, end bigint")
+    return found.filter(T.is_valid_term(F.col("term")))
 
 
 def funnel(stages: DataFrame) -> DataFrame:

@@ -31,13 +31,12 @@ def mine(docs: DataFrame, low: int = 2, high: int = 6, least: int = 2, most: int
     """term and score: candidates, TF-IDF and C-value, nested terms, the best `most`, re-ranked on the graph of similar terms.
 
     docs: doc_id, text. The cut comes before the only step that compares terms with each other, and is the operator's own."""
+    strict = F.transform(T.sentences(F.lower("text"), strict=True), T.tokens)
+    found = terms.written(terms.mined(docs, strict, low, high, least).filter(T.is_valid_term(F.col("term"))), "mined")
+    pairs = terms.written(terms.containment(found.select("term")), "mined-pairs")
+    c = terms.cvalue(found, terms.independent_ratio(docs.select(F.lower("text").alias("text")), found, pairs=pairs), pairs=pairs)
+    kept = terms.nested_filter(c, pairs=pairs)
     s = docs.filter("text is not null").select("doc_id", F.posexplode(T.sentences(F.lower("text"))).alias("sentence", "s")).select("doc_id", "sentence", T.tokens(F.col("s")).alias("tokens"))
-    g = s.select("doc_id", "sentence", F.explode(terms.ngrams("tokens", low, high)).alias("g"))
-    spans = g.select("doc_id", F.col("g.term").alias("term"), F.struct("sentence", "g.start").alias("start"), F.col("g.size").alias("end"))
-    found = terms.candidate_frequency(spans, least).withColumn("size", F.size(F.split("term", " "))).filter(T.is_valid_term(F.col("term")))
-    found = terms.written(found, "mined")
-    c = terms.cvalue(found)
-    kept = terms.nested_filter(c)
     scores = terms.combined_score(found.join(terms.tfidf(s, found), "term").join(kept, "term"))
     top = terms.written(terms.best(scores, most), "mined-top")
     vectors = providers.apply(top.select("term"), "term", "embedding", embed, "array<float>").withColumn("vec_id", F.xxhash64("term"))

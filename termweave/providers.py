@@ -7,6 +7,8 @@ Each provider is a function from a batch (list of strings) to a list, and runs p
 import hashlib
 import math
 import re
+import sys
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -48,21 +50,55 @@ def plain_pages(batch: list[str]) -> list[str]:
     return batch
 
 
+#: Bytes of a text that an analyser takes at a time.
+MOST_BYTES = 49_000
+
+
+def bounded(tokens: Callable[[list[str]], list[list[str]]], most: int = MOST_BYTES) -> Callable[[list[str]], list[list[str]]]:
+    """A provider of tokens that is given no text of more than `most` bytes: longer ones are cut after 。, a sentence that is
+    itself too long by characters, and their tokens put together."""
+
+    def pieces(text: str) -> list[str]:
+        if len(text.encode("utf-8", "replace")) <= most:
+            return [text]
+        out = [""]
+        for sentence in re.split("(?<=。)", text):
+            for part in [sentence] if len(sentence.encode("utf-8", "replace")) <= most else [sentence[i : i + most // 4] for i in range(0, len(sentence), most // 4)]:
+                if len((out[-1] + part).encode("utf-8", "replace")) > most:
+                    out.append("")
+                out[-1] += part
+        return [x for x in out if x]
+
+    def run(batch: list[str]) -> list[list[str]]:
+        return [[t for found in tokens(pieces(text)) for t in found] for text in batch]
+
+    return run
+
+
 def apply(df: DataFrame, column: str, name: str, provider: Callable[[list[str]], list], kind: str, on_error=EMPTY, batch_size: int = 50) -> DataFrame:
     """df with the provider's answers for a text column (null asks as ""). A batch that fails has on_error: null, True or,
-    for PASS, the text itself."""
+    for PASS, the text itself; the failures are counted and go to the task's log, one line for each kind of error.
+
+    An answer of another number than the texts is an error of the provider's code and ends the job."""
 
     def run(batches):
+        failures: Counter = Counter()
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
             answers = []
             for i in range(0, len(texts), batch_size):
                 part = texts[i : i + batch_size]
                 try:
-                    answers += provider(part)
-                except Exception:
-                    answers += part if on_error == PASS else [on_error] * len(part)
+                    given = list(provider(part))
+                except Exception as e:
+                    failures[f"{type(e).__name__}: {e}"] += 1
+                    given = part if on_error == PASS else [on_error] * len(part)
+                if len(given) != len(part):
+                    raise ValueError(f"{len(given)} answers for {len(part)} texts")
+                answers += given
             yield batch.append_column(name, pa.array(answers, _ARROW[kind]))
+        for what, n in failures.items():
+            print(f"{name}: {n} batches failed with {what}", file=sys.stderr)
 
     return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast(kind)).schema)
 

@@ -14,6 +14,7 @@ from .operators import graph as G
 from .operators import retrieval as R
 from .operators import similarity as S
 from .operators import terms as M
+from .storage import written
 
 QUERIES = {}
 SQL = {}
@@ -55,9 +56,27 @@ def _index(spark, sf_dir):
 _POSTINGS = rf"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(trim(lower(text)), '\s+'), lambda x: x <> '')) AS token FROM documents) GROUP BY ALL"
 
 
-@query(r"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS ordinal, piece FROM (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？\n]'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))")
+def _pieces(ends: str, least: int) -> str:
+    """SQL of X5: stripped pieces of text of at least so many characters."""
+    return f"list_filter(list_transform(regexp_split_to_array(text, '{ends}'), lambda x: regexp_replace(x, '^[{T.BLANKS}]+|[{T.BLANKS}]+$', '', 'g')), lambda x: length(x) >= {least})"
+
+
+def _split_sql(ends: str, least: int) -> str:
+    return f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS ordinal, piece FROM (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT doc_id, {_pieces(ends, least)} AS p FROM documents))"
+
+
+def _split(spark, sf_dir, strict):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"), strict)).alias("ordinal", "piece")).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query(_split_sql(T.SENTENCE_END, 1))
 def chunk_split(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ordinal", "piece")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return _split(spark, sf_dir, False)
+
+
+@query(_split_sql(T.STRICT_END, 3))
+def sentence_split_strict(spark, sf_dir):
+    return _split(spark, sf_dir, True)
 
 
 @query(f"SELECT doc_id, len({TOKENS})::BIGINT AS n_tokens, len(list_distinct({TOKENS}))::BIGINT AS n_distinct FROM documents")
@@ -185,45 +204,92 @@ def rrf_fusion(spark, sf_dir):
     return R.reciprocal_rank_fusion(_two_lists(spark, sf_dir), final_k=20)
 
 
-@query()
+_HYBRID = f"""
+WITH p AS ({_POSTINGS}), q AS (SELECT doc_id AS query_id, token FROM p WHERE doc_id % 100 = 0), n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+r AS (SELECT query_id, token FROM (SELECT q.*, row_number() OVER (PARTITION BY query_id ORDER BY df, token) AS r FROM q JOIN (SELECT token, count(*) AS df FROM p GROUP BY 1) USING (token)) WHERE r = 1),
+c AS (SELECT query_id, doc_id FROM p JOIN r USING (token)),
+s AS (SELECT query_id, doc_id, round(sum(1 - 1.0 / (1 + tf)), 6) AS score, count(*) AS matched FROM c JOIN q USING (query_id) JOIN p USING (doc_id, token) GROUP BY ALL),
+k AS (SELECT query_id, 1 AS list_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN n USING (query_id) WHERE matched = n),
+v AS (SELECT a.vec_id AS query_id, 0 AS list_id, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COSINE}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, min(list_id * 1000 + rank) AS seen FROM (FROM k UNION ALL FROM v) WHERE rank <= 20 GROUP BY ALL)
+SELECT query_id, doc_id, rrf, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, doc_id) AS fused_rank FROM f) WHERE fused_rank <= 5"""
+
+
+@query(_HYBRID)
 def hybrid_retrieval(spark, sf_dir):
-    """The flagship: documents as queries against words and vectors, fused. Documents and vectors meet by their number."""
+    """The flagship: every hundredth document as a query, all its words, against words and vectors, fused. Documents and
+    vectors meet by their number."""
     docs, e = _docs(spark, sf_dir), _embeddings(spark, sf_dir)
-    words = docs.filter("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.explode(F.slice(F.array_distinct(T.tokens(F.lower("text"))), 1, 5)).alias("token"))
-    keyword = R.keyword_search(_index(spark, sf_dir), words, k=20).select("query_id", F.lit(1).alias("list_id"), "doc_id", "rank")
+    index = written(_index(spark, sf_dir), "postings")
+    asked = docs.filter("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.lower("text").alias("query"))
+    keyword = R.keyword_queries(index, asked, k=20).select("query_id", F.lit(1).alias("list_id"), "doc_id", "rank")
     vector = R.vector_search(e, e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 20).select("query_id", F.lit(0).alias("list_id"), F.col("vec_id").alias("doc_id"), "rank")
     return R.reciprocal_rank_fusion(vector.unionByName(keyword), final_k=5)
 
 
-# Term mining: bigrams of the words of documents.
+_JAPANESE = "(VALUES (1, '東京 駅 の 近く に ある 店'), (2, 'は 水素 燃料'), (3, '駅')) AS q(query_id, query)"
+
+
+@query(f"WITH d AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' 東京 駅' WHEN 1 THEN ' 燃料 の 近く' ELSE ' に ある 店' END AS text FROM documents), p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM d) GROUP BY ALL), w AS (SELECT DISTINCT query_id, unnest(list_filter(list_slice(string_split(query, ' '), 1, 5), lambda x: length(x) >= 2)) AS token FROM {_JAPANESE}), s AS (SELECT query_id, doc_id, round(sum(1 - 1.0 / (1 + tf)), 6) AS score, count(*) AS matched FROM p JOIN w USING (token) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20")
+def keyword_japanese(spark, sf_dir):
+    """Japanese queries: the first five tokens, those of two characters and more, any of them. A phrase is added to each text."""
+    phrase = F.when(F.col("doc_id") % 3 == 0, " 東京 駅").when(F.col("doc_id") % 3 == 1, " 燃料 の 近く").otherwise(" に ある 店")
+    index = R.postings(_docs(spark, sf_dir), T.tokens(F.concat("text", phrase)))
+    asked = spark.createDataFrame([(1, "東京 駅 の 近く に ある 店"), (2, "は 水素 燃料"), (3, "駅")], "query_id int, query string")
+    return R.keyword_queries(index, asked, k=20)
+
+
+# Term mining: runs of two to six words of documents.
+LOW, HIGH, LEAST = 2, 6, 2
+
+
 def _sentences(spark, sf_dir):
     s = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.posexplode(T.sentences(F.lower("text"))).alias("sentence", "s"))
     return s.select("doc_id", "sentence", T.tokens(F.col("s")).alias("tokens"))
 
 
-def _spans(spark, sf_dir):
-    g = _sentences(spark, sf_dir).select("doc_id", "sentence", F.explode(M.ngrams("tokens", 2, 3)).alias("g"))
-    start = F.col("sentence").cast("long") * 100_000 + F.col("g.start")
-    return g.select("doc_id", F.col("g.term").alias("term"), start.alias("start"), (start + F.col("g.size")).alias("end"))
+def _mined(spark, sf_dir, low=LOW, high=HIGH):
+    strict = F.transform(T.sentences(F.lower("text"), strict=True), T.tokens)
+    return M.mined(_docs(spark, sf_dir), strict, low, high, LEAST)
+
+
+def _candidates(spark, sf_dir, low=LOW, high=HIGH):
+    return written(_mined(spark, sf_dir, low, high).filter(T.is_valid_term(F.col("term"))), "candidates")
+
+
+_WORDS_OF = r"list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')"
+
+
+def _sentence_sql(name: str, ends: str, least: int) -> str:
+    return f"{name} AS (SELECT doc_id, i AS sentence, {_WORDS_OF} AS tokens FROM (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, {_pieces(ends, least).replace('text', 'lower(text)', 1)} AS p FROM documents)))"
 
 
-def _candidates(spark, sf_dir, least=20):
-    from .storage import written
+def _runs_sql(name: str, source: str, low: int, high: int) -> str:
+    sizes = ", ".join(f"({n})" for n in range(low, high + 1))
+    return f"{name} AS (SELECT doc_id, sentence, n, array_to_string(list_slice(tokens, i + 1, i + n), ' ') AS term FROM (SELECT doc_id, sentence, tokens, n, unnest(range(len(tokens) - n + 1)) AS i FROM {source}, (VALUES {sizes}) v(n) WHERE len(tokens) >= n))"
 
-    freq = M.candidate_frequency(_spans(spark, sf_dir)).filter(F.col("frequency") >= least)
-    return written(freq.withColumn("size", F.size(F.split("term", " "))), "candidates")
 
+def _freq_sql(low: int, high: int) -> str:
+    return f"{_sentence_sql('strict', T.STRICT_END, 3)}, {_runs_sql('runs', 'strict', low, high)}, freq AS MATERIALIZED (SELECT term, sum(c)::BIGINT AS frequency, n AS size FROM (SELECT doc_id, term, n, count(*) AS c FROM runs GROUP BY ALL HAVING c >= {LEAST}) GROUP BY term, n)"
 
-_SENT = r"sent AS (SELECT doc_id, i AS sentence, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') AS tokens FROM (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[.!?。！？\n]'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)))"
-_GRAMS = f"{_SENT}, grams AS (SELECT doc_id, sentence, i AS start, n, array_to_string(list_slice(tokens, i + 1, i + n), ' ') AS term FROM (SELECT doc_id, sentence, tokens, n, unnest(range(len(tokens) - n + 1)) AS i FROM sent, (VALUES (2), (3)) v(n) WHERE len(tokens) >= n)), freq AS (SELECT term, sum(c)::BIGINT AS frequency FROM (SELECT doc_id, term, count(DISTINCT (sentence, start, n)) AS c FROM grams GROUP BY ALL HAVING c >= 2) GROUP BY 1)"
-_CAND = f"{_GRAMS}, cand AS MATERIALIZED (SELECT term, frequency, len(string_split(term, ' ')) AS size FROM freq WHERE frequency >= 20)"
-_TFIDF = f"{_CAND}, t AS (SELECT term, doc_id, sentence, 1 + ln(count(*)) AS tf FROM grams JOIN cand USING (term) WHERE n = size GROUP BY ALL), u AS (SELECT term, count(DISTINCT doc_id) AS df, sum(tf) AS tf FROM t GROUP BY 1), tfidf AS (SELECT term, coalesce(df, 0) AS df, round(coalesce(tf, 0) * (ln(((SELECT count(DISTINCT doc_id) FROM sent) + 1.0) / (coalesce(df, 0) + 1.0)) + 1), 6) AS tfidf FROM cand LEFT JOIN u USING (term))"
-_CVALUE = "inc AS (SELECT a.term, avg(b.frequency) AS mean FROM cand a JOIN cand b ON length(b.term) > length(a.term) AND contains(b.term, a.term) GROUP BY 1), cv AS (SELECT term, size, round(greatest(0.0, log2(size + 1.0) * frequency - coalesce(mean, 0.0)), 6) AS cvalue FROM cand LEFT JOIN inc USING (term))"
 
+_in = lambda words: ", ".join(f"'{w}'" for w in words)
+#: F6 in SQL.
+VALID = (
+    f"CASE WHEN term = '' OR {' OR '.join(f"regexp_matches(term, '{p}')" for p in T.NUMBERED)} THEN false"
+    r" WHEN regexp_matches(term, '^[A-Za-z0-9._-]{2,15}$') AND regexp_matches(term, '[A-Za-z]') AND regexp_matches(term, '[0-9]') THEN true"
+    f" WHEN length(term) < 3 OR term IN ({_in(T.PARTICLES)}) OR lower(term) IN ({_in(T.TAG_NAMES)}) OR {' OR '.join(f"regexp_matches(term, '{p}')" for p in T.REFUSED)} OR term IN ({_in(T.GENERAL_WORDS)}) THEN false ELSE true END"
+)
+_CAND = f"{_freq_sql(LOW, HIGH)}, cand AS MATERIALIZED (SELECT * FROM freq WHERE {VALID})"
+_TFIDF = f"{_CAND}, {_sentence_sql('loose', T.SENTENCE_END, 1)}, {_runs_sql('grams', 'loose', LOW, HIGH)}, t AS (SELECT term, doc_id, sentence, 1 + ln(count(*)) AS tf FROM grams JOIN cand USING (term) WHERE n = size GROUP BY ALL), u AS (SELECT term, count(DISTINCT doc_id) AS df, sum(tf) AS tf FROM t GROUP BY 1), tfidf AS (SELECT term, coalesce(df, 0) AS df, round(coalesce(tf, 0) * (ln(((SELECT count(DISTINCT doc_id) FROM loose) + 1.0) / (coalesce(df, 0) + 1.0)) + 1), 6) AS tfidf FROM cand LEFT JOIN u USING (term))"
+_INSIDE = "pairs AS MATERIALIZED (SELECT a.term AS short, b.term AS long, b.frequency AS f FROM cand a JOIN cand b ON length(b.term) > length(a.term) AND contains(b.term, a.term))"
+_RATIO = "tx AS (SELECT lower(text) AS t FROM documents), o AS MATERIALIZED (SELECT term, sum(((length(t) - length(replace(t, term, ''))) / length(term)))::BIGINT AS total FROM tx, cand WHERE contains(t, term) GROUP BY 1), i AS (SELECT short AS term, sum(total) AS inside FROM pairs JOIN o ON o.term = long GROUP BY 1), ratio AS (SELECT term, coalesce(total, 0)::BIGINT AS total, round(greatest(0.0, coalesce((total - coalesce(inside, 0)) / total, 0.0)), 6) AS ratio FROM cand LEFT JOIN o USING (term) LEFT JOIN i USING (term))"
+_CVALUE = f"{_INSIDE}, {_RATIO}, inc AS (SELECT short AS term, avg(f) AS mean FROM pairs GROUP BY 1), cv AS (SELECT term, size, round(CASE WHEN mean IS NOT NULL AND ratio < 0.3 THEN 0.0 ELSE greatest(0.0, log2(size + 1.0) * frequency - coalesce(mean, 0.0)) END, 6) AS cvalue FROM cand LEFT JOIN inc USING (term) LEFT JOIN ratio USING (term))"
 
-@query(f"WITH {_GRAMS} SELECT * FROM freq")
+
+@query(f"WITH {_freq_sql(LOW, HIGH)} SELECT term, frequency, size FROM freq")
 def candidate_frequency(spark, sf_dir):
-    return M.candidate_frequency(_spans(spark, sf_dir))
+    return _mined(spark, sf_dir)
 
 
 @query(f"WITH {_TFIDF} SELECT term, df, tfidf FROM tfidf")
@@ -231,35 +297,55 @@ def tfidf(spark, sf_dir):
     return M.tfidf(_sentences(spark, sf_dir), _candidates(spark, sf_dir))
 
 
+def _texts(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.lower("text").alias("text"))
+
+
+def _valued(spark, sf_dir):
+    """Candidates, the pairs of which one holds the other, and C-values with the share of independent occurrences."""
+    c = _candidates(spark, sf_dir)
+    pairs = written(M.containment(c.select("term")), "pairs")
+    return c, pairs, M.cvalue(c, M.independent_ratio(_texts(spark, sf_dir), c, pairs=pairs), pairs=pairs)
+
+
 @query(f"WITH {_CAND}, {_CVALUE} SELECT term, cvalue FROM cv")
 def cvalue(spark, sf_dir):
-    return M.cvalue(_candidates(spark, sf_dir))
+    return _valued(spark, sf_dir)[2]
 
 
-@query(f"WITH {_CAND}, tx AS (SELECT lower(text) AS t FROM documents), o AS (SELECT term, sum(((length(t) - length(replace(t, term, ''))) / length(term)))::BIGINT AS total FROM tx, cand WHERE contains(t, term) AND list_contains(string_split(t, ' '), string_split(term, ' ')[1]) GROUP BY 1), i AS (SELECT a.term, sum(total) AS inside FROM cand a JOIN cand b ON length(b.term) > length(a.term) AND contains(b.term, a.term) JOIN o ON o.term = b.term GROUP BY 1) SELECT term, coalesce(total, 0)::BIGINT AS total, round(greatest(0.0, coalesce((total - coalesce(inside, 0)) / total, 0.0)), 6) AS ratio FROM cand LEFT JOIN o USING (term) LEFT JOIN i USING (term)")
+@query(f"WITH {_CAND}, {_INSIDE}, {_RATIO} SELECT * FROM ratio")
 def independent_ratio(spark, sf_dir):
-    return M.independent_ratio(_docs(spark, sf_dir).select(F.lower("text").alias("text")), _candidates(spark, sf_dir))
+    return M.independent_ratio(_texts(spark, sf_dir), _candidates(spark, sf_dir))
 
 
 def _scored(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    return c.join(M.tfidf(_sentences(spark, sf_dir), c), "term").join(M.cvalue(c), "term")
+    c, _, values = _valued(spark, sf_dir)
+    return c.join(M.tfidf(_sentences(spark, sf_dir), c), "term").join(values, "term")
+
+
+def _combined_sql(a: float, b: float) -> str:
+    return f"WITH {_TFIDF}, {_CVALUE}, k AS (SELECT term, size, tfidf, cvalue FROM tfidf JOIN cv USING (term) WHERE cvalue > 0), b AS (SELECT min(tfidf) a1, max(tfidf) a2, min(cvalue) c1, max(cvalue) c2 FROM k), n AS (SELECT term, size, round(CASE WHEN a2 - a1 < 1e-10 THEN 0.5 ELSE (tfidf - a1) / (a2 - a1) END, 6) AS t, round(CASE WHEN c2 - c1 < 1e-10 THEN 0.5 ELSE (cvalue - c1) / (c2 - c1) END, 6) AS c FROM k, b) SELECT term, round(({a}::DOUBLE * t + {b}::DOUBLE * c) * (CASE WHEN size >= 2 THEN least(1 + 0.15::DOUBLE * (size - 1), 1.5) ELSE 1.0 END), 6) AS score FROM n"
 
 
-@query(f"WITH {_TFIDF}, {_CVALUE}, k AS (SELECT term, size, tfidf, cvalue FROM tfidf JOIN cv USING (term) WHERE cvalue > 0), b AS (SELECT min(tfidf) a1, max(tfidf) a2, min(cvalue) c1, max(cvalue) c2 FROM k), n AS (SELECT term, size, round(CASE WHEN a2 - a1 < 1e-10 THEN 0.5 ELSE (tfidf - a1) / (a2 - a1) END, 6) AS t, round(CASE WHEN c2 - c1 < 1e-10 THEN 0.5 ELSE (cvalue - c1) / (c2 - c1) END, 6) AS c FROM k, b) SELECT term, round((0.4::DOUBLE * t + 0.6::DOUBLE * c) * (CASE WHEN size >= 2 THEN least(1 + 0.15::DOUBLE * (size - 1), 1.5) ELSE 1.0 END), 6) AS score FROM n")
+@query(_combined_sql(0.4, 0.6))
 def combined_score(spark, sf_dir):
     return M.combined_score(_scored(spark, sf_dir))
 
 
-@query(f"WITH {_CAND} SELECT a.term AS short, b.term AS long FROM cand a JOIN cand b ON length(b.term) > length(a.term) AND contains(b.term, a.term)")
+@query(_combined_sql(0.3, 0.7))
+def combined_score_seed(spark, sf_dir):
+    return M.combined_score(_scored(spark, sf_dir), "seed")
+
+
+@query(f"WITH {_CAND}, {_INSIDE} SELECT short, long FROM pairs")
 def containment_pairs(spark, sf_dir):
     return M.containment(_candidates(spark, sf_dir).select("term"))
 
 
 @query()
 def nested_terms(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    return M.nested_filter(M.cvalue(c))
+    _, pairs, values = _valued(spark, sf_dir)
+    return M.nested_filter(values, pairs=pairs)
 
 
 @query(r"SELECT code, count(*) AS n, CASE WHEN regexp_matches(code, '^[A-Z]{2,5}[0-9x]?$') THEN true ELSE false END AS abbreviation FROM (SELECT unnest(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) AS code FROM documents) WHERE (regexp_matches(code, '^[A-Za-z0-9._-]{2,15}$') AND regexp_matches(code, '[A-Za-z]') AND regexp_matches(code, '[0-9]')) OR regexp_matches(code, '^[A-Z]{2,5}[0-9x]?$') GROUP BY ALL")
@@ -273,23 +359,18 @@ _SET = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
 
 @query(f"WITH a AS (SELECT doc_id, {_SET} AS w FROM documents), b AS (SELECT item_id, {_SET} AS w FROM benchmark), i AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM a) JOIN (SELECT item_id, unnest(w) AS x FROM b) USING (x) GROUP BY ALL) SELECT doc_id, item_id, round(n / (len(a.w) + len(b.w) - n), 6) AS jaccard FROM i JOIN a USING (doc_id) JOIN b USING (item_id) WHERE n / (len(a.w) + len(b.w) - n) >= 0.2")
 def jaccard_pairs(spark, sf_dir):
-    """X6 of documents and benchmark items: they meet at the words they share, counted before anything is paired in full."""
-    a = _docs(spark, sf_dir).select("doc_id", T.word_set(F.col("text")).alias("w"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.word_set(F.col("text")).alias("v"))
-    n = a.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x")).join(b.select("item_id", F.size("v").alias("m"), F.explode("v").alias("x")), "x").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("k"))
-    j = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    return n.filter(j >= 0.2).select("doc_id", "item_id", F.round(j, 6).alias("jaccard"))
+    """X6 of documents and benchmark items."""
+    a = _docs(spark, sf_dir).select(F.col("doc_id").alias("a"), T.word_set(F.col("text")).alias("words"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b"), T.word_set(F.col("text")).alias("words"))
+    return S.overlapping(a, b, 0.2).withColumnsRenamed({"a": "doc_id", "b": "item_id"})
 
 
-#: Words that co-occurrence is counted for.
-VOCABULARY = ("the", "of", "and", "idiot", "clown", "scum", "de", "la", "que", "der", "die", "license", "licensed", "moron")
-
-
-@query(f"WITH t AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> '') AS w FROM documents)), v AS (SELECT * FROM t WHERE term IN {VOCABULARY}), p AS (SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, count(*) AS together FROM v x JOIN v y ON x.doc_id = y.doc_id AND y.pos > x.pos AND y.pos - x.pos <= 10 AND x.term <> y.term GROUP BY ALL), c AS (SELECT term, count(*) AS n FROM v GROUP BY 1) SELECT a, b, together, pmi FROM (SELECT a, b, together, round(log2(together * (SELECT count(*) FROM t)::DOUBLE / (x.n * y.n)), 6) AS pmi FROM p JOIN c x ON x.term = a JOIN c y ON y.term = b WHERE together >= 3) WHERE pmi >= 1")
+@query(f"WITH {_freq_sql(1, 1)}, cand AS (SELECT term FROM freq WHERE {VALID}), t AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> '') AS w FROM documents)), v AS (SELECT * FROM t SEMI JOIN cand USING (term)), p AS (SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, count(*) AS together FROM v x JOIN v y ON x.doc_id = y.doc_id AND y.pos > x.pos AND y.pos - x.pos <= 10 AND x.term <> y.term GROUP BY ALL), c AS (SELECT term, count(*) AS n FROM v GROUP BY 1) SELECT a, b, together, pmi FROM (SELECT a, b, together, round(log2(together * (SELECT count(*) FROM t)::DOUBLE / (x.n * y.n)), 6) AS pmi FROM p JOIN c x ON x.term = a JOIN c y ON y.term = b WHERE together >= 3) WHERE pmi >= 2")
 def cooccurrence_pmi(spark, sf_dir):
+    """Of the mined candidates of one word, as a token has to be a candidate by itself."""
     t = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.tokens(F.lower("text"))).alias("pos", "term"))
-    v = t.filter(F.col("term").isin(*VOCABULARY))
-    return S.pmi(S.cooccurrence(v), v.groupBy("term").agg(F.count("*").alias("n")), t.count(), least=1.0)
+    v = t.join(_candidates(spark, sf_dir, 1, 1).select("term"), "term", "left_semi")
+    return S.pmi(S.cooccurrence(v), v.groupBy("term").agg(F.count("*").alias("n")), t.count())
 
 
 @query()
@@ -335,10 +416,10 @@ def graph_bfs(spark, sf_dir):
     return G.bfs(_edges(spark, sf_dir), spark.createDataFrame([("S1",)], "id string"), 2)
 
 
-_PASSES = "e AS (SELECT src, dst, max(p) AS p FROM (SELECT source_id AS src, target_id AS dst, CASE edge_type WHEN 'SYNONYM' THEN 0.95::DOUBLE WHEN 'IS_A' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END * weight * confidence AS p FROM edges UNION ALL SELECT target_id, source_id, CASE edge_type WHEN 'SYNONYM' THEN 0.95::DOUBLE WHEN 'IS_A' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END * weight * confidence FROM edges) JOIN nodes ON nodes.id = dst AND node_type = 'Term' GROUP BY ALL)"
+_PASSES = "e AS (SELECT src, dst, max(p) AS p FROM (SELECT source_id AS src, target_id AS dst, CASE edge_type WHEN 'SYNONYM' THEN 0.95::DOUBLE WHEN 'IS_A' THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END * weight * confidence AS p FROM edges UNION ALL SELECT target_id, source_id, CASE edge_type WHEN 'SYNONYM' THEN 0.95::DOUBLE WHEN 'IS_A' THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END * weight * confidence FROM edges) JOIN nodes ON nodes.id = dst AND node_type = 'Term' GROUP BY ALL)"
 
 
-@query(f"WITH {_NODES}, {_EDGES}, {_PASSES}, s AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 100 = 0), f1 AS (SELECT seed, dst AS id, max(p * 0.7::DOUBLE) AS w FROM s JOIN e ON src = seed GROUP BY ALL HAVING max(p * 0.7::DOUBLE) >= 0.3), n AS (SELECT seed FROM f1 WHERE id <> seed GROUP BY 1 HAVING count(*) >= 20), f2 AS (SELECT seed, dst AS id, max(w * p * 0.7::DOUBLE * 0.7::DOUBLE) AS w FROM f1 JOIN e ON src = f1.id WHERE seed NOT IN (FROM n) GROUP BY ALL HAVING max(w * p * 0.7::DOUBLE * 0.7::DOUBLE) >= 0.3), a AS (SELECT seed, id, w, 1 AS depth FROM f1 WHERE id <> seed UNION ALL SELECT seed, id, w, 2 FROM f2 WHERE id <> seed AND NOT EXISTS (FROM f1 WHERE f1.seed = f2.seed AND f1.id = f2.id)) SELECT seed, id, round(w, 6) AS weight, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(w, 6) DESC, id) AS r FROM a) WHERE r <= 20")
+@query(f"WITH {_NODES}, {_EDGES}, {_PASSES}, s AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 100 = 0), f1 AS (SELECT seed, dst AS id, max(p * 0.7::DOUBLE) AS w FROM s JOIN e ON src = seed WHERE dst <> seed GROUP BY ALL HAVING max(p * 0.7::DOUBLE) >= 0.3), n AS (SELECT seed FROM f1 GROUP BY 1 HAVING count(*) >= 19), f2 AS (SELECT seed, dst AS id, max(w * p * 0.7::DOUBLE * 0.7::DOUBLE) AS w FROM f1 JOIN e ON src = f1.id WHERE seed NOT IN (FROM n) GROUP BY ALL HAVING max(w * p * 0.7::DOUBLE * 0.7::DOUBLE) >= 0.3), a AS (SELECT seed, seed AS id, 1.0::DOUBLE AS w, 0 AS depth FROM s UNION ALL SELECT seed, id, w, 1 FROM f1 UNION ALL SELECT seed, id, w, 2 FROM f2 WHERE id <> seed AND NOT EXISTS (FROM f1 WHERE f1.seed = f2.seed AND f1.id = f2.id)) SELECT seed, id, round(w, 6) AS weight, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(w, 6) DESC, depth, id) AS r FROM a) WHERE r <= 20")
 def graph_expand(spark, sf_dir):
     """Every hundredth part is a query term."""
     seeds = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("id"))
@@ -443,7 +524,7 @@ _TRUTH = r"truth AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(tr
 _COUNTS_SQL = f"counts AS (SELECT token AS term, sum(tf)::BIGINT AS frequency FROM ({_POSTINGS}) GROUP BY 1)"
 _FOUND = f"{_COUNTS_SQL}, found AS (SELECT term FROM counts WHERE frequency >= 5)"
 _FLAGS = f"{_TRUTH}, {_FOUND}, flags AS (SELECT term, t.term IS NOT NULL AS in_truth, f.term IS NOT NULL AS in_found FROM truth t FULL JOIN found f USING (term))"
-_CLASS = "CASE WHEN regexp_matches(term, '^[A-Z]{2,}$') THEN 'acronym' WHEN regexp_matches(term, '[0-9]') THEN 'numeric' WHEN length(term) = 1 THEN 'single' WHEN length(term) <= 3 THEN 'short' WHEN length(term) <= 6 THEN 'medium' ELSE 'long' END"
+_CLASS = r"CASE WHEN regexp_matches(term, '^[A-Z]{2,5}$') THEN 'acronym' WHEN regexp_matches(term, '\p{Nd}') THEN 'numeric' WHEN length(term) = 1 THEN 'single_char' WHEN length(term) <= 3 THEN 'short_compound' WHEN length(term) <= 6 THEN 'medium_compound' ELSE 'long_compound' END"
 
 
 def _truth(spark, sf_dir):
@@ -547,11 +628,35 @@ def table_markdown(spark, sf_dir):
     return n.select("r_regionkey", T.markdown_table(F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), "rows")).alias("markdown"))
 
 
-@query()
+_REVERSE = f"""
+WITH k AS (SELECT DISTINCT p_name AS term, lower(unnest([p_name, p_type])) AS key FROM part),
+a AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN p_type || ' 水素の燃焼' WHEN 1 THEN p_type ELSE 'the ' || p_name || ' plated' END AS query FROM part WHERE p_partkey % 100 = 0),
+q AS (SELECT query_id, query, lower(query) AS l FROM a),
+p AS (SELECT query_id, term, CASE WHEN contains(l, key) THEN length(key) ELSE length(l) END / greatest(length(key), length(l)) AS r, contains(l, key) AND regexp_matches(l, '\\b' || regexp_escape(key) || '\\b') AS whole, key = l AS same FROM q JOIN k ON contains(l, key) OR contains(key, l)),
+f AS (SELECT query_id, term, 0 AS branch, 1.0::DOUBLE AS confidence FROM p WHERE same
+UNION ALL SELECT query_id, term, 1, round(0.7::DOUBLE * CASE WHEN whole THEN least(r * 1.2::DOUBLE, 0.95::DOUBLE) ELSE r END, 6) FROM p WHERE NOT same
+UNION ALL SELECT query_id, term, 2, 0.8::DOUBLE FROM q JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, bs in R.PATTERN_TERMS.items() for b in bs)}) AS d(pattern, term) ON contains(query, pattern)),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY branch, confidence DESC) AS n FROM f) WHERE n = 1)
+SELECT query_id, term, branch, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, branch, term) AS rank FROM o) WHERE rank <= 10"""
+
+
+def _reverse_asked(spark, sf_dir):
+    p, n = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0"), F.col("p_partkey") % 3
+    text = F.when(n == 0, F.concat("p_type", F.lit(" 水素の燃焼"))).when(n == 1, F.col("p_type")).otherwise(F.concat(F.lit("the "), "p_name", F.lit(" plated")))
+    return p.select(F.col("p_partkey").alias("query_id"), text.alias("query"))
+
+
+@query(_REVERSE)
 def reverse_lookup(spark, sf_dir):
     terms = table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.array("p_name", "p_type").alias("keys"))
-    asked = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_type").alias("query"))
-    return R.reverse_lookup(terms, asked)
+    return R.reverse_lookup(terms, _reverse_asked(spark, sf_dir), R.pattern_terms(spark))
+
+
+@query(f"WITH t AS (SELECT DISTINCT ON (term) term, embedding FROM (SELECT p_name AS term, p_partkey, embedding FROM part JOIN embeddings ON vec_id = p_partkey) ORDER BY term, p_partkey), s AS (SELECT a.vec_id AS query_id, b.term, round({_COSINE}, 6) AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COSINE}, 6) DESC, b.term) AS r FROM embeddings a, t b WHERE a.vec_id % 100 = 0) SELECT query_id, term, CASE WHEN round(1 - c, 6) < 1 THEN round(1 - round(1 - c, 6), 6) ELSE 0 END::DOUBLE AS confidence FROM s WHERE r <= 10")
+def reverse_similarity(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    named = table(spark, sf_dir, "part").join(e, F.col("p_partkey") == F.col("vec_id")).groupBy(F.col("p_name").alias("term")).agg(F.min_by("embedding", "p_partkey").alias("embedding"))
+    return R.similar_terms(named, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS self FROM embeddings")
@@ -576,7 +681,7 @@ def chunk_markdown(spark, sf_dir):
     return chunk(_docs(spark, sf_dir)).select("doc_id", "ordinal", "chunk_id", F.length("content").alias("n_chars"))
 
 
-@query()
+@query(f"WITH RECURSIVE p AS MATERIALIZED (SELECT a, b FROM ({_PAIRS6}) WHERE s >= 0.35), e AS (FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT vec_id AS id, vec_id AS seen FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a), c AS (SELECT id, min(seen) AS label FROM r GROUP BY 1), n AS (SELECT label, count(*) AS n FROM c GROUP BY 1) SELECT id AS vec_id, CASE WHEN n >= 2 THEN label ELSE -1 END AS cluster FROM c JOIN n USING (label)")
 def clusters_substitute(spark, sf_dir):
     from .operators.clustering import threshold_clusters
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 TEXT_TYPES = ("txt", "md")
 
 
-def texts(spark: SparkSession, path: str, types: tuple[str, ...] = TEXT_TYPES) -> DataFrame:
-    """Path and text of each file of these types below a folder; files that vanish are passed over.
+def texts(spark: SparkSession, path: str | list[str], types: tuple[str, ...] = TEXT_TYPES) -> DataFrame:
+    """Path and text of each file of these types below the folders; files that vanish are passed over.
 
     Fails on a blank file when read, and on a type that no reader is known for at once. A file of no bytes has no row, as
     Spark does not list it."""
@@ -52,6 +52,19 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return listed.unionByName(mapped).filter("term is not null")
 
 
+def ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct true terms of a JSON object of lists: those of all_documents where it is there, else of all lists."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    lists = F.coalesce(F.try_element_at("m", F.lit("all_documents")), F.flatten(F.map_values("m")))
+    return raw.select(F.explode(lists).alias("term")).filter("term is not null").distinct()
+
+
+def cluster_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Category, cluster_id, term of a clustering result's categories."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "categories map<string,struct<terms:array<string>,cluster_id:int>>").alias("r"))
+    return raw.select(F.explode("r.categories").alias("category", "c")).select("category", "c.cluster_id", F.explode("c.terms").alias("term"))
+
+
 def flat_cells(cells: DataFrame, key: str) -> DataFrame:
     """Key, row, col, content of every place that a cell with spans covers; missing spans are 1, and where cells overlap
     the one that starts last wins. cells: key, row, col, row_span, col_span, content."""
@@ -65,6 +78,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def terms_layout(terms: DataFrame) -> DataFrame:
+    """One row with the JSON object {"terms": [...]} of a term list, best score first; for lists that are a report, not a corpus."""
+    return terms.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("score", "term", *(c for c in terms.columns if c not in ("score", "term")))), asc=False).alias("terms"))).alias("value"))
+
+
+def dropout_layout(trace: DataFrame) -> DataFrame:
+    """One row with the JSON object {"summary": ..., "dropout_by_stage": ..., "missed_terms": [...]} of a table term, stage_index,
+    stage, present: what became of the true terms, which are a short list."""
+    last = trace.groupBy("term").agg(F.max_by("present", "stage_index").alias("there"), F.min_by(F.when(~F.col("present"), F.col("stage")), F.when(~F.col("present"), F.col("stage_index"))).alias("lost_at"))
+    n = last.agg(F.count("*").alias("total"), F.count_if("there").alias("extracted"), F.sort_array(F.collect_list(F.when(~F.col("there"), F.col("term")))).alias("missed_terms"))
+    lost = last.filter("not there").groupBy("lost_at").agg(F.count("*").alias("n"))
+    by_stage = lost.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lost_at", "n")))).alias("dropout_by_stage"))
+    summary = F.struct(F.col("total").alias("total_ground_truth"), "extracted", (F.col("total") - F.col("extracted")).alias("missed"), F.round(F.try_divide("extracted", "total"), 6).alias("recall"))
+    return n.crossJoin(by_stage).select(F.to_json(F.struct(summary.alias("summary"), "dropout_by_stage", "missed_terms")).alias("value"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """With a header; arrays are joined by |."""
     flat = [F.array_join(F.col(f"`{c}`").cast("array<string>"), "|").alias(c) if kind.startswith("array") else F.col(f"`{c}`") for c, kind in df.dtypes]

@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new local one where it is unset."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a new one of this machine if Spark runs on it alone; a cluster
+    without a shared folder is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="termweave-")
         spark.sparkContext.setCheckpointDir(place)
     return place
