@@ -1,19 +1,19 @@
 """Term mining: candidates, TF-IDF, C-value, nested terms and their combination."""
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import reduce
 from itertools import chain
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import written
+from ..storage import spread, written
 from .blocks import held
 
-#: Rows of keys that are broadcast at most; more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
 #: Characters of terms that a task looks for at a time; each takes about 100 bytes of an automaton.
 TERM_BLOCK = 2_000_000
 
@@ -51,7 +51,7 @@ def mined(docs: DataFrame, sentences: Column, low: int = 2, high: int = 6, minim
             runs = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(r) for r in runs], pa.string()), pa.array([len(r) for r in runs], pa.int32()), pa.array([found[r] for r in runs], pa.int64())], ["term", "size", "n"])
 
-    each = docs.select(sentences.alias("sentences")).mapInArrow(count, "term string, size int, n bigint")
+    each = spread(docs).select(sentences.alias("sentences")).mapInArrow(count, "term string, size int, n bigint")
     return each.groupBy("term", "size").agg(F.sum("n").alias("frequency")).select("term", "frequency", "size")
 
 
@@ -61,39 +61,55 @@ def candidate_frequency(spans: DataFrame, minimum: int = 2, key: str = "doc_id")
     return each.groupBy("term").agg(F.sum("n").alias("frequency"))
 
 
-def _chained(first: Column, rest: Column) -> Column:
-    """The key of a run of tokens, from the hashes of its tokens."""
-    return F.aggregate(rest, first, lambda key, x: F.xxhash64(key, x))
-
-
-def _keyed_runs(df: DataFrame, tokens: str, low: int, high: int) -> DataFrame:
-    """df with _keys: the keys of all runs of low..high tokens. Each length is made from the one before."""
-    df = df.withColumn("_h", F.transform(tokens, lambda x: F.xxhash64(x))).withColumn("_1", F.col("_h"))
-    for n in range(2, high + 1):
-        left = F.greatest(F.size("_h") - (n - 1), F.lit(0))
-        df = df.withColumn(f"_{n}", F.zip_with(F.slice(f"_{n - 1}", F.lit(1), left), F.slice("_h", F.lit(n), left), lambda key, x: F.xxhash64(key, x)))
-    return df.withColumn("_keys", F.concat(*(f"_{n}" for n in range(low, high + 1)))).drop("_h", *(f"_{n}" for n in range(1, high + 1)))
-
-
-def tfidf(sentences: DataFrame, candidates: DataFrame, key: str = "doc_id", documents: int | None = None) -> DataFrame:
-    """A5: term, df, tfidf. sentences has key, sentence number and tokens (array); candidates has term (tokens joined by
-    a blank) and size. tf is 1 + ln f in each sentence, df counts documents, idf is ln((N + 1) / (df + 1)) + 1, N the number
-    of documents (those with a sentence, if not given).
-
-    Runs of tokens are keys of 64 bits, so no text is made for what is no candidate. Candidates' keys are broadcast up to
-    BROADCAST_KEYS, beyond that the runs go to them by a shuffle."""
-    bounds = candidates.agg(F.min("size"), F.max("size"), F.count("*")).first()
-    low, high, many = bounds[0] or 1, bounds[1] or 1, bounds[2]
-    n = sentences.select(key).distinct().count() if documents is None else documents
-    hashes = F.transform(F.split("term", " "), lambda x: F.xxhash64(x))
-    wanted = candidates.select(_chained(F.get(hashes, F.lit(0)), F.slice(hashes, F.lit(2), F.size(hashes))).alias("run"), "term")
-    runs = _keyed_runs(sentences.select(key, "sentence", "tokens"), "tokens", low, high).select(key, "sentence", F.explode("_keys").alias("run"))
-    found = runs.join(F.broadcast(wanted.select("run")) if many <= BROADCAST_KEYS else wanted.select("run"), "run")
-    counts = found.groupBy("run", key, "sentence").agg((1 + F.log(F.count("*"))).alias("tf"))
-    per_run = counts.groupBy("run", key).agg(F.sum("tf").alias("tf")).groupBy("run").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+def _blocks(terms: DataFrame, block: int) -> list[DataFrame]:
+    """terms in parts of about `block` characters of term."""
+    n = max(1, -(-(terms.agg(F.sum(F.length("term"))).first()[0] or 0) // block))
+    return [terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == i) for i in range(n)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tfidf(docs: DataFrame, sentences: Column, candidates: DataFrame, block: int = TERM_BLOCK) -> DataFrame:
+    """A5: term, df, tfidf. docs has a row for each document, sentences the array of its sentences' tokens; candidates has term
+    (tokens joined by a blank) and size. tf is 1 + ln f in each sentence, summed; df counts documents, idf is
+    ln((N + 1) / (df + 1)) + 1, N the number of documents with a sentence.
+
+    Runs of tokens are counted where a document stands, and only sums for candidates leave the task. Candidates of more
+    than `block` characters in all are looked for in several passes."""
+    wanted = written(candidates.select("term", "size").distinct(), "terms")
+    docs = spread(docs).select(sentences.alias("sentences"))
+    parts = []
+    for number, some in enumerate(_blocks(wanted, block)):
+        known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in some.collect()])  # about `block` characters
+
+        def count(batches, known=known, first=number == 0):
+            places = {tuple(t.split(" ")): i for i, (t, _) in enumerate(known.value)}
+            sizes = sorted({n for _, n in known.value})
+            for batch in batches:
+                df: Counter = Counter()
+                tf: dict[int, float] = defaultdict(float)
+                documents = 0
+                for doc in batch.column(0):
+                    seen, said = set(), doc.as_py() or ()
+                    documents += bool(said)
+                    for t in said:
+                        here = Counter(chain.from_iterable(filter(None.__ne__, map(places.get, zip(*(t[i:] for i in range(n))))) for n in sizes))
+                        for i, f in here.items():
+                            tf[i] += 1 + log(f)
+                        seen.update(here)
+                    df.update(seen)
+                # The row without a term counts documents.
+                counts = [(known.value[i][0], d, tf[i]) for i, d in df.items()] + [(None, documents, 0.0)] * first
+                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in counts], pa.string()), pa.array([c[1] for c in counts], pa.int64()), pa.array([c[2] for c in counts], pa.float64())], ["term", "df", "tf"])
+
+        parts.append(docs.mapInArrow(count, "term string, df bigint, tf double"))
+    per_term = written(_union(parts).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")), "tf")
+    n = (per_term.filter("term is null").agg(F.sum("df")).first()[0]) or 0
     idf = F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1
-    scored = wanted.join(per_run, "run", "left")
-    return scored.select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"), F.round(F.coalesce("tf", F.lit(0.0)) * idf, 6).alias("tfidf"))
+    scored = wanted.join(per_term, "term", "left")
+    return scored.select("term", F.coalesce("df", F.lit(0)).alias("df"), F.round(F.coalesce("tf", F.lit(0.0)) * idf, 6).alias("tfidf"))
 
 
 def containment(terms: DataFrame) -> DataFrame:
@@ -108,10 +124,9 @@ def counted(texts: DataFrame, terms: DataFrame, text: str = "text", block: int =
     A task passes once over each text for all terms of a block together; terms of more than `block` characters in all
     are looked for in several passes, so what a task holds doesn't grow with them. Terms that are nowhere have no row."""
     terms = written(terms.select("term").filter("term <> ''").distinct(), "terms")
-    blocks = max(1, -(-(terms.agg(F.sum(F.length("term"))).first()[0] or 0) // block))
-    found = None
-    for number in range(blocks):
-        some = terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == number)
+    texts = spread(texts.select(F.col(text).alias("t")))
+    parts = []
+    for some in _blocks(terms, block):
         words = texts.sparkSession.sparkContext.broadcast([r[0] for r in some.collect()])  # about `block` characters
 
         def count(batches, words=words):
@@ -132,9 +147,8 @@ def counted(texts: DataFrame, terms: DataFrame, text: str = "text", block: int =
                             total[i] += 1
                 yield pa.RecordBatch.from_arrays([pa.array([words.value[i] for i in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
-        part = texts.select(F.col(text).alias("t")).mapInArrow(count, "term string, n bigint")
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("term").agg(F.sum("n").alias("total"))
+        parts.append(texts.mapInArrow(count, "term string, n bigint"))
+    return _union(parts).groupBy("term").agg(F.sum("n").alias("total"))
 
 
 def independent_ratio(texts: DataFrame, candidates: DataFrame, text: str = "text", pairs: DataFrame | None = None) -> DataFrame:

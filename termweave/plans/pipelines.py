@@ -36,8 +36,8 @@ def mine(docs: DataFrame, low: int = 2, high: int = 6, least: int = 2, most: int
     pairs = terms.written(terms.containment(found.select("term")), "mined-pairs")
     c = terms.cvalue(found, terms.independent_ratio(docs.select(F.lower("text").alias("text")), found, pairs=pairs), pairs=pairs)
     kept = terms.nested_filter(c, pairs=pairs)
-    s = docs.filter("text is not null").select("doc_id", F.posexplode(T.sentences(F.lower("text"))).alias("sentence", "s")).select("doc_id", "sentence", T.tokens(F.col("s")).alias("tokens"))
-    scores = terms.combined_score(found.join(terms.tfidf(s, found), "term").join(kept, "term"))
+    loose = F.transform(T.sentences(F.lower("text")), T.tokens)
+    scores = terms.combined_score(found.join(terms.tfidf(docs, loose, found), "term").join(kept, "term"))
     top = terms.written(terms.best(scores, most), "mined-top")
     vectors = providers.apply(top.select("term"), "term", "embedding", embed, "array<float>").withColumn("vec_id", F.xxhash64("term"))
     edges = similarity.semantic_graph(terms.written(vectors, "mined-vectors"), 0.5)

@@ -14,7 +14,7 @@ from .operators import graph as G
 from .operators import retrieval as R
 from .operators import similarity as S
 from .operators import terms as M
-from .storage import written
+from .storage import spread, written
 
 QUERIES = {}
 SQL = {}
@@ -243,14 +243,13 @@ def keyword_japanese(spark, sf_dir):
 LOW, HIGH, LEAST = 2, 6, 2
 
 
-def _sentences(spark, sf_dir):
-    s = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.posexplode(T.sentences(F.lower("text"))).alias("sentence", "s"))
-    return s.select("doc_id", "sentence", T.tokens(F.col("s")).alias("tokens"))
+def _said(strict=False):
+    """The tokens of each sentence of a text."""
+    return F.transform(T.sentences(F.lower("text"), strict), T.tokens)
 
 
 def _mined(spark, sf_dir, low=LOW, high=HIGH):
-    strict = F.transform(T.sentences(F.lower("text"), strict=True), T.tokens)
-    return M.mined(_docs(spark, sf_dir), strict, low, high, LEAST)
+    return M.mined(_docs(spark, sf_dir), _said(strict=True), low, high, LEAST)
 
 
 def _candidates(spark, sf_dir, low=LOW, high=HIGH):
@@ -294,7 +293,7 @@ def candidate_frequency(spark, sf_dir):
 
 @query(f"WITH {_TFIDF} SELECT term, df, tfidf FROM tfidf")
 def tfidf(spark, sf_dir):
-    return M.tfidf(_sentences(spark, sf_dir), _candidates(spark, sf_dir))
+    return M.tfidf(_docs(spark, sf_dir), _said(), _candidates(spark, sf_dir))
 
 
 def _texts(spark, sf_dir):
@@ -320,7 +319,7 @@ def independent_ratio(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     c, _, values = _valued(spark, sf_dir)
-    return c.join(M.tfidf(_sentences(spark, sf_dir), c), "term").join(values, "term")
+    return c.join(M.tfidf(_docs(spark, sf_dir), _said(), c), "term").join(values, "term")
 
 
 def _combined_sql(a: float, b: float) -> str:
@@ -360,7 +359,7 @@ _SET = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
 @query(f"WITH a AS (SELECT doc_id, {_SET} AS w FROM documents), b AS (SELECT item_id, {_SET} AS w FROM benchmark), i AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM a) JOIN (SELECT item_id, unnest(w) AS x FROM b) USING (x) GROUP BY ALL) SELECT doc_id, item_id, round(n / (len(a.w) + len(b.w) - n), 6) AS jaccard FROM i JOIN a USING (doc_id) JOIN b USING (item_id) WHERE n / (len(a.w) + len(b.w) - n) >= 0.2")
 def jaccard_pairs(spark, sf_dir):
     """X6 of documents and benchmark items."""
-    a = _docs(spark, sf_dir).select(F.col("doc_id").alias("a"), T.word_set(F.col("text")).alias("words"))
+    a = written(spread(_docs(spark, sf_dir)).select(F.col("doc_id").alias("a"), T.word_set(F.col("text")).alias("words")), "words")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b"), T.word_set(F.col("text")).alias("words"))
     return S.overlapping(a, b, 0.2).withColumnsRenamed({"a": "doc_id", "b": "item_id"})
 
@@ -368,8 +367,8 @@ def jaccard_pairs(spark, sf_dir):
 @query(f"WITH {_freq_sql(1, 1)}, cand AS (SELECT term FROM freq WHERE {VALID}), t AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> '') AS w FROM documents)), v AS (SELECT * FROM t SEMI JOIN cand USING (term)), p AS (SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, count(*) AS together FROM v x JOIN v y ON x.doc_id = y.doc_id AND y.pos > x.pos AND y.pos - x.pos <= 10 AND x.term <> y.term GROUP BY ALL), c AS (SELECT term, count(*) AS n FROM v GROUP BY 1) SELECT a, b, together, pmi FROM (SELECT a, b, together, round(log2(together * (SELECT count(*) FROM t)::DOUBLE / (x.n * y.n)), 6) AS pmi FROM p JOIN c x ON x.term = a JOIN c y ON y.term = b WHERE together >= 3) WHERE pmi >= 2")
 def cooccurrence_pmi(spark, sf_dir):
     """Of the mined candidates of one word, as a token has to be a candidate by itself."""
-    t = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.tokens(F.lower("text"))).alias("pos", "term"))
-    v = t.join(_candidates(spark, sf_dir, 1, 1).select("term"), "term", "left_semi")
+    t = spread(_docs(spark, sf_dir)).select("doc_id", F.posexplode(T.tokens(F.lower("text"))).alias("pos", "term"))
+    v = written(t.join(_candidates(spark, sf_dir, 1, 1).select("term"), "term", "left_semi"), "tokens")
     return S.pmi(S.cooccurrence(v), v.groupBy("term").agg(F.count("*").alias("n")), t.count())
 
 
