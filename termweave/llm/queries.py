@@ -26,7 +26,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = url_filter.judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    df = url_filter.judge(pages, labels=url_filter.by_title(pages))
     return df.withColumn("mined", F.array_join("mined", " "))
 
 
