@@ -9,8 +9,13 @@ Not sought: words put in or left out within a stretch, and stretches of fewer th
 least, are sought as a run of their own length, all words alike; still shorter ones, null and empty ones are never found.
 
 Words are runs of letters, digits and everything outside ASCII, in lower case. Null and empty texts have none. Items
-of equal words are sought once and reported each. Documents with equal id and text are reported as one.
-Benchmark seeds are broadcast in blocks of at most BLOCK_SEEDS, and documents are read once for each block. The SQL looks with MASKS alone, so it lacks what LIGHT adds.
+of equal words are sought once and reported each. Documents with equal id and text are reported as one; null ids are ids like
+others. Empty tables give an empty one; columns other than those named are not looked at; a long text takes room in
+proportion in its task.
+
+Documents are read once, for masks of all lengths together. Up to BROADCAST_SEEDS benchmark seeds are broadcast with the words
+around them. Beyond, bare seeds of both sides meet in a shuffle, and documents with a hit are read once more for their words.
+The SQL looks with MASKS alone, so it lacks what LIGHT adds.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +26,8 @@ SPAN, OVERLAP, MIN_SHARE, SHORT = 12, 20, 80, 5
 MASKS = ("111011001011", "110100111011", "101110110101")
 #: Six ones each: the fewest found of this weight that leave no stretch without a seed beside MASKS.
 LIGHT = ("110010000111", "110001101100", "010101010011", "001011010110", "011110011000", "000101101011")
-#: About 100 bytes each.
-BLOCK_SEEDS = 200_000
+#: About 300 bytes each.
+BROADCAST_SEEDS = 200_000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -34,59 +39,72 @@ def _hashed(df: DataFrame, text: str) -> Column:
     return F.transform(words_of(df[text]), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, keep: list[str], words: str, span: int, masks: tuple[str, ...], at: str) -> DataFrame:
-    """A row for each mask at each position `at` of the array of word hashes: keep, at, mask (its number), seed, and near,
-    the words around: lead words before the seed, the seed and what follows, as many as a comparison may need."""
-    room = OVERLAP - span
+def _places(df: DataFrame, keep: list[str], words: str, least: int, at: str) -> DataFrame:
+    """A row for each position `at` of the array of word hashes from which `least` words are left."""
     # The outer form, because Spark would infer a filter from explode() and compute the words or the seeds twice for it.
-    starts = F.when(F.size(words) >= span, F.sequence(F.lit(0), F.size(words) - span))
-    places = df.select(*keep, words, F.explode_outer(starts).alias(at)).filter(F.col(at).isNotNull())
-    lead = F.least(F.col(at), F.lit(room))
-    hashes = [F.xxhash64(F.lit(f"{span}:{m}"), *(F.get(words, F.col(at) + i) for i, c in enumerate(m) if c == "1")) for m in masks]
+    starts = F.when(F.size(words) >= least, F.sequence(F.lit(0), F.size(words) - least))
+    return df.select(*keep, words, F.explode_outer(starts).alias(at)).filter(F.col(at).isNotNull())
+
+
+def _seeds(places: DataFrame, keep: list[str], words: str, picks: list[str], at: str, whole=None, around: bool = True) -> DataFrame:
+    """A row for each mask that fits at each position: keep, at, pick (the mask's number), seed and, with around, near, the words
+    around: lead words before the seed, the seed and what follows, as many as a comparison may need."""
+    left = F.size(words) - F.col(at)
+    hashes = [F.when((left >= len(m)) & (F.lit(True) if whole is None else whole(len(m))), F.xxhash64(F.lit(f"{len(m)}:{m}"), *(F.get(words, F.col(at) + i) for i, c in enumerate(m) if c == "1"))) for m in picks]
+    lead = F.least(F.col(at), F.lit(OVERLAP - SHORT))
     # The whole array ends here: a row that a join lets through has the words around alone.
-    places = places.select(*keep, at, lead.alias(f"lead_{at}"), F.slice(words, F.col(at) - lead + 1, lead + span + room).alias(f"near_{at}"), F.array(*hashes).alias("seeds"))
-    return places.select(*keep, at, f"lead_{at}", f"near_{at}", F.posexplode_outer("seeds").alias(f"mask_{at}", "seed"))
+    near = [lead.alias(f"lead_{at}"), F.slice(words, F.col(at) - lead + 1, lead + OVERLAP).alias(f"near_{at}")] if around else []
+    names = [f"lead_{at}", f"near_{at}"] if around else []
+    places = places.select(*keep, at, *near, F.array(*hashes).alias("seeds"))
+    return places.select(*keep, at, *names, F.posexplode_outer("seeds").alias("pick", "seed"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, light: tuple[str, ...] = LIGHT, min_share: int = MIN_SHARE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, light: tuple[str, ...] = LIGHT, min_share: int = MIN_SHARE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """doc_id, text_key, item_id, n_hits (seeds that led to an overlap; light ones don't count, so 0 where only they did),
     share (best, in hundredths), first_word (from which on the texts were compared; of light seeds, where the overlap begins)."""
     span = len(masks[0])
     d = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), _hashed(docs, text).alias("dw"))
-    items = benchmark.select(benchmark[item_id].alias("item_id"), _hashed(benchmark, item_text).alias("iw"))
-    classes = items.filter(F.size("iw") >= SHORT).groupBy("iw").agg(F.collect_list("item_id").alias("item_ids")).withColumn("size", F.size("iw"))
-    shapes = classes.agg(F.sum(F.when(F.col("size") >= span, F.col("size") - span + 1)).alias("seeds"), F.collect_set(F.when(F.col("size") < span, F.col("size"))).alias("short")).first()
-    blocks = max(1, -(-(shapes["seeds"] or 0) * len(masks + light) // block_seeds))
-    found = None
-    for n, picks in [(span, masks + light), *((n, ("1" * n,)) for n in sorted(shapes["short"]))]:
-        for block in range(blocks):
-            wanted = classes.filter(F.col("size") >= span if n == span else F.col("size") == n)
-            if blocks > 1:
-                wanted = wanted.filter(F.pmod(F.xxhash64("iw"), F.lit(blocks)) == block)
-            seeds = _seeds(wanted, ["item_ids"], "iw", n, picks, "q")
-            hits = _seeds(d, ["doc_id", "text_key"], "dw", n, picks, "p").join(F.broadcast(seeds), "seed")
-            part = _compared(hits.withColumn("light", F.col("mask_q") >= len(masks)) if n == span else hits.withColumn("light", F.lit(False)), min_share)
-            found = part if found is None else found.unionByName(part)
+    items = benchmark.select(benchmark[item_id].alias("item_id"), _hashed(benchmark, item_text).alias("iw")).filter(F.size("iw") >= SHORT)
+    # Items of equal words are one class; the ids come back at the end.
+    classes = items.select(F.xxhash64("iw").alias("class"), "iw", F.size("iw").alias("size")).dropDuplicates(["class"])
+    shapes = classes.agg(F.sum(F.when(F.col("size") >= span, F.col("size") - span + 1)).alias("seeds"), F.count_if(F.col("size") < span).alias("few"), F.collect_set(F.when(F.col("size") < span, F.col("size"))).alias("short")).first()
+    picks = [*masks, *light, *("1" * n for n in sorted(shapes["short"]))]
+    least = min(map(len, picks))
+    # A mask of SPAN words is for long items, a shorter one for items of just its length.
+    seeds = _seeds(_places(classes, ["class", "size"], "iw", least, "q"), ["class", "size"], "iw", picks, "q", lambda n: (F.col("size") >= span) if n == span else (F.col("size") == n))
+    seeds = seeds.filter("seed is not null").drop("size")
+    places = _places(d, ["doc_id", "text_key"], "dw", least, "p")
+    if (shapes["seeds"] or 0) * len(masks + light) + shapes["few"] <= broadcast_seeds:
+        hits = _seeds(places, ["doc_id", "text_key"], "dw", picks, "p").drop("pick").join(F.broadcast(seeds), "seed")
+    else:
+        bare = _seeds(places, ["doc_id", "text_key"], "dw", picks, "p", around=False).drop("pick").filter("seed is not null")
+        hits = bare.join(seeds, "seed").withColumns({"_id": F.col("doc_id"), "_key": F.col("text_key")}).drop("doc_id", "text_key")
+        words = d.dropDuplicates(["doc_id", "text_key"])
+        hits = hits.join(words, (hits["_key"] == words["text_key"]) & hits["_id"].eqNullSafe(words["doc_id"])).drop("_id", "_key")
+        lead = F.least(F.col("p"), F.lit(OVERLAP - SHORT))
+        hits = hits.withColumn("lead_p", lead).withColumn("near_p", F.slice("dw", F.col("p") - lead + 1, lead + OVERLAP)).drop("dw")
+    length = F.get(F.array(*(F.lit(len(m)) for m in picks)), F.col("pick"))
+    found = _compared(hits.withColumns({"light": F.col("pick").between(len(masks), len(masks + light) - 1), "room": F.lit(OVERLAP) - length}), min_share)
     # Judged here and not before: a filter above would become part of the join's condition and end its generated code.
     good = F.col("share") >= min_share
-    best = found.groupBy("doc_id", "text_key", "item_ids").agg(F.count_if(good & ~F.col("light")).alias("n_hits"), F.max("share").alias("share"), F.min(F.when(good, F.col("first_word"))).alias("first_word")).filter(good)
-    return best.select("doc_id", "text_key", F.explode("item_ids").alias("item_id"), "n_hits", "share", "first_word")
+    best = found.groupBy("doc_id", "text_key", "class").agg(F.count_if(good & ~F.col("light")).alias("n_hits"), F.max("share").alias("share"), F.min(F.when(good, F.col("first_word"))).alias("first_word")).filter(good)
+    return best.join(items.select("item_id", F.xxhash64("iw").alias("class")), "class").select("doc_id", "text_key", "item_id", "n_hits", "share", "first_word")
 
 
 def _compared(hits: DataFrame, min_share: int) -> DataFrame:
     """The share of words, in hundredths, in which the best stretch around each hit agrees."""
     # Words before the seed and from it on that both texts have.
-    before = F.least("lead_q", "lead_p")
+    before = F.least("lead_q", "lead_p", "room")
     after = F.least(F.size("near_q") - F.col("lead_q"), F.size("near_p") - F.col("lead_p"))
     part = lambda x: F.slice(f"near_{x}", F.col(f"lead_{x}") - before + 1, before + after)
-    side = hits.select("doc_id", "text_key", "item_ids", "light", (F.col("p") - before).cast("long").alias("first_word"), part("q").alias("a"), part("p").alias("b"))
+    side = hits.select("doc_id", "text_key", "class", "light", (F.col("p") - before).cast("long").alias("first_word"), part("q").alias("a"), part("p").alias("b"))
     side = side.withColumn("same", F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))).drop("a", "b")
     size = F.least(F.size("same"), F.lit(OVERLAP))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - size + 1), lambda s: F.aggregate(F.slice("same", s, size), F.lit(0), lambda x, y: x + y))
     side = side.withColumn("shares", F.transform(sums, lambda x: F.floor(x * 100 / size).cast("long")))
     begin = F.array_position(F.transform("shares", lambda x: x >= min_share), True) - 1
     first = F.when(F.col("light"), F.col("first_word") + begin).otherwise(F.col("first_word"))
-    return side.select("doc_id", "text_key", "item_ids", "light", F.array_max("shares").alias("share"), first.alias("first_word"))
+    return side.select("doc_id", "text_key", "class", "light", F.array_max("shares").alias("share"), first.alias("first_word"))
 
 
 def sql(min_share: int = MIN_SHARE) -> str:
