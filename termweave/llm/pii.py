@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words adjust the score.
 
-A null text is an empty one. Spans are code points, end exclusive, in the order of KINDS and then by start. Every
-step is linear in the text, whatever the text holds. Rows stay one to one, also for repeated or null doc_id.
+A null text is an empty one, and has no spans. Spans are code points, end exclusive, in the order of KINDS and then by start. Every
+step is linear in the text, whatever the text holds and however long it is. Rows stay one to one, also for repeated or null doc_id; an
+empty table gives an empty one; columns other than the two named ones are not looked at, whatever they are called.
 """
 
 import re
@@ -20,18 +21,27 @@ KINDS = ("email", "ip", "card", "phone", "iban", "secret", "national_phone")
 BASE = KINDS[:4]
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
-#: Score without context, and words that raise it when they stand shortly before.
+#: Score without context, and words, also in the plural, that raise it when they stand shortly before.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.85, "phone": 0.7, "iban": 0.9, "secret": 0.5, "national_phone": 0.4}
 CONTEXT = {
-    "email": ("mail", "contact"),
+    "email": ("mail", "email", "contact"),
     "ip": ("address", "server", "host"),
     "card": ("card", "visa", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile"),
     "iban": ("iban", "account", "bank"),
     "secret": ("token", "secret", "key", "password"),
-    "national_phone": ("phone", "call", "tel", "mobile", "fax"),
+    "national_phone": ("phone", "telephone", "call", "tel", "mobile", "fax"),
 }
 RAISE = 0.25
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,7 +49,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]){11}")
+_IBAN_REST = {n: re.compile(f"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+_WORD = re.compile("[a-z]+")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])")
 _NATIONAL = re.compile(r"(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])")
 _DIGIT = re.compile("[0-9]")
@@ -94,8 +106,10 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
     for m in _IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod_97(x):
-            yield "iban", *m.span()
+        # As many characters as the country's have: what follows after a blank is no part of it.
+        size = IBAN_LENGTHS.get(m[1])
+        if size and (rest := _IBAN_REST[size].match(text, m.start() + 4)) and mod_97(text[m.start() : rest.end()].replace(" ", "")):
+            yield "iban", m.start(), rest.end()
     for m in _SECRET.finditer(text):
         yield "secret", *m.span()
     if "(" in text:
@@ -103,12 +117,20 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "national_phone", *m.span()
 
 
+def _words_before(text: str, at: int) -> set[str]:
+    """Words in lower case that end shortly before a place; the one at the window's start only if it is whole."""
+    start = max(0, at - CONTEXT_CHARS)
+    while 0 < start < at and text[start - 1].isalpha() and text[start].isalpha():
+        start += 1
+    return set(_WORD.findall(text[start:at].lower()))
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in the order of KINDS, then by start."""
     found = []
     for kind, start, end in _proposed(text or ""):
-        before = text[max(0, start - CONTEXT_CHARS) : start].lower()
-        score = min(1.0, SCORES[kind] + RAISE * any(w in before for w in CONTEXT[kind]))
+        before = _words_before(text, start)
+        score = min(1.0, SCORES[kind] + RAISE * any(w in before or w + "s" in before for w in CONTEXT[kind]))
         if kind in BASE or score >= THRESHOLD:
             found.append((kind, start, end, score))
     taken = sorted((x[1], x[2]) for x in found if x[0] in BASE)
