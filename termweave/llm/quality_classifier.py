@@ -5,9 +5,10 @@ with each; the difference of the sizes over their sum, and how far the text shor
 regression on labelled texts that are in neither dictionary.
 
 At most about TRAIN_ROWS labelled rows are used, chosen by a hash of doc_id; half of them build the dictionaries, from at
-most DICTIONARY_INPUT bytes a class. Null and empty texts have sizes of zero, hence the score of the constants. If
+most about DICTIONARY_INPUT bytes a class, as pieces chosen by a hash before a class meets in one task. Null and empty texts have sizes of zero, hence the score of the constants. If
 there are no labels of a class, the score is the share of good labels (0.5 without any). Rows stay one to one; of
-several labels of one doc_id the lowest counts.
+several labels of one doc_id the lowest counts. An empty table gives an empty one; of labels, columns other than doc_id and
+quality are not looked at.
 """
 
 import numpy as np
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, encode
+from .common import column, encode, written
 from .toxicity import logistic
 
 TRAIN_ROWS = 12_000
@@ -30,12 +31,8 @@ def pieces(data: bytes, size: int = PIECE) -> list[bytes]:
     return [data[i : i + size] for i in range(0, len(data), size)]
 
 
-def build(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A trained dictionary; where there is too little text to train one, the text itself."""
-    parts = [p for t in texts for p in pieces(t)]
-    share = min(1.0, DICTIONARY_INPUT / max(1, sum(map(len, parts))))
-    keep = np.random.default_rng(0).random(len(parts)) < share
-    parts = [p for p, k in zip(parts, keep) if k]
+def build(parts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary trained on pieces of texts; where there is too little text to train one, the text itself."""
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:
@@ -82,14 +79,23 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     share = min(1.0, rows / total)
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # At most about `rows` labels: a size that a broadcast is safe with.
-    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter("text is not null").select("label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"), "doc_id", "text")
+    picked = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(known), "doc_id").filter("text is not null")
+    picked = written(picked.select("label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"), "doc_id", "text"), "quality-rows")
+    building = picked.filter("half = 0")
+    size = {r["label"]: r["n"] or 0 for r in building.groupBy("label").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # two rows
+    # Only what a dictionary is built from goes to its task.
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PIECE))
+    parts = building.select("label", "doc_id", "text", F.posexplode(starts).alias("number", "start"))
+    parts = parts.select("label", "doc_id", "number", F.xxhash64("text").alias("key"), F.substr("text", "start", F.lit(PIECE)).alias("piece"))
+    keep = F.coalesce(*(F.when(F.col("label") == x, F.lit(min(1.0, DICTIONARY_INPUT / max(1, n)))) for x, n in size.items()), F.lit(0.0))
+    parts = parts.filter(F.pmod(F.xxhash64("doc_id", "key", "number"), F.lit(1_000_000)) < keep * 1_000_000)
 
     def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        made = build([encode(t) for t in table.column("text").to_pylist()])
+        table = table.sort_by([("doc_id", "ascending"), ("key", "ascending"), ("number", "ascending")])
+        made = build([encode(t) for t in table.column("piece").to_pylist() if t])
         return pa.table({"label": pa.array([key[0].as_py()], pa.int32()), "dictionary": pa.array([made], pa.binary())})
 
-    made = {r["label"]: bytes(r["dictionary"]) for r in picked.filter("half = 0").groupBy("label").applyInArrow(one, "label int, dictionary binary").collect()}  # two rows
+    made = {r["label"]: bytes(r["dictionary"]) for r in parts.groupBy("label").applyInArrow(one, "label int, dictionary binary").collect()}  # two rows
     if len(made) < 2:
         return constant
     both = made[1], made[0]

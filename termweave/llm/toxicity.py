@@ -2,10 +2,13 @@
 
 Features are the distinct words, their beginnings of STEM bytes (inflected forms share them), pairs of neighbours and
 pairs with one word between of a whole text (A-Z lower-cased), hashed to DIMENSIONS. Each coordinate has its own rate, and L1 leaves few weights, so the model is a small table
-of fixed greatest size that goes to every task. Models are fitted on parts of SHARD_ROWS labelled rows and averaged.
+of fixed greatest size that goes to every task, weights that are not zero alone. Models are fitted on parts of SHARD_ROWS labelled rows
+and SHARD_BYTES of text on average, and averaged.
 
 At most about TRAIN_ROWS labelled rows are fitted, chosen by a hash of doc_id. Null and empty texts have the bias alone.
-Rows stay one to one; repeated rows score alike; several labels of one doc_id count as toxic if one says so.
+Without labels every text scores 0.5: nothing is known, and a threshold below that calls all of them toxic.
+Rows stay one to one; repeated rows score alike; several labels of one doc_id count as toxic if one says so. An empty table
+gives an empty one; of labels, columns other than doc_id and toxic are not looked at.
 """
 
 import numpy as np
@@ -13,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix, word_hashes
+from .common import column, mix, word_hashes, written
 from .license_scan import words
 
 DIMENSIONS = 1 << 20
 TRAIN_ROWS = 16_000
 SHARD_ROWS = 8_000
+SHARD_BYTES = 64_000_000
 STEM = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
 EPOCHS = 6
@@ -65,11 +69,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     """Weights from the labelled rows for which the condition on doc_id holds; all zero without labels."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     total = known.count()
-    share, shards = min(1.0, rows / max(1, total)), -(-max(1, min(rows, total)) // SHARD_ROWS)
+    share = min(1.0, rows / max(1, total))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")
     # At most about `rows` labels: a size that a broadcast is safe with.
-    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(shard, "doc_id", "text", "label")
+    picked = written(docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(known), "doc_id"), "toxicity-rows")
+    size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-min(rows, total) // SHARD_ROWS), -(-size // SHARD_BYTES))
+    picked = picked.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "doc_id", "text", "label")
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -89,11 +95,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
 
 def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    few = np.flatnonzero(weights)
+    shared = docs.sparkSession.sparkContext.broadcast((few, weights[few], len(weights)))
 
     def run(batches):
+        at, w, size = shared.value
+        own = np.zeros(size, np.float32)
+        own[at] = w
         for batch in batches:
-            scores = [score_text(t, shared.value) for t in column(batch, "text")]
+            scores = [score_text(t, own) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     picked = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
