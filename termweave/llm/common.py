@@ -1,14 +1,14 @@
 """What the operators share: words as hashed numbers, bounded slices of a batch, tables in the shared folder."""
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written  # noqa: F401  (operators of this folder take it from here)
+
 #: Bytes of text that one step inside a task holds as words. A longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
 
@@ -90,23 +90,6 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a new local one where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="termweave-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and read again when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/termweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of text that a chunk of documents has on average: what one task of a chunked operator holds.
 CHUNK_BYTES = 8_000_000
 #: Smaller inputs are dealt over the shuffle partitions as long as a chunk has this much.

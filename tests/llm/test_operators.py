@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -78,6 +78,25 @@ def test_license_templates_are_found_with_gaps_and_changes(spark):
     assert got == {1: [label], 2: [], 3: []}
 
 
+@pytest.mark.parametrize("number", range(len(license_scan.TEMPLATES)))
+def test_a_template_has_its_own_label(number):
+    label, text = license_scan.TEMPLATES[number]
+    automaton = license_scan.Automaton(license_scan.TEMPLATES, license_scan.PHRASES)
+    (hit,) = automaton.scan(license_scan.words("x y " + text + " z"))[1]
+    n = len(license_scan.words(text))
+    assert (hit.label, hit.first, hit.last, hit.cover) == (label, 2, n + 1, 1.0)
+
+
+def test_a_repeated_phrase_does_not_break_a_chain():
+    phrase = "one two three four five"
+    template = f"{phrase} alpha beta gamma delta {phrase} eta theta iota kappa {phrase} end"
+    automaton = license_scan.Automaton([("t", template)])
+    text = template.replace("gamma", "CHANGED").replace("iota", "other")
+    (hit,) = automaton.scan(license_scan.words(text))[1]
+    n = len(license_scan.words(text))
+    assert (hit.first, hit.last) == (0, n - 1) and hit.cover >= 0.75
+
+
 def test_matching_statistics_are_longest_matches():
     r = random.Random(1)
     templates = [("t", " ".join(r.choice("abc") for _ in range(30))) for _ in range(3)]
@@ -118,6 +137,50 @@ def test_mined_url_rules(spark):
     assert got[1] == ("block", ["path=buy"]) and got[2][0] == "allow" and got[3] == ("allow", None)
 
 
+def test_urls_that_share_many_tokens(spark):
+    deep = "/".join("abcdefghij"[i % 10] * (i // 10 + 1) for i in range(30))
+    labels = [(f"http://a{i}.net/{deep}/x{i % 2}", "block" if i % 10 else "allow") for i in range(40)] + [(f"http://b{i}.org/p/q{i}", "allow") for i in range(200)]
+    labels = spark.createDataFrame(labels, "url string, verdict string")
+    pages = spark.createDataFrame([(1, "http://z.net/" + deep), (2, "http://z.net/aa"), (3, "http://z.org/p/r"), (4, "ftp://z.de")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.mined) for r in url_filter.judge(pages, rules=(), labels=labels).collect()}
+    assert {i: v for i, (v, _) in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    assert set(got[2][1]) == {"host=net", "path=aa", "top=net"} and "path=jjj" in got[1][1]
+
+
+def plain_rules(labels, support, confidence):
+    """Token sets with their verdict, confidence and support: all subsets of all URLs' tokens, less those that a part makes needless."""
+    rows = [(set(t), v) for t, v in labels]
+    sets = {frozenset(c) for t, _ in rows for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
+    rules = {}
+    for s in sets:
+        inside = [v for t, v in rows if s <= t]
+        for v in set(inside):
+            if inside.count(v) >= support * len(rows) and inside.count(v) >= confidence * len(inside):
+                rules[s, v] = (inside.count(v) / len(inside), inside.count(v) / len(rows))
+    return {(s, v): x for (s, v), x in rules.items() if not any(p < s and w == v and y[0] >= x[0] for (p, w), y in rules.items())}
+
+
+def test_mined_rules_are_all_rules(spark):
+    r = random.Random(8)
+    labels = [(sorted(r.sample("abcdefg", r.randrange(0, 6))), r.choice(("block", "allow", "allow"))) for _ in range(80)] + [(["a", "x", "y"], "block")] * 9
+    tokens, rules = url_filter.mine(spark.createDataFrame(labels, "tokens array<string>, verdict string"), 0.1, 0.6)
+    of = {}
+    for x in tokens.collect():
+        of.setdefault(x["class"], []).append(x.token)
+    # A rule of classes is a rule for each choice of their tokens.
+    got = {(frozenset(c), x.verdict): (round(x.confidence, 6), round(x.support, 6)) for x in rules.collect() for c in product(*(of[k] for k in x.classes))}
+    labels = [(t, v) for t, v in labels if t]
+    assert got == {k: (round(a, 6), round(b, 6)) for k, (a, b) in plain_rules(labels, 0.1, 0.6).items()} and got
+
+
+def test_urls_without_labels_and_titles(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "<title>ab###</title>"), (2, "http://b.com/fr/", "<title>abc def ghi</title>"), (3, None, None), (4, "http://c.net", "<title></title>")], "page_id long, url string, html string")
+    assert {tuple(r) for r in url_filter.by_title(pages).collect()} == {("http://a.net/x", "block"), ("http://b.com/fr/", "allow")}
+    none = url_filter.by_title(pages.limit(0))
+    for labels in (None, none):
+        assert {(r.page_id, r.verdict, r.mined) for r in url_filter.judge(pages, labels=labels).collect()} == {(i, "allow", None) for i in (1, 2, 3, 4)}
+
+
 # 3
 
 
@@ -190,7 +253,7 @@ def test_decontamination(spark, block):
             docs.append((len(docs), " ".join(make(15) + x + make(9))))
         docs.append((len(docs), " ".join(make(5) + w[3:-3])))
     docs += [(None, None), (800, ""), (801, "too short")]
-    got = decontamination.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_seeds=block)
+    got = decontamination.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=block)
     assert set(rows_of(got, "doc_id", "item_id", "n_hits", "share", "first_word")) == plain_overlaps(docs, items)
 
 
@@ -293,6 +356,60 @@ def test_classifiers_without_labels(spark):
     assert {r.score for r in quality_classifier.score(docs, quality_classifier.train(docs, labels, every)).collect()} == {0.5}
 
 
+def plain_ftrl(rows, dimensions, epochs):
+    """One coordinate at a time, as published: z, n and the weight that follows from them."""
+    z, n = [0.0] * dimensions, [0.0] * dimensions
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for at, label in rows:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in at:
+                s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(dimensions)]
+
+
+def test_ftrl():
+    r = random.Random(5)
+    rows = [(np.array(sorted({0, *r.sample(range(1, 40), 6), *([40] if y else [])})), y) for y in (r.randrange(2) for _ in range(200))]
+    got = toxicity.fit(rows, 50, 3)
+    assert np.allclose(got, plain_ftrl(rows, 50, 3)) and got[40] > 0 and (got == 0).sum() > 5
+
+
+def test_calibration_is_the_best_fit():
+    r = np.random.default_rng(1)
+    x = np.column_stack([np.ones(300), r.normal(size=(300, 2)) * (1, 9)])
+    y = (x @ (0.3, 1.5, -0.1) + r.normal(size=300) > 0).astype(float)
+    scale, w = quality_classifier.calibrate(x, y)
+
+    def loss(v):
+        p = 1 / (1 + np.exp(-(x / scale) @ v))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + 0.005 * (v @ v)
+
+    assert all(loss(w) < loss(w + d) for d in r.normal(size=(200, 3)) * 0.05)
+
+
+def test_query_columns_of_classifiers(spark):
+    from pathlib import Path
+
+    from termweave.llm import queries
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    for name, rest, of in (("op5_toxicity", 2, 4), ("op7_quality_classifier", 0, 5)):
+        rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert len(rows) == 200
+        for x in rows:
+            assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % of == rest) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3)
+
+
 # 6
 
 
@@ -321,6 +438,24 @@ def test_pii_checksums_context_and_masking(spark):
     assert pii.masked(frame(spark, EDGES)).select("doc_id", "chunk").count() == len(EDGES)
 
 
+def test_ibans_end_where_their_country_says():
+    found = lambda t: [(k, t[a:b]) for k, a, b, _ in pii.find_spans(t)]
+    assert found("iban DE89 3704 0044 0532 0130 00 AND MORE") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert found("DE89370400440532013000 1234") == [("iban", "DE89370400440532013000")]
+    assert found("GB82WEST12345698765432, NO9386011117947") == [("iban", "GB82WEST12345698765432"), ("iban", "NO9386011117947")]
+    for text in ("DE8937040044053201300", "DE893704004405320130001", "XX89370400440532013000", "xDE89370400440532013000", "DE88370400440532013000"):
+        assert found(text) == []
+
+
+def test_context_is_whole_words():
+    found = lambda t: [k for k, *_ in pii.find_spans(t)]
+    number = "(555) 123-4567"
+    assert found("call " + number) == found("Phones: " + number) == found("telephone " + number) == ["national_phone"]
+    assert found("locally " + number) == found("recall " + number) == found("x" * 50 + "call " + number) == []
+    assert found("m" * 3 + "phone" + "." * 34 + number) == []  # the window begins inside a word
+    assert found("monkey " + "0123456789abcdef" * 2) == [] and found("api_key=" + "0123456789abcdef" * 2) == ["secret"]
+
+
 def test_pii_is_linear_in_the_text():
     for text in ("x" * 1_000_000, "9" * 1_000_000, "a@" * 300_000, "+1" * 300_000, "1." * 300_000):
         pii.find_spans(text)
@@ -366,6 +501,17 @@ def test_packing_round_trip(spark, open_windows):
     assert sum(sum(n for _, n in x) < 1024 for x in sequences.values()) <= 1
 
 
+def test_both_encoders_give_the_same_ids(spark):
+    from pathlib import Path
+
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("no test tables")
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        slow = encoder.slow.encode(row.text or "", add_special_tokens=False).ids
+        assert encoder(row.text).tolist() == slow
+
+
 # 9
 
 
