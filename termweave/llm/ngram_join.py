@@ -23,6 +23,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ LINKED_BY_NAME = 256
 NEAREST = 6
 #: Chunks whose shared n-grams meet in one task of the second step.
 CHUNKS_A_BUCKET = 8
+#: Names of documents, of about 40 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 200_000
 #: Rows of a chunk are numbered below this.
 SPAN = 1 << 32
 
@@ -250,8 +253,8 @@ def ranked(docs: DataFrame, k: int, keep: int, text: str) -> tuple[np.ndarray, n
 _SENT = "bucket int, chunk int, hashes binary, rows binary, counts binary, scores binary"
 _ASKED = "chunk int, hashes binary, row bigint, target int, wanted binary"
 _SHIPPED = "chunk int, hashes binary, hub bigint, shingles binary, wanted binary, later int"
-_FOUND = "bucket int, chunk int, kind int, node bigint, other bigint, doc_id bigint, n bigint, hashes binary, rows binary, sizes binary, sketches binary, hubs binary"
-_KEPT = "kind int, node bigint, other bigint, doc_id bigint, n bigint, more binary"
+_FOUND = "bucket int, chunk int, kind int, node bigint, other bigint, doc_id bigint, n bigint, text_key bigint, hashes binary, rows binary, sizes binary, sketches binary, hubs binary"
+_KEPT = "kind int, node bigint, other bigint, doc_id bigint, n bigint, text_key bigint, more binary"
 DOCUMENT, LINK, NAMED, LINKED, LATER = range(5)
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 
@@ -264,6 +267,35 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, hub_from: int = HUB_FROM) -> DataFrame:
     """doc_id (long), n_shingles, component_id: the smallest doc_id that links reach from the document."""
+    rows = placed(docs, k, percent, doc_id, text, chunk_bytes, hub_from)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each group of linked ones stays: the one with the smallest doc_id
+    (null last), then the smallest hash of its text; of rows that are alike in both, any one. Rows with no words all stay.
+
+    Rows are named by their id and the hash of their text, so another text of the same id is not touched."""
+    rows = placed(docs, k, percent, doc_id, text).filter("n_shingles > 0")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))
+    named = written(rows.select("root", name.alias("name")).groupBy("root", "name").agg(F.count("*").alias("n")), "ngram-names")
+    first = named.groupBy("root").agg(F.min("name").alias("first"))
+    # Most rows stay as they are: only the others' names are looked for among the documents.
+    others = named.join(first, "root").select("name.*", (F.col("name") == F.col("first")).alias("stays"), "n").filter("not stays or n > 1")
+    others = written(others.select("none", "id", "key", "stays"), "ngram-decisions")
+    if others.count() <= BROADCAST_ROWS:
+        others = F.broadcast(others)
+    own = {"_none": docs[doc_id].isNull(), "_id": F.coalesce(docs[doc_id].cast("long"), F.lit(0)), "_key": F.xxhash64(docs[text])}
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in own.items()))
+    same = (F.col("_none") == F.col("none")) & (F.col("_id") == F.col("id")) & (F.col("_key") == F.col("key"))
+    judged = whole.join(others, same, "left")
+    again = judged.filter("stays").dropDuplicates(["_none", "_id", "_key"])
+    return judged.filter("stays is null").select("row.*").unionByName(again.select("row.*"))
+
+
+def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, hub_from: int = HUB_FROM) -> DataFrame:
+    """doc_id (long), text_key (xxhash64 of the text), n_shingles and root, equal for the rows that links connect; a row for each of docs."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(ranked(docs, k, RANKED, text))
     rows, n = chunked(docs, doc_id, text, chunk_bytes)
@@ -273,14 +305,14 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
         return s[-signature_size(len(s), percent) :]
 
     def classes(table: pa.Table):
-        """Ids, the row that each row's set is first seen in (-1: empty), sizes, and these rows' sets in order."""
+        """Ids, texts, the row that each row's set is first seen in (-1: empty), sizes, and these rows' sets in order."""
         ids, texts = chunk_rows(table)
         seen, first, sizes, sets, ordering = {}, np.full(len(texts), -1, np.int64), np.zeros(len(texts), np.int64), {}, Order(*order.value)
         for i, s in shingle_sets(texts, k):
             first[i], sizes[i] = seen.setdefault(s.tobytes(), i), len(s)
             if first[i] == i:
                 sets[i] = ordering.sort(s)
-        return ids, first, sizes, sets, ordering
+        return ids, texts, first, sizes, sets, ordering
 
     def links(base: int, sets: dict, ordering: Order, tails: dict[int, np.ndarray], probes) -> list[tuple[int, int]]:
         """(hub, node) for each probe (hub, its set, the rows to try: None for all) and set of the chunk that link."""
@@ -301,7 +333,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
         return [(hub, base + at[j]) for (hub, s, _), w in zip(probes, wanted) for j in tree.probe(s, [place[i] for i in w], percent)]
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, _, _, sets, _ = classes(table)
+        _, _, _, _, sets, _ = classes(table)
         tails = [(i, tail(s), float(c.sum()) / len(s)) for i, (s, c) in sets.items()]
         lengths = [len(t) for _, t, _ in tails]
         hashes = joined([t for _, t, _ in tails], np.uint64)
@@ -373,13 +405,14 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
     def verify(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
         base = chunk * SPAN
-        ids, first, sizes, sets, ordering = classes(left)
+        ids, texts, first, sizes, sets, ordering = classes(left)
         known = np.unique(joined([np.frombuffer(h, np.uint64) for h in right.column("hashes").to_pylist() if h is not None], np.uint64))
         tails = {i: t for i, (s, _) in sets.items() if len(t := (x := tail(s))[in_sorted(x, known)])}
         none = (None,) * 5
-        out = [(chunk % buckets, chunk, DOCUMENT, base + i, base + int(first[i]) if first[i] >= 0 else None, ids[i], int(sizes[i]), *none) for i in range(len(ids))]
+        keys = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64).tolist()  # what xxhash64() gives
+        out = [(chunk % buckets, chunk, DOCUMENT, base + i, base + int(first[i]) if first[i] >= 0 else None, ids[i], int(sizes[i]), keys[i], *none) for i in range(len(ids))]
         pairs = links(base, sets, ordering, tails, probes_of(right))
-        out += [(chunk % buckets, chunk, LINK, a, b, None, None, *none) for a, b in pairs]
+        out += [(chunk % buckets, chunk, LINK, a, b, None, None, None, *none) for a, b in pairs]
         hub_of = {hub: hub for hub, _, _ in probes_of(right) if hub // SPAN == chunk}
         for hub, node in pairs:
             for x in (node, hub):
@@ -400,10 +433,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
             once = np.unique(r).tolist()
             if once:
                 about = np.array([(i, len(sets[i][0]), hub_of.get(base + i, -1)) for i in once], np.int64).tobytes()
-                out.append((int(bucket[a]), chunk, NAMED, None, None, None, None, h.tobytes(), r.astype(np.uint32).tobytes(), about, b"".join(bits[i] for i in once), None))
+                out.append((int(bucket[a]), chunk, NAMED, None, None, None, None, None, h.tobytes(), r.astype(np.uint32).tobytes(), about, b"".join(bits[i] for i in once), None))
             if many[a:b].any():
                 both = np.unique(np.stack([hashes[a:b][many[a:b]], hub[a:b][many[a:b]].astype(np.uint64)], axis=1), axis=0)
-                out.append((int(bucket[a]), chunk, LINKED, None, None, None, None, both[:, 0].tobytes(), None, None, None, both[:, 1].astype(np.int64).tobytes()))
+                out.append((int(bucket[a]), chunk, LINKED, None, None, None, None, None, both[:, 0].tobytes(), None, None, None, both[:, 1].astype(np.int64).tobytes()))
         return _table(out, _FOUND)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -476,11 +509,11 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
             at = range(len(texts)) if any(w is None for _, _, w in probes) else sorted({int(i) for _, _, w in probes for i in w})
             sets = {at[i]: ordering.sort(s) for i, s in shingle_sets([texts[r] for r in at], k)}
             found = links(base, sets, ordering, {i: tail(s) for i, (s, _) in sets.items()}, probes)
-        later = [(LATER, h, int(np.frombuffer(s, np.int64)[0]), None, None, w) for h, s, w, x in zip(*(right.column(c).to_pylist() for c in ("hub", "shingles", "wanted", "later"))) if x]
-        return _table([(LINK, a, b, None, None, None) for a, b in found] + later, _KEPT)
+        later = [(LATER, h, int(np.frombuffer(s, np.int64)[0]), None, None, None, w) for h, s, w, x in zip(*(right.column(c).to_pylist() for c in ("hub", "shingles", "wanted", "later"))) if x]
+        return _table([(LINK, a, b, None, None, None, None) for a, b in found] + later, _KEPT)
 
     def passed(table: pa.Table) -> pa.Table:
-        kept = table.filter(pc.field("kind") <= LINK).select(["kind", "node", "other", "doc_id", "n"])
+        kept = table.filter(pc.field("kind") <= LINK).select(["kind", "node", "other", "doc_id", "n", "text_key"])
         return kept.append_column("more", pa.nulls(kept.num_rows, pa.binary()))
 
     def asked_later(table: pa.Table) -> pa.Table:
@@ -508,7 +541,5 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str =
         again = by_chunk.cogroup(again.groupBy("chunk")).applyInArrow(ship, _SHIPPED)
         again = by_chunk.cogroup(again.groupBy("chunk")).applyInArrow(probe, _KEPT).select("node", "other")
         whole = components(written(links_found.unionByName(again), "ngram-links"))
-    own = kept.filter(F.col("kind") == DOCUMENT).select("doc_id", "n", F.coalesce("other", "node").alias("class"))
-    placed = own.join(whole.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    own = kept.filter(F.col("kind") == DOCUMENT).select("doc_id", "text_key", "n", F.coalesce("other", "node").alias("class"))
+    return own.join(whole.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("root"))

@@ -617,3 +617,13 @@ def test_empty_tables(spark):
     assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert quality_rules.apply_rules(docs).count() == 0
     assert ngram_join.join(docs).count() == 0
+
+
+def test_one_of_each_group(spark):
+    text = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (None, text("a")), (3, text("c")), (3, text("c")), (4, text("c") + " end"), (None, text("d")), (None, text("d")), (5, None), (5, None), (6, ""), (6, ""), (None, None)]
+    df = frame(spark, rows)
+    got = ngram_join.one_of_each(df, 5, 80)
+    assert got.columns == df.columns
+    assert rows_of(got, "doc_id", "text") == Counter([(1, text("a")), (2, text("b")), (3, text("c")), (None, text("d")), (5, None), (5, None), (6, ""), (6, ""), (None, None)])
+    assert ngram_join.one_of_each(frame(spark, []), 5, 80).count() == 0
