@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from termweave.llm import decontamination, ngram_join, packing, pii, quality_rules
 from termweave.llm.common import written
 
+#: Names of documents of about 30 bytes that are broadcast at most.
+BROADCAST_LEAKS = 200_000
+
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects. The rules read each text in place, so no join follows."""
@@ -20,15 +23,17 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 80 per cent of their runs of five words, the one with the smallest doc_id; of
-    rows with that id, all. The query op10_ngram_join has limits of its own: four words, 85 per cent."""
-    groups = ngram_join.join(docs, k=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents that share 80 per cent of their runs of five words, the one with the smallest doc_id. The query
+    op10_ngram_join has limits of its own: four words, 85 per cent."""
+    return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Up to BROADCAST_LEAKS names of those that have one go to the documents."""
     leaks = decontamination.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "text_key").distinct()
+    leaks = written(leaks, "leaks")
+    if leaks.count() <= BROADCAST_LEAKS:
+        leaks = F.broadcast(leaks)
     # An id may be null, so it is compared as such; the text's key carries the join.
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     same = (keyed["_key"] == leaks["text_key"]) & keyed["doc_id"].eqNullSafe(leaks["doc_id"])
