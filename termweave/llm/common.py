@@ -1,5 +1,6 @@
 """What the operators share: words as hashed numbers, bounded slices of a batch, tables in the shared folder."""
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +87,15 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def hand_back() -> None:
+    """Returns free memory to the system. Python workers are kept between tasks, beside the executor's own heap, and what
+    one task has freed would else stay with its worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim:
+        trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

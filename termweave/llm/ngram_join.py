@@ -19,6 +19,8 @@ one, also repeated ones and those with a null doc_id.
 """
 
 from bisect import bisect_left
+from functools import wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, bucket_of, chunk_rows, chunked, in_sorted, joined, runs, slices, unpack, window_hashes, word_hashes, written
+from .common import CHUNK_BYTES, bucket_of, chunk_rows, chunked, hand_back, in_sorted, joined, runs, slices, unpack, window_hashes, word_hashes, written
 from .components import components
 
 WORDS = 4
@@ -242,6 +244,7 @@ def ranked(docs: DataFrame, k: int, keep: int, text: str) -> tuple[np.ndarray, n
                 hashes, n = np.unique(joined([s for _, s in shingle_sets(texts[a:b], k)], np.uint64), return_counts=True)
                 often = n > 1
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
+        hand_back()
 
     counts = docs.select(docs[text]).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "h").limit(keep).toArrow()
@@ -523,6 +526,19 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
                 out.setdefault((node, other // SPAN), set()).add(other % SPAN)
         return _table([(a // SPAN, None, a % SPAN, c, np.array(sorted(w), np.uint32).tobytes()) for (a, c), w in out.items()], _ASKED)
 
+    def held_for_one_chunk(f):
+        """f, which gives back what it has used: a worker holds one chunk at a time, of whatever step."""
+
+        @wraps(f)
+        def run(*tables):
+            out = f(*tables)
+            hand_back()
+            return out
+
+        run.__signature__ = signature(f)  # Spark looks at it to tell whether the key is asked for
+        return run
+
+    send, ship, verify, compare, probe = map(held_for_one_chunk, (send, ship, verify, compare, probe))
     by_chunk = rows.groupBy("chunk")
     asked = by_chunk.applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _ASKED)
     shipped = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(ship, _SHIPPED)

@@ -9,6 +9,7 @@ gives no piece; columns other than the two named ones are not looked at; a long
 
 import base64
 import zlib
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, encode, slices, written
+from .common import column, encode, hand_back, slices, written
 
 CAPACITY = 1024
 OPEN_WINDOWS = 32
@@ -34,10 +35,7 @@ class Encoder:
     the special token, and those that the twin can't take, go to the tokenizer file itself."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.fast = path, None
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
             import public_tokenizers
@@ -46,6 +44,13 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
             self.fast = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        """Loaded with the first text that needs it: it takes several times the twin's memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         ids = None
@@ -127,6 +132,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_windows
                     windows.done = []
         if windows.open:
             yield _rows([w[1] for w in windows.open], part * PER_PARTITION + count, id_type, True)
+        del encoder, windows
+        hand_back()
 
     def merge(table: pa.Table) -> pa.Table:
         windows, rows = Windows(capacity, 1), table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
