@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, bucket_of, chunk_rows, chunked, hand_back, in_sorted, joined, runs, slices, unpack, window_hashes, word_hashes, written
+from .common import CHUNK_BYTES, bucket_of, chunk_rows, chunked, hand_back, in_sorted, joined, mix, runs, slices, unpack, window_hashes, word_hashes, written
 from .components import components
 
 WORDS = 4
@@ -307,6 +307,10 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
     def tail(s: np.ndarray) -> np.ndarray:
         return s[-signature_size(len(s), percent) :]
 
+    def dealt(hashes: np.ndarray, n: int) -> np.ndarray:
+        """The bucket of each n-gram. The last n-grams of a set have high hashes, so hashes are mixed anew."""
+        return bucket_of(mix(hashes), n)
+
     def classes(table: pa.Table):
         """Ids, texts, the row that each row's set is first seen in (-1: empty), sizes, and these rows' sets in order."""
         ids, texts = chunk_rows(table)
@@ -346,7 +350,9 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         hashes, row, score = hashes[by], row[by], score[by]
         starts, ends = runs(hashes)
         hashes, row, score, count = hashes[starts], row[starts], score[starts], np.minimum(ends - starts, 255).astype(np.uint8)
-        bucket = bucket_of(hashes, n)
+        by = np.argsort(dealt(hashes, n), kind="stable")
+        hashes, row, score, count = hashes[by], row[by], score[by], count[by]
+        bucket = dealt(hashes, n)
         return _table([(int(bucket[a]), key[0].as_py(), *(x[a:b].tobytes() for x in (hashes, row, count, score))) for a, b in zip(*runs(bucket))], _SENT)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -355,28 +361,32 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         names = table.column("chunk").to_numpy().astype(np.int64)
         hashes, chunk = joined(parts, np.uint64), np.repeat(names, [len(p) for p in parts])
         row, count, score = (joined(unpack(table, c, d), d) for c, d in (("rows", np.uint32), ("counts", np.uint8), ("scores", np.float32)))
-        by = np.lexsort((row, chunk, -score, hashes))
+        # Equal sets score alike: which of their chunks has the hub differs from score to score, not from n-gram to n-gram.
+        lot = mix(chunk.astype(np.uint64) | score.view(np.uint32).astype(np.uint64) << np.uint64(32))
+        by = np.lexsort((row, lot, -score, hashes))
         starts, ends = runs(hashes[by])
         sums = np.add.reduceat(count[by].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
         several = np.zeros(len(hashes), bool)
         several[by] = np.repeat(sums > 1, ends - starts)
-        asked = set()
+        asked: dict[tuple[int, int], set[int]] = {}
         for a, b in zip(starts[sums >= hub_from], ends[sums >= hub_from]):
             hub = by[a]
-            asked.update((int(chunk[hub]), int(row[hub]), int(c)) for c in chunk[by[a:b]])
+            asked.setdefault((int(chunk[hub]), int(row[hub])), set()).update(chunk[by[a:b]].tolist())
         cut = np.cumsum([0, *map(len, parts)])
         out = [(int(c), p[several[a:b]].tobytes(), None, None, None) for c, p, a, b in zip(names, parts, cut, cut[1:]) if several[a:b].any()]
-        return _table(out + [(c, None, r, t, None) for c, r, t in sorted(asked)], _ASKED)
+        return _table(out + [(c, None, r, None, np.array(sorted(to), np.int32).tobytes()) for (c, r), to in sorted(asked.items())], _ASKED)
 
     def ship(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        """Sets that another chunk asked for, by row or (row null, target given) as all with an n-gram; the chunk's own shared n-grams."""
+        """Sets that other chunks asked for: by row for one target or (target null) for many, or (row null) all with an n-gram; the chunk's own shared n-grams (both null)."""
         chunk, ordering = key[0].as_py(), Order(*order.value)
         asked: dict[tuple[int, int], set[int] | None] = {}
         shared: dict[int, set[int]] = {}
         out = []
         for h, r, t, w in zip(*(right.column(c).to_pylist() for c in ("hashes", "row", "target", "wanted"))):
-            if t is None:
+            if t is None and r is None:
                 out.append((chunk, h, None, None, None, 0))
+            elif t is None:
+                asked.update(((r, x), None) for x in np.frombuffer(w, np.int32).tolist())
             elif t < 0:
                 out.append((chunk, None, r, h, w, 1))
             elif r is None:
@@ -423,14 +433,14 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         hashes = joined(list(tails.values()), np.uint64)
         row = np.repeat(np.array(list(tails), np.int64), [len(t) for t in tails.values()])
         hub = np.array([hub_of.get(base + i, -1) for i in tails], np.int64).repeat([len(t) for t in tails.values()])
-        by = np.lexsort((row, hub, hashes))
+        by = np.lexsort((row, hub, hashes, dealt(hashes, buckets)))
         hashes, row, hub = hashes[by], row[by], hub[by]
         # Sets that link with one hub are named one by one up to a number.
         start = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (hub[1:] != hub[:-1]))) if len(hashes) else np.zeros(0, bool))
         count = np.diff(np.append(start, len(hashes)))
         many = np.repeat((count > LINKED_BY_NAME) & (hub[start] >= 0), count)
         bits = {i: sketch(sets[i][0]) for i in np.unique(row[~many]).tolist()}
-        bucket = bucket_of(hashes, buckets)
+        bucket = dealt(hashes, buckets)
         for a, b in zip(*runs(bucket)):
             h, r = hashes[a:b][~many[a:b]], row[a:b][~many[a:b]]
             once = np.unique(r).tolist()
