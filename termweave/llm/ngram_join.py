@@ -259,6 +259,8 @@ _SHIPPED = "chunk int, hashes binary, hub bigint, shingles binary, wanted binary
 _FOUND = "bucket int, chunk int, kind int, node bigint, other bigint, doc_id bigint, n bigint, text_key bigint, hashes binary, rows binary, sizes binary, sketches binary, hubs binary"
 _KEPT = "kind int, node bigint, other bigint, doc_id bigint, n bigint, text_key bigint, more binary"
 DOCUMENT, LINK, NAMED, LINKED, LATER = range(5)
+#: In place of a target: what is wanted are pairs put off, or sets named by their nodes.
+PUT_OFF, NODES = -1, -2
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 
 
@@ -268,6 +270,19 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(list(c), _ARROW[kind]) for (name, kind), c in zip(fields, columns)})
 
 
+def _asks(asked: dict[tuple[int, int], set[int] | None]) -> list[tuple]:
+    """Rows of _ASKED that have a node's set sent to chunks, for some rows there or (None) for all: at most two a node."""
+    chunks: dict[int, list[int]] = {}
+    nodes: dict[int, list[int]] = {}
+    for (node, chunk), rows in sorted(asked.items(), key=lambda x: x[0]):
+        if rows is None:
+            chunks.setdefault(node, []).append(chunk)
+        else:
+            nodes.setdefault(node, []).extend(chunk * SPAN + i for i in sorted(rows))
+    out = [(a // SPAN, None, a % SPAN, None, np.array(to, np.int32).tobytes()) for a, to in chunks.items()]
+    return out + [(a // SPAN, None, a % SPAN, NODES, np.array(to, np.int64).tobytes()) for a, to in nodes.items()]
+
+
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, hub_from: int = HUB_FROM) -> DataFrame:
     """doc_id (long), n_shingles, component_id: the smallest doc_id that links reach from the document."""
     rows = placed(docs, k, percent, doc_id, text, chunk_bytes, hub_from)
@@ -368,16 +383,16 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         sums = np.add.reduceat(count[by].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
         several = np.zeros(len(hashes), bool)
         several[by] = np.repeat(sums > 1, ends - starts)
-        asked: dict[tuple[int, int], set[int]] = {}
+        asked: dict[tuple[int, int], None] = {}
         for a, b in zip(starts[sums >= hub_from], ends[sums >= hub_from]):
-            hub = by[a]
-            asked.setdefault((int(chunk[hub]), int(row[hub])), set()).update(chunk[by[a:b]].tolist())
+            hub = int(chunk[by[a]]) * SPAN + int(row[by[a]])
+            asked.update(((hub, c), None) for c in chunk[by[a:b]].tolist())
         cut = np.cumsum([0, *map(len, parts)])
         out = [(int(c), p[several[a:b]].tobytes(), None, None, None) for c, p, a, b in zip(names, parts, cut, cut[1:]) if several[a:b].any()]
-        return _table(out + [(c, None, r, None, np.array(sorted(to), np.int32).tobytes()) for (c, r), to in sorted(asked.items())], _ASKED)
+        return _table(out + _asks(asked), _ASKED)
 
     def ship(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        """Sets that other chunks asked for: by row for one target or (target null) for many, or (row null) all with an n-gram; the chunk's own shared n-grams (both null)."""
+        """Sets that other chunks asked for: by row for chunks (target null) or nodes, or (row null) all with an n-gram for a target; the chunk's own shared n-grams (both null)."""
         chunk, ordering = key[0].as_py(), Order(*order.value)
         asked: dict[tuple[int, int], set[int] | None] = {}
         shared: dict[int, set[int]] = {}
@@ -387,15 +402,15 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
                 out.append((chunk, h, None, None, None, 0))
             elif t is None:
                 asked.update(((r, x), None) for x in np.frombuffer(w, np.int32).tolist())
-            elif t < 0:
+            elif t == PUT_OFF:
                 out.append((chunk, None, r, h, w, 1))
-            elif r is None:
+            elif t == NODES:
+                for x in np.frombuffer(w, np.int64).tolist():
+                    if asked.get((r, x // SPAN), ()) is not None:
+                        asked.setdefault((r, x // SPAN), set()).add(x % SPAN)
+            else:
                 for x in np.frombuffer(h, np.uint64).tolist():
                     shared.setdefault(x, set()).add(t)
-            elif w is None:
-                asked[r, t] = None
-            elif asked.get((r, t), ()) is not None:
-                asked.setdefault((r, t), set()).update(np.frombuffer(w, np.uint32).tolist())
         texts = chunk_rows(left)[1] if asked or shared else []
         at = range(len(texts)) if shared else sorted({r for r, _ in asked})
         targets: dict[int, list[int]] = {}
@@ -502,7 +517,7 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
                     asked.setdefault(to, set()).add(known.nodes[j] % SPAN)
             if b > a + NEAREST:
                 others = np.array([known.nodes[j] for j in right[a + NEAREST : b].tolist()], np.int64)
-                later.append((node // SPAN, np.array([known.parts[right[a]]], np.int64).tobytes(), node, -1, others.tobytes()))
+                later.append((node // SPAN, np.array([known.parts[right[a]]], np.int64).tobytes(), node, PUT_OFF, others.tobytes()))
         for h, places in where.items():
             hubs = sorted({hub for hub, _ in places})
             for hub, chunk in places:
@@ -510,7 +525,7 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
                 if len(hubs) > 1 and whole_to:
                     for c in whole_to:
                         whole.setdefault((chunk, c), set()).add(h)
-        out = [(a // SPAN, None, a % SPAN, c, None if w is None else np.array(sorted(w), np.uint32).tobytes()) for (a, c), w in asked.items()]
+        out = _asks(asked)
         out += [(chunk, np.array(sorted(hs), np.uint64).tobytes(), None, c, None) for (chunk, c), hs in whole.items()]
         return _table(out + later, _ASKED)
 
@@ -534,7 +549,7 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         for node, more in zip(table.column("node").to_pylist(), table.column("more").to_pylist()):
             for other in np.frombuffer(more, np.int64).tolist():
                 out.setdefault((node, other // SPAN), set()).add(other % SPAN)
-        return _table([(a // SPAN, None, a % SPAN, c, np.array(sorted(w), np.uint32).tobytes()) for (a, c), w in out.items()], _ASKED)
+        return _table(_asks(out), _ASKED)
 
     def held_for_one_chunk(f):
         """f, which gives back what it has used: a worker holds one chunk at a time, of whatever step."""
