@@ -322,10 +322,6 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
     def tail(s: np.ndarray) -> np.ndarray:
         return s[-signature_size(len(s), percent) :]
 
-    def dealt(hashes: np.ndarray, n: int) -> np.ndarray:
-        """The bucket of each n-gram. The last n-grams of a set have high hashes, so hashes are mixed anew."""
-        return bucket_of(mix(hashes), n)
-
     def classes(table: pa.Table):
         """Ids, texts, the row that each row's set is first seen in (-1: empty), sizes, and these rows' sets in order."""
         ids, texts = chunk_rows(table)
@@ -365,9 +361,9 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         hashes, row, score = hashes[by], row[by], score[by]
         starts, ends = runs(hashes)
         hashes, row, score, count = hashes[starts], row[starts], score[starts], np.minimum(ends - starts, 255).astype(np.uint8)
-        by = np.argsort(dealt(hashes, n), kind="stable")
-        hashes, row, score, count = hashes[by], row[by], score[by], count[by]
-        bucket = dealt(hashes, n)
+        bucket = bucket_of(mix(hashes), n)  # mixed anew: the last n-grams of a set have high hashes
+        by = np.argsort(bucket, kind="stable")
+        hashes, row, score, count, bucket = hashes[by], row[by], score[by], count[by], bucket[by]
         return _table([(int(bucket[a]), key[0].as_py(), *(x[a:b].tobytes() for x in (hashes, row, count, score))) for a, b in zip(*runs(bucket))], _SENT)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -448,14 +444,15 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         hashes = joined(list(tails.values()), np.uint64)
         row = np.repeat(np.array(list(tails), np.int64), [len(t) for t in tails.values()])
         hub = np.array([hub_of.get(base + i, -1) for i in tails], np.int64).repeat([len(t) for t in tails.values()])
-        by = np.lexsort((row, hub, hashes, dealt(hashes, buckets)))
+        by = np.lexsort((row, hub, hashes))
         hashes, row, hub = hashes[by], row[by], hub[by]
         # Sets that link with one hub are named one by one up to a number.
         start = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (hub[1:] != hub[:-1]))) if len(hashes) else np.zeros(0, bool))
         count = np.diff(np.append(start, len(hashes)))
         many = np.repeat((count > LINKED_BY_NAME) & (hub[start] >= 0), count)
         bits = {i: sketch(sets[i][0]) for i in np.unique(row[~many]).tolist()}
-        bucket = dealt(hashes, buckets)
+        # By ranges of the hash: few buckets a set, as each of them gets its sketch.
+        bucket = bucket_of(hashes, buckets)
         for a, b in zip(*runs(bucket)):
             h, r = hashes[a:b][~many[a:b]], row[a:b][~many[a:b]]
             once = np.unique(r).tolist()
