@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from . import byte_bpe, compression, decontamination, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,49 @@ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) USING (doc_id)"""
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.recode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compression.compress(table(spark, sf_dir, "embeddings"))
+    rows = compression.with_label_error(found.rows)
+    return rows.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(compression.digest(found.codebooks)).alias("codebooks_sha256"))
+
+
+def _op12_round(n: int, last: bool) -> str:
+    """The assignment a{n} by codebooks b{n}, and what replaces these."""
+    distance = "list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    assigned = f"""
+a{n} AS MATERIALIZED (SELECT vec_id, label, p, v, arg_min(e, 64 * d + e) AS e, min(d) AS d FROM (
+  SELECT p.*, b.e, {distance} AS d FROM p JOIN b{n} b ON p.p = b.p) GROUP BY vec_id, label, p, v),"""
+    replaced = f"""
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(u.v, b.v) AS v FROM b{n} b LEFT JOIN (
+  SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS v FROM (
+    SELECT p, e, i, sum(c) AS s, count(*) AS n FROM (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY p, e, i) GROUP BY p, e) u ON b.p = u.p AND b.e = u.e),"""
+    return assigned + ("" if last else replaced)
+
+
+#: Vectors cut into parts p; codebooks b0 to b2 have a row for each part and entry.
+OP12_SQL = f"""
+WITH x AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, p, list_slice(x, p * (len(x) // 16) + 1, (p + 1) * (len(x) // 16)) AS v FROM x, range(16) AS g(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM p QUALIFY e < 64),
+{"".join(_op12_round(n, n == 2) for n in range(3))}
+codes AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM codes"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -111,11 +154,15 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
 SQL = {
     "op4_decontamination": decontamination.sql(),
     "op10_ngram_join": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op9_quality_rules": f"SELECT {', '.join(OP9)} FROM ({quality_rules.sql()})",
 }
