@@ -34,14 +34,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     leaks = written(leaks, "leaks")
     if leaks.count() <= BROADCAST_LEAKS:
         leaks = F.broadcast(leaks)
-    # An id may be null, so it is compared as such; the text's key carries the join.
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = (keyed["_key"] == leaks["text_key"]) & keyed["doc_id"].eqNullSafe(leaks["doc_id"])
-    return keyed.join(leaks, same, "left_anti").select(docs.columns)
+    # A document is one column, so none of its own has a name of these. An id may be null, so it is compared as such; the text's
+    # key carries the join.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(docs["text"]).alias("key"))
+    same = (F.col("key") == F.col("text_key")) & F.col("doc.doc_id").eqNullSafe(F.col("leak_id"))
+    return whole.join(leaks.withColumnRenamed("doc_id", "leak_id"), same, "left_anti").select("doc.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of personal data replaced by its kind; n_chars follows the text."""
+    """All documents, each span of personal data replaced by its kind; n_chars follows the text, and is put in where it is missing."""
     return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
