@@ -103,3 +103,16 @@ def test_nothing_else_imports_the_subpackage():
     for path in (root / "termweave").rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"^\s*(from|import) .*\bllm\b", path.read_text(), re.M), path
+
+
+def test_columns_with_names_of_the_stages_come_back_unchanged(spark):
+    text = lambda a: " ".join(f"the {a}{i} of" for i in range(30))
+    rows = [(1, text("a")), (2, text("a")), (3, text("b"))]
+    names = ["_key", "key", "row", "stays", "doc", "text_key", "leak_id", "kept", "spans", "chunk", "bucket", "w"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "0L as n_chars", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(SF))
+        got = docs.collect()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        assert {r.doc_id for r in got} == ({1, 2, 3} if name == "quality_rules" else {1, 3})
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name
