@@ -30,8 +30,8 @@ from .common import hand_back, slices
 #: Bytes of text whose words are looked up together, and of a longer text's part.
 SLICE = 2_000_000
 SLICE_WORDS = 400_000
-#: Distinct words that a worker remembers between slices and tasks.
-REMEMBERED = 400_000
+#: Distinct words that a worker remembers between slices and tasks, about 200 bytes each.
+REMEMBERED = 1_000_000
 #: Bytes of a word that goes pair by pair.
 LONG_WORD = 64
 #: Rows that one recursive query over long words may gather before it is begun again from where it stands.
