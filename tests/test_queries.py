@@ -11,7 +11,7 @@ import pytest
 from test_rules import plain_merge
 
 from termweave.functions.text import GENERAL_WORDS, TAG_NAMES
-from termweave.more_queries import QUERIES, SQL
+from termweave.deep_queries import QUERIES, SQL
 from termweave.operators.chunking import chunks_of
 from termweave.operators.terms import PATTERNS
 
@@ -52,7 +52,7 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_only_what_has_no_sql_has_none():
     # Each of them is held against a plain version: here, or in test_rules.
-    assert set(QUERIES) - set(SQL) == {"nested_terms", "spelling_variants", "pattern_candidates", "merged_terms", "chunk_markdown", "normalized_text"}
+    assert set(QUERIES) - set(SQL) == {"nested_terms", "spelling_variants", "pattern_candidates", "merged_terms", "chunk_markdown", "normalized_text", "condensed_tree", "cluster_stability", "density_clusters", "cluster_levels"}
 
 
 def plain_patterns(duck):
