@@ -1,10 +1,12 @@
 """Registered queries of clusters by density, of words by lattice and of ranked full text; SQL for DuckDB where it can state them."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .more_queries import QUERIES, SQL, _docs, _embeddings, query, table  # noqa: F401
 from .operators import clustering as C
 from .operators import density
+from .operators import retrieval as R
 from .storage import written
 
 # Clusters by density.
@@ -50,3 +52,16 @@ def cluster_levels(spark, sf_dir):
     nodes = clusters.select(F.col("child").alias("node"), "lambda").join(C.depths(clusters.select("child", "parent")).withColumnRenamed("child", "node"), "node")
     found = labels.join(nodes, "node").select(F.col("key").alias("vec_id"), "node", "lambda", "depth")
     return C.levels(found)
+
+
+# Identity in rank fusion.
+
+
+@query("""WITH c AS (SELECT conv_id % 7 AS query_id, turn % 2 AS list_id, CASE WHEN conv_id % 3 > 0 THEN conv_id || '/' || turn END AS chunk_id, text, row_number() OVER (PARTITION BY conv_id % 7, turn % 2 ORDER BY conv_id, turn) AS rank FROM conversations),
+f AS (SELECT query_id, coalesce(chunk_id, left(text, 100)) AS id, round(sum(1.0 / (60 + rank)), 9) AS rrf, min((list_id, rank)) AS seen FROM c GROUP BY ALL)
+SELECT query_id, id, rrf, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, id) AS fused_rank FROM f) WHERE fused_rank <= 20""")
+def rrf_identity(spark, sf_dir):
+    """M4: a third of the chunks has no id and goes by the first characters of its text."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).alias("query_id"), (F.col("turn") % 2).alias("list_id"), F.when(F.col("conv_id") % 3 > 0, F.concat_ws("/", "conv_id", "turn")).alias("chunk_id"), "text", "conv_id", "turn")
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list_id").orderBy("conv_id", "turn")))
+    return R.reciprocal_rank_fusion(c.withColumn("id", R.identity(F.col("chunk_id"), F.col("text"))), final_k=20, key="id")

@@ -26,13 +26,18 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
 
 
+#: The characters beside which blanks go, and those round which they go.
+SOLID_JAPANESE, SOLID_MARKS = "ぁ-んァ-ヴー一-龠", "（()）、。，．:"
+
+
 def normalized(text: Column, compatibility: bool = True) -> Column:
-    """NFKC, no blanks round line breaks, single blanks, two line breaks at most, no blanks beside Japanese text."""
+    """NFKC; no blanks round line breaks; a tab is a blank, blanks are single, two line breaks at most; no blank beside Japanese
+    characters, nor round round brackets, 、。，． and the colon; no white space at the ends. Tabs round line breaks stay as blanks."""
     out = nfkc(text) if compatibility else text
-    steps = ((r"[ \t]*\n[ \t]*", "\n"), (r"\t", " "), (r" {2,}", " "), (r"\n{3,}", "\n\n"), (f"(?<=[{JAPANESE}{CJK_MARKS}]) +| +(?=[{JAPANESE}{CJK_MARKS}])", ""), (r" *([()\[\]{}「」『』、。，．:]) *", "$1"))
+    steps = ((" *\n *", "\n"), (r"\t", " "), (" {2,}", " "), (r"\n{3,}", "\n\n"), (f"(?<=[{SOLID_JAPANESE}]) | (?=[{SOLID_JAPANESE}])", ""), (f" *([{SOLID_MARKS}]) *", "$1"))
     for pattern, new in steps:
         out = F.regexp_replace(out, pattern, new)
-    return F.trim(out)
+    return stripped(out)
 
 
 #: White space of any script, for a character class.

@@ -141,7 +141,7 @@ def false_positives(spark, sf_dir):
     return E.flags(_truth(spark, sf_dir), _found(spark, sf_dir)).filter("in_found and not in_truth").select("term")
 
 
-@query(f"WITH {_FLAGS.replace('counts AS (', 'counts AS MATERIALIZED (', 1)} SELECT term, in_found, coalesce(frequency, 0)::BIGINT AS frequency FROM flags LEFT JOIN counts USING (term) WHERE in_truth")
+@query(f"WITH {_TRUTH}, {_COUNTS_SQL.replace('AS (', 'AS MATERIALIZED (', 1)} SELECT t.term, coalesce(frequency, 0) >= 5 AS in_found, coalesce(frequency, 0)::BIGINT AS frequency FROM truth t LEFT JOIN counts USING (term)")
 def term_details(spark, sf_dir):
     return E.term_details(_truth(spark, sf_dir), _found(spark, sf_dir), _counts(spark, sf_dir))
 

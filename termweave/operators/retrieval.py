@@ -105,8 +105,14 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
     return top_k(found, k, ["query_id"], F.desc("score"), key)
 
 
+def identity(key: Column, content: Column, characters: int | None = 100) -> Column:
+    """M4: what tells chunks apart: the key, or for chunks without one the first characters of their content; with None, its hash."""
+    return F.coalesce(key.cast("string"), F.sha2(content, 256) if characters is None else F.left(content, F.lit(characters)))
+
+
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, final_k: int | None = None, key: str = "doc_id") -> DataFrame:
-    """Lists has query_id, list_id, key and rank. Ties: the first list that has the key, then its rank, then the key."""
+    """Lists has query_id, list_id, key and rank. Ties: the first list that has the key, then its rank, then the key.
+    Rows with a null key are one; identity() gives keys to chunks that have none."""
     fused = lists.groupBy("query_id", key).agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("rrf"), F.min(F.struct("list_id", "rank")).alias("seen"))
     ranked = fused.withColumn("fused_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "seen", key)).cast("long"))
     ranked = ranked if final_k is None else ranked.filter(F.col("fused_rank") <= final_k)

@@ -55,22 +55,27 @@ MOST_BYTES = 49_000
 
 
 def bounded(tokens: Callable[[list[str]], list[list[str]]], most: int = MOST_BYTES) -> Callable[[list[str]], list[list[str]]]:
-    """A provider of tokens that is given no text of more than `most` bytes: longer ones are cut after 。, a sentence that is
-    itself too long by characters, and their tokens put together."""
+    """A provider of tokens that is given no text of more than `most` bytes. Longer ones are cut round runs of 。！？ and line
+    breaks, and as many pieces as fit go together. A piece that is itself too long goes in slices of nine tenths of the
+    characters that fit; their tokens come before those of the pieces that are still waiting. Blank slices go."""
+    size = lambda x: len(x.encode("utf-8", "replace"))
 
-    def pieces(text: str) -> list[str]:
-        if len(text.encode("utf-8", "replace")) <= most:
+    def parts(text: str) -> list[str]:
+        if size(text) <= most:
             return [text]
-        out = [""]
-        for sentence in re.split("(?<=。)", text):
-            for part in [sentence] if len(sentence.encode("utf-8", "replace")) <= most else [sentence[i : i + most // 4] for i in range(0, len(sentence), most // 4)]:
-                if len((out[-1] + part).encode("utf-8", "replace")) > most:
-                    out.append("")
-                out[-1] += part
-        return [x for x in out if x]
+        out, waiting = [], ""
+        for piece in re.split(r"([。！？\n]+)", text):
+            if size(piece) > most:
+                step = max(1, int(len(piece) * most // size(piece) * 0.9))
+                out += [x for i in range(0, len(piece), step) if (x := piece[i : i + step]).strip()]
+            elif size(waiting) + size(piece) > most:
+                out, waiting = out + [waiting] * bool(waiting), piece
+            else:
+                waiting += piece
+        return out + [waiting] * bool(waiting)
 
     def run(batch: list[str]) -> list[list[str]]:
-        return [[t for found in tokens(pieces(text)) for t in found] for text in batch]
+        return [[t for found in tokens(parts(text)) for t in found] for text in batch]
 
     return run
 

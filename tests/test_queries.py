@@ -84,16 +84,18 @@ def test_merged_terms(spark, duck):
 
 
 def test_chunk_markdown(spark, duck):
-    want = {(d, i, len(c)) for d, t in duck.sql("SELECT doc_id, text FROM documents").fetchall() for i, (_, c) in enumerate(chunks_of(t or ""))}
+    normal = {r.doc_id: r.text or "" for r in QUERIES["normalized_text"](spark, str(SF)).collect()}
+    want = {(d, i, len(c)) for d, t in duck.sql("SELECT doc_id, text FROM documents").fetchall() for i, (_, c) in enumerate(chunks_of(normal[d]))}
     assert {(r.doc_id, r.ordinal, r.n_chars) for r in QUERIES["chunk_markdown"](spark, str(SF)).collect()} == want
 
 
 def test_normalized_text(spark, duck):
     def plain(text):
-        out = unicodedata.normalize("NFKC", text)
-        out = re.sub(r"[ \t]*\n[ \t]*", "\n", out).replace("\t", " ")
-        out = re.sub("\n{3,}", "\n\n", re.sub(" {2,}", " ", out))
-        return re.sub(r" *([()\[\]{}「」『』、。，．:]) *", r"\1", out).strip(" ")
+        out = re.sub(" *\n *", "\n", unicodedata.normalize("NFKC", text)).replace("\t", " ")
+        out = re.sub("\n{3,}", "\n\n", re.sub(" +", " ", out))
+        for mark in ("（(", ")）", "、。，．", ":"):
+            out = re.sub(f" *([{mark}]) *", r"\1", out)
+        return out.strip()
 
     want = {d: plain(t) for d, t in duck.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall()}
     assert {r.doc_id: r.text for r in QUERIES["normalized_text"](spark, str(SF)).filter("text is not null").collect()} == want

@@ -84,7 +84,17 @@ def test_queries_with_found_terms(spark):
 
 
 def test_normalized_text(spark):
-    assert one(spark, ["Ａ１ ｶﾞｽ \n  x\t y\n\n\n\nz 東 京 （ a ） b", "a  b ", "", None], T.normalized) == ["A1ガス\nx y\n\nz東京(a)b", "a b", "", None]
+    rows = {
+        "Ａ１ ｶﾞｽ \n  x\t y\n\n\n\nz 東 京 （ a ） b": "A1ガス\nx y\n\nz東京(a)b",
+        "a  b ": "a b",
+        "see [3] here { x } 「 あ 」": "see [3] here { x } 「あ」",
+        "\n\n\ttop\n \nend\n\n": "top\n\nend",
+        "a\t\nb : c 、 d": "a \nb:c、d",
+        "2050 年 の 々 x": "2050年の々 x",
+        "": "",
+        None: None,
+    }
+    assert one(spark, list(rows), T.normalized) == list(rows.values())
 
 
 def test_markdown_of_many_rows(spark):
@@ -93,10 +103,31 @@ def test_markdown_of_many_rows(spark):
 
 
 def test_chunks_of_markdown():
-    text = "intro\n#Title\nbody one\n## Sub\n" + "x" * 1500 + "\n## Empty\n# Next\nlast"
-    got = chunks_of(text)
-    assert [p for p, _ in got] == [[], ["Title"], ["Title", "Sub"], ["Title", "Sub"], ["Next"]]
-    assert "".join(c.removeprefix("# Sub\n") for p, c in got if p[-1:] == ["Sub"]) == "x" * 1500 and all(len(c) <= 1000 + len("# Sub\n") for _, c in got)
+    # A second mark begins a line of its own, so a header of level n >= 2 comes out one level higher, under a nameless one.
+    text = "intro\n#Title\nbody one\n\nbody two\n## Sub\ntext\n## Empty\n### Deep\n\nlow\n##### Six\nx # Late\nlast"
+    assert chunks_of(text) == [
+        ([], "intro"),
+        (["Title"], "# Title\n\nbody one  \nbody two"),
+        (["Sub"], "# Sub\n\ntext"),
+        (["Deep"], "## Deep\n\nlow"),
+        (["Six"], "#### Six\n\nx"),
+        (["Late"], "# Late\n\nlast"),
+    ]
+    assert chunks_of("##### a\n") == chunks_of("# a\n\n") == chunks_of("") == []
+    fenced = "# A\n```\n# no header\n\nx\n```\ny"
+    # The mark within the fence follows a line break, so it stays; the fence hides it.
+    assert chunks_of(fenced) == [(["A"], "# A\n\n```\n# no header\n\nx\n```\ny")]
+
+
+def test_long_sections_are_cut_with_their_header():
+    words = " ".join(f"w{i:03}" for i in range(40))
+    got = chunks_of(f"# H\n{words}", 60)
+    # The size is judged with the header; every piece begins with it. What stands beside the header is cut at the blank that it has.
+    assert all(p == ["H"] and c.startswith("# H\n\nw") for p, c in got)
+    assert " ".join(c.removeprefix("# H\n\n") for _, c in got) == words
+    assert all(len(c.removeprefix("# H\n\n")) <= 60 for _, c in got)
+    assert len(chunks_of("# H\n" + "x" * 55, 60)) == 1 and len(chunks_of("# H\n" + "x" * 56, 60)) == 1 and len(chunks_of("# H\n" + "x" * 130, 60)) == 3
+    assert [c for _, c in chunks_of("aaaa bbbb cccc dddd", 10, 5)] == ["aaaa bbbb", "bbbb cccc", "cccc dddd"]
 
 
 # Mining.
@@ -202,9 +233,16 @@ def test_texts_in_bounds():
         seen.extend(batch)
         return [list(x) for x in batch]
 
-    text = "あ" * 30 + "。" + "い" * 5 + "。" + "う" * 3
-    assert providers.bounded(split, 30)([text, "x"]) == [list(text), ["x"]]
-    assert max(len(x.encode()) for x in seen) <= 30
+    # Sentences end at 。！？ and line breaks; 30 bytes are ten of these characters.
+    assert providers.bounded(split, 30)(["あい。うえ！お\nか？きくけこ", "x"]) == [list("あい。うえ！お\nか？きくけこ"), ["x"]]
+    assert seen == ["あい。うえ！お\nか？", "きくけこ", "x"]
+    # Slices hold nine tenths of what fits; they come before what waits, and a blank one goes.
+    seen.clear()
+    assert providers.bounded(split, 30)(["え。" + "あ" * 12 + "。" + "い" * 3]) == [list("あ" * 12 + "え。。いいい")]
+    assert seen == ["あ" * 9, "あ" * 3, "え。。いいい"]
+    seen.clear()
+    providers.bounded(split, 30)([" " * 40 + "a"])
+    assert seen == [" " * 13 + "a"]
 
 
 # Retrieval.
