@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from .more_queries import QUERIES, SQL, _docs, _embeddings, query, table  # noqa: F401
 from .operators import clustering as C
-from .operators import density
+from .operators import density, lattice
 from .operators import retrieval as R
+from .operators import terms as M
 from .storage import written
 
 # Clusters by density.
@@ -65,3 +66,33 @@ def rrf_identity(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).alias("query_id"), (F.col("turn") % 2).alias("list_id"), F.when(F.col("conv_id") % 3 > 0, F.concat_ws("/", "conv_id", "turn")).alias("chunk_id"), "text", "conv_id", "turn")
     c = c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list_id").orderBy("conv_id", "turn")))
     return R.reciprocal_rank_fusion(c.withColumn("id", R.identity(F.col("chunk_id"), F.col("text"))), final_k=20, key="id")
+
+
+# Words by lattice.
+
+
+def _lexicon(spark, sf_dir):
+    """The words of the documents that come five times at least, letters and digits alone."""
+    words = F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("surface")
+    return written(lattice.lexicon_of(_docs(spark, sf_dir).select(words).groupBy("surface").agg(F.count("*").alias("n"))), "lexicon")
+
+
+@query()
+def lattice_words(spark, sf_dir):
+    """How many tokens each document has, how many of them unknown, and its words of meaning."""
+    tokens = lattice.analysed(_docs(spark, sf_dir), _lexicon(spark, sf_dir))
+    counts = tokens.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(~F.col("known")).alias("unknown"))
+    return counts.join(lattice.content_words(tokens).select("doc_id", F.size("words").cast("long").alias("content")), "doc_id", "left")
+
+
+@query()
+def noun_places(spark, sf_dir):
+    """Nouns with as many different places in a document as two, by their places in all of these."""
+    return M.candidate_frequency(lattice.noun_spans(_docs(spark, sf_dir), _lexicon(spark, sf_dir)))
+
+
+@query()
+def ngram_places(spark, sf_dir):
+    """The same for runs of two to six nouns and prefixes of a sentence, which stand without a blank between them."""
+    tokens = lattice.analysed(_docs(spark, sf_dir), _lexicon(spark, sf_dir))
+    return M.candidate_frequency(lattice.ngram_spans(tokens))
