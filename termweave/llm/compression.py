@@ -173,13 +173,13 @@ def compress(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", l
     if w > 64:
         raise ValueError("parts of more than 64 components")
     start = kept.orderBy(F.asc_nulls_last("vec_id"), "x").select("x").limit(entries).collect()
-    codebooks = matrix(pa.array([r.x for r in start], pa.list_(pa.int32())), parts * w).reshape(-1, parts, w).transpose(1, 0, 2)
+    codebooks = matrix(pa.array([r.x for r in start], pa.list_(pa.int32())), parts * w).reshape(len(start), parts, w).transpose(1, 0, 2)
     if not len(start):
         return Compressed(df.sparkSession.createDataFrame([], f"{kinds}, error bigint, distances bigint"), codebooks)
     rows, moved = kept, None
     for _ in range(rounds):
         state = written(rows.mapInArrow(_sweep(codebooks, moved, last=False), f"{kinds}, x binary, upper binary, lower binary, sums array<bigint>"), "codes")
-        total = totals(state.filter("sums is not null"), "sums", codebooks.size + codebooks[..., 0].size, np.int64).reshape(*codebooks.shape[:2], w + 1)
+        total = totals(state.filter("sums is not null"), "sums", parts * len(start) * (w + 1), np.int64).reshape(*codebooks.shape[:2], w + 1)
         counts = total[..., :1]
         after = np.where(counts > 0, total[..., 1:] // np.maximum(counts, 1), codebooks)
         moved = np.sqrt(((after - codebooks) ** 2).sum(2)) * (1 + SLACK)
