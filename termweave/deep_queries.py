@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from .more_queries import QUERIES, SQL, _docs, _embeddings, query, table  # noqa: F401
 from .operators import clustering as C
+from .functions import text as T
 from .operators import density, lattice
+from .operators import fulltext as X
 from .operators import retrieval as R
 from .operators import terms as M
 from .storage import written
@@ -96,3 +98,36 @@ def ngram_places(spark, sf_dir):
     """The same for runs of two to six nouns and prefixes of a sentence, which stand without a blank between them."""
     tokens = lattice.analysed(_docs(spark, sf_dir), _lexicon(spark, sf_dir))
     return M.candidate_frequency(lattice.ngram_spans(tokens))
+
+
+# Ranked full text.
+
+_PLACES = r"SELECT doc_id, token, list_slice(list_sort(list(DISTINCT least(i, 16383))), 1, 255) AS places FROM (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(lower(text)), '\s+'), lambda x: x <> '') AS w FROM documents)) GROUP BY ALL"
+#: The first five words of every hundredth document, those of two characters and more; each a query.
+_ASKED = r"SELECT DISTINCT doc_id AS query_id, unnest(list_filter(list_slice(list_filter(regexp_split_to_array(trim(lower(text)), '\s+'), lambda x: x <> ''), 1, 5), lambda x: length(x) >= 2)) AS token FROM documents WHERE doc_id % 100 = 0"
+
+
+def _places(spark, sf_dir):
+    return written(X.word_places(_docs(spark, sf_dir).filter("text is not null"), T.tokens(F.lower("text"))), "places")
+
+
+def _first_words(spark, sf_dir):
+    words = F.filter(F.slice(T.tokens(F.lower("text")), 1, 5), lambda x: F.length(x) >= 2)
+    return _docs(spark, sf_dir).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(words).alias("token"))
+
+
+@query(f"""WITH p AS ({_PLACES}), q AS ({_ASKED}), n AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(list_sum(list_transform(range(1, len(places) + 1), lambda i: 1.0::DOUBLE / (i * i)))) * 0.1 / 1.64493406685 / any_value(wanted), 6) AS score FROM p JOIN q USING (token) JOIN n USING (query_id) GROUP BY ALL)
+SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM s QUALIFY rank <= 20""")
+def keyword_ranked(spark, sf_dir):
+    """The 20 best by block maxima against a full sort. Texts whose rounded scores are equal may change places, so keys are left out."""
+    found, _ = X.best_any(written(X.blocked(_places(spark, sf_dir)), "blocks"), _first_words(spark, sf_dir), 20)
+    return found.select("query_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH p AS MATERIALIZED ({_PLACES}), q AS ({_ASKED}), n AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY 1),
+h AS MATERIALIZED (SELECT query_id, doc_id, token, places, wanted FROM p JOIN q USING (token) JOIN n USING (query_id) QUALIFY count(*) OVER (PARTITION BY query_id, doc_id) = wanted),
+g AS (SELECT query_id, doc_id, sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(x - y) / 1.5 - 2))))) AS s FROM (SELECT a.query_id, a.doc_id, unnest(a.places) AS x, b.places AS ys FROM h a JOIN h b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.token < b.token), unnest(ys) AS u(y) WHERE abs(x - y) BETWEEN 1 AND 100 GROUP BY ALL)
+SELECT query_id, doc_id, round(CASE WHEN any_value(wanted) = 1 THEN list_sum(list_transform(range(1, len(any_value(places)) + 1), lambda i: 1.0::DOUBLE / (i * i))) * 0.1 / 1.64493406685 ELSE coalesce(1 - exp(any_value(s)), 0) END, 6) AS score FROM h LEFT JOIN g USING (query_id, doc_id) GROUP BY ALL""")
+def keyword_ranked_all(spark, sf_dir):
+    return X.rank_all(_places(spark, sf_dir), _first_words(spark, sf_dir)).withColumn("score", F.round("score", 6))
