@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .more_queries import QUERIES, SQL, _docs, _embeddings, query, table  # noqa: F401
 from .operators import clustering as C
 from .functions import text as T
-from .operators import density, lattice
+from .operators import density, lattice, layout
 from .operators import fulltext as X
 from .operators import retrieval as R
 from .operators import terms as M
@@ -131,3 +131,12 @@ g AS (SELECT query_id, doc_id, sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs
 SELECT query_id, doc_id, round(CASE WHEN any_value(wanted) = 1 THEN list_sum(list_transform(range(1, len(any_value(places)) + 1), lambda i: 1.0::DOUBLE / (i * i))) * 0.1 / 1.64493406685 ELSE coalesce(1 - exp(any_value(s)), 0) END, 6) AS score FROM h LEFT JOIN g USING (query_id, doc_id) GROUP BY ALL""")
 def keyword_ranked_all(spark, sf_dir):
     return X.rank_all(_places(spark, sf_dir), _first_words(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+# Reduced vectors.
+
+
+@query()
+def reduced_clusters(spark, sf_dir):
+    """G7 as a whole: neighbour graph, layout of ten dimensions, clusters by density."""
+    return layout.term_clusters(_embeddings(spark, sf_dir))
