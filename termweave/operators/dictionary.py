@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import key_phrases
 from ..storage import written
 from .retrieval import top_k
+from .segments import near_strings
 from .similarity import string_ratio
 
 KEY = ["collection_name", "term"]
@@ -163,17 +164,13 @@ def merge_similar(terms: DataFrame, least: float = 0.8) -> DataFrame:
     equals the first), or is kept. term, definition, aliases: a kept term has the aliases and the names of those that
     became part of it, sorted, without its own name, and the longest definition, of equals the first.
 
-    Rows of one term are one: all aliases, the longest definition. Null and empty terms go. Two terms are compared if they
-    share two neighbouring characters, which all do at a ratio above 0.8. Who is kept is settled in rounds, all terms at a
+    Rows of one term are one: all aliases, the longest definition. Null and empty terms go. Two terms are compared where
+    a piece of one stands in the other near its place. Who is kept is settled in rounds, all terms at a
     time that no open one before them can still take in."""
     empty = F.array().cast("array<string>")
     rows = terms.filter("term <> ''").select("term", "definition", F.coalesce("aliases", empty).alias("aliases"))
     rows = written(rows.groupBy("term").agg(F.max_by("definition", F.struct(F.length(F.coalesce("definition", F.lit(""))), "definition")).alias("definition"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases")), "terms")
-    pairs_of = F.when(F.length("term") > 1, F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr("term", i, F.lit(2)))).otherwise(F.array("term"))
-    blocks = rows.select("term", F.explode(F.array_distinct(pairs_of)).alias("block"))
-    before = blocks.select(F.col("term").alias("by"), "block")
-    n, m = F.length("term"), F.length("by")
-    near = blocks.join(before, "block").filter((F.col("by") < F.col("term")) & (2 * F.least(n, m) / (n + m) > least)).select("term", "by").distinct()
+    near = near_strings(rows, least).select(F.col("b").alias("term"), F.col("a").alias("by"))
     near = written(near.withColumn("ratio", string_ratio("term", "by")).filter(F.col("ratio") > least), "alike")
     kept = fresh = written(rows.select("term").join(near, "term", "left_anti"), "kept")
     open_ = near.select("term", "by")
