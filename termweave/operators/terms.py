@@ -2,11 +2,12 @@
 
 import re
 from collections import Counter, defaultdict
-from functools import reduce
 from itertools import chain
 from math import log
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,12 @@ from ..functions import text as T
 from ..storage import spread, written
 from .blocks import held
 
-#: Characters of terms that a task looks for at a time; each takes about 100 bytes of an automaton.
-TERM_BLOCK = 2_000_000
+#: Bits of a filter of terms at most, 8 MB in every task: its size decides how much of what isn't a term leaves a task, not what is found.
+FILTER_BITS = 1 << 26
+#: Characters by which places in a text are chosen before whole terms are looked for, and characters of a text looked at together.
+LEAD, STRETCH = 8, 1 << 20
+#: Sums of different terms that a task holds before it hands them on.
+HELD = 200_000
 
 
 def ngrams(tokens: str, low: int, high: int) -> Column:
@@ -61,51 +66,70 @@ def candidate_frequency(spans: DataFrame, minimum: int = 2, key: str = "doc_id")
     return each.groupBy("term").agg(F.sum("n").alias("frequency"))
 
 
-def _blocks(terms: DataFrame, block: int) -> list[DataFrame]:
-    """terms in parts of about `block` characters of term."""
-    n = max(1, -(-(terms.agg(F.sum(F.length("term"))).first()[0] or 0) // block))
-    return [terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == i) for i in range(n)]
+def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A filter of hashes (column hash): bits, a power of two and about 16 for each hash, that are set. Only the words that have a bit
+    are collected, bits / 64 at most."""
+    n = hashes.count()
+    size = min(bits, 1 << max(6, (16 * n).bit_length()))
+    words = hashes.select(F.pmod("hash", F.lit(size)).alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v")).collect()
+    out = np.zeros(size >> 6, np.int64)
+    for r in words:
+        out[r.word] = r.v
+    return out.view(np.uint64)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter knows, or takes for known."""
+    at = hashes & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def tfidf(docs: DataFrame, sentences: Column, candidates: DataFrame, block: int = TERM_BLOCK) -> DataFrame:
+def tfidf(docs: DataFrame, sentences: Column, candidates: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """A5: term, df, tfidf. docs has a row for each document, sentences the array of its sentences' tokens; candidates has term
     (tokens joined by a blank) and size. tf is 1 + ln f in each sentence, summed; df counts documents, idf is
     ln((N + 1) / (df + 1)) + 1, N the number of documents with a sentence.
 
-    Runs of tokens are counted where a document stands, and only sums for candidates leave the task. Candidates of more
-    than `block` characters in all are looked for in several passes."""
+    Documents are read once, however many candidates there are: runs of tokens are counted where a document stands, those that a
+    filter of all candidates knows leave the task as sums, and what is none goes where they meet the candidates."""
     wanted = written(candidates.select("term", "size").distinct(), "terms")
+    known = docs.sparkSession.sparkContext.broadcast(_filter(wanted.select(F.xxhash64("term").alias("hash")), bits))
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # a number for each length in tokens
     docs = spread(docs).select(sentences.alias("sentences"))
-    parts = []
-    for number, some in enumerate(_blocks(wanted, block)):
-        known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in some.collect()])  # about `block` characters
-
-        def count(batches, known=known, first=number == 0):
-            places = {tuple(t.split(" ")): i for i, (t, _) in enumerate(known.value)}
-            sizes = sorted({n for _, n in known.value})
-            for batch in batches:
-                df: Counter = Counter()
-                tf: dict[int, float] = defaultdict(float)
-                documents = 0
-                for doc in batch.column(0):
-                    seen, said = set(), doc.as_py() or ()
-                    documents += bool(said)
-                    for t in said:
-                        here = Counter(chain.from_iterable(filter(None.__ne__, map(places.get, zip(*(t[i:] for i in range(n))))) for n in sizes))
-                        for i, f in here.items():
-                            tf[i] += 1 + log(f)
-                        seen.update(here)
-                    df.update(seen)
-                # The row without a term counts documents.
-                counts = [(known.value[i][0], d, tf[i]) for i, d in df.items()] + [(None, documents, 0.0)] * first
-                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in counts], pa.string()), pa.array([c[1] for c in counts], pa.int64()), pa.array([c[2] for c in counts], pa.float64())], ["term", "df", "tf"])
-
-        parts.append(docs.mapInArrow(count, "term string, df bigint, tf double"))
-    per_term = written(_union(parts).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")), "tf")
+
+    def count(batches):
+        table, mask, seen_before = known.value, len(known.value) * 64 - 1, {}
+
+        def maybe(run: tuple) -> bool:
+            if run not in seen_before:
+                at = xxhash.xxh64_intdigest(" ".join(run).encode(), 42) & mask
+                if len(seen_before) >= HELD:
+                    seen_before.clear()
+                seen_before[run] = bool(int(table[at >> 6]) >> (at & 63) & 1)
+            return seen_before[run]
+
+        def sums(df, tf, documents):
+            # The row without a term counts documents.
+            counts = [(" ".join(run), d, tf[run]) for run, d in df.items()] + [(None, documents, 0.0)]
+            return pa.RecordBatch.from_arrays([pa.array([c[0] for c in counts], pa.string()), pa.array([c[1] for c in counts], pa.int64()), pa.array([c[2] for c in counts], pa.float64())], ["term", "df", "tf"])
+
+        df, tf, documents = Counter(), defaultdict(float), 0
+        for batch in batches:
+            for doc in batch.column(0):
+                seen, said = set(), doc.as_py() or ()
+                documents += bool(said)
+                for t in said:
+                    here = Counter(run for n in sizes for run in zip(*(t[i:] for i in range(n))) if None not in run and maybe(run))
+                    for run, f in here.items():
+                        tf[run] += 1 + log(f)
+                    seen.update(here)
+                df.update(seen)
+                if len(df) >= HELD:
+                    yield sums(df, tf, documents)
+                    df, tf, documents = Counter(), defaultdict(float), 0
+        yield sums(df, tf, documents)
+
+    found = docs.mapInArrow(count, "term string, df bigint, tf double")
+    per_term = written(found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")), "tf")
     n = (per_term.filter("term is null").agg(F.sum("df")).first()[0]) or 0
     idf = F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1
     scored = wanted.join(per_term, "term", "left")
@@ -118,37 +142,92 @@ def containment(terms: DataFrame) -> DataFrame:
     return pairs.filter(F.length("long") > F.length("short")).select("short", "long")
 
 
-def counted(texts: DataFrame, terms: DataFrame, text: str = "text", block: int = TERM_BLOCK) -> DataFrame:
+_R = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STRETCH + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = _powers(_R), _powers(pow(_R, -1, 2**64))
+
+
+class _Windows:
+    """Hashes of runs of characters of a stretch of text, of any length and at any places."""
+
+    def __init__(self, text: str):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.n, self.sums = len(points), np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(points * _POWERS[0][: self.n], out=self.sums[1:])
+
+    def hashes(self, places: np.ndarray, size: int) -> np.ndarray:
+        x = (self.sums[places + size] - self.sums[places]) * _POWERS[1][places] + np.uint64(size)
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(33))
+
+
+def _term_hashes(terms: DataFrame, first: int | None) -> DataFrame:
+    """hash of each term, or of its first characters."""
+
+    def run(batches):
+        for batch in batches:
+            some = [t[:first] for t in batch.column(0).to_pylist()]
+            found = [_Windows(t).hashes(np.zeros(1, np.int64), len(t))[0] for t in some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["hash"])
+
+    return terms.select("term").mapInArrow(run, "hash bigint")
+
+
+def counted(texts: DataFrame, terms: DataFrame, text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
     """X16 for many terms: term and total, its places in all texts, at any place of them and without overlap with itself.
 
-    A task passes once over each text for all terms of a block together; terms of more than `block` characters in all
-    are looked for in several passes, so what a task holds doesn't grow with them. Terms that are nowhere have no row."""
+    Texts are read once, however many terms there are. Places whose first characters a filter of all terms' beginnings
+    knows are looked at with each length that terms have; runs of characters that a filter of whole terms knows are counted in the task,
+    and what is none goes where the counts meet the terms. Terms that are nowhere have no row; one of more than STRETCH / 2
+    characters is an error."""
     terms = written(terms.select("term").filter("term <> ''").distinct(), "terms")
-    texts = spread(texts.select(F.col(text).alias("t")))
-    parts = []
-    for some in _blocks(terms, block):
-        words = texts.sparkSession.sparkContext.broadcast([r[0] for r in some.collect()])  # about `block` characters
-
-        def count(batches, words=words):
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for i, w in enumerate(words.value):
-                machine.add_word(w, i)
-            machine.make_automaton()
-            sizes = [len(w) for w in words.value]
-            for batch in batches:
-                total: Counter = Counter()
-                for t in batch.column(0):
-                    free: dict[int, int] = {}
-                    for end, i in machine.iter(t.as_py() or "") if sizes else ():
-                        if free.get(i, 0) <= end - sizes[i] + 1:
-                            free[i] = end + 1
-                            total[i] += 1
-                yield pa.RecordBatch.from_arrays([pa.array([words.value[i] for i in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
-
-        parts.append(texts.mapInArrow(count, "term string, n bigint"))
-    return _union(parts).groupBy("term").agg(F.sum("n").alias("total"))
+    context = texts.sparkSession.sparkContext
+    lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())  # a number for each length
+    if lengths and lengths[-1] > STRETCH // 2:
+        raise ValueError(f"a term of {lengths[-1]} characters")
+    heads, wholes = (context.broadcast(_filter(_term_hashes(terms, first), bits)) for first in (LEAD, None))
+
+    def hits(t: str, step: int):
+        """(place, length), by length, of what may be terms in a stretch; places from `step` on belong to the next one."""
+        w = _Windows(t)
+        begin: dict[int, np.ndarray] = {}
+        for size in lengths:
+            lead = min(size, LEAD)
+            if lead not in begin:
+                places = np.arange(max(0, min(step, w.n - lead + 1)))
+                begin[lead] = places[_passes(heads.value, w.hashes(places, lead))]
+            places = begin[lead][begin[lead] <= w.n - size]
+            for i in places[_passes(wholes.value, w.hashes(places, size))].tolist():
+                yield i, size
+
+    def count(batches):
+        total: Counter = Counter()
+        step = STRETCH - (lengths[-1] if lengths else 0)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                free: dict[str, int] = {}
+                for start in range(0, len(t or ""), step) if lengths else ():
+                    stretch = t[start : start + STRETCH]
+                    for i, size in hits(stretch, step):
+                        term = stretch[i : i + size]
+                        if free.get(term, 0) <= start + i:
+                            free[term] = start + i + size
+                            total[term] += 1
+                if len(total) >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+                    total = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+
+    found = spread(texts.select(F.col(text).alias("t"))).mapInArrow(count, "term string, n bigint")
+    return found.groupBy("term").agg(F.sum("n").alias("total")).join(terms, "term", "left_semi")
 
 
 def independent_ratio(texts: DataFrame, candidates: DataFrame, text: str = "text", pairs: DataFrame | None = None) -> DataFrame:

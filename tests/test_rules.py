@@ -2,6 +2,7 @@
 
 import difflib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,13 +167,45 @@ def test_cvalue_of_terms_that_hardly_stand_alone(spark):
     assert {r.term: r.cvalue for r in terms.cvalue(c, terms.independent_ratio(few, c)).collect()}["a b"] == 0
 
 
-def test_totals_do_not_depend_on_blocks(spark):
-    words = ["aa", "aaa", "ab", "b", "東京", "not"]
-    texts = ["aaaa ab", "baab東京東京", None, ""]
-    df, ts = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(w,) for w in words], "term string")
-    want = {w: n for w in words if (n := sum((t or "").count(w) for t in texts))}
-    for block in (1, 4, 1000):
-        assert {r.term: r.total for r in terms.counted(df, ts, block=block).collect()} == want
+@pytest.mark.parametrize(("bits", "stretch", "held"), [(1 << 26, 1 << 20, 200_000), (64, 32, 2)])
+def test_totals_do_not_depend_on_filters_and_stretches(spark, monkeypatch, bits, stretch, held):
+    monkeypatch.setattr(terms, "STRETCH", stretch)
+    monkeypatch.setattr(terms, "HELD", held)
+    words = ["aa", "aaa", "ab", "b", "東京", "not", "a long term 1", "a long term 2", "x" * 12, "🙂é", ""]
+    texts = ["aaaa ab", "baab東京東京", None, "", "x" * 100, "a long term 1a long term 2 a long term 3" * 5, "🙂é🙂🙂éa" * 20, "x" * 31 + "aaa" * 30]
+    df, ts = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(w,) for w in [*words, None]], "term string")
+    want = {w: n for w in words if w and (n := sum((t or "").count(w) for t in texts))}
+    assert {r.term: r.total for r in terms.counted(df, ts, bits=bits).collect()} == want
+    assert terms.counted(df, ts.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("bits", "held"), [(1 << 26, 200_000), (64, 2)])
+def test_weights_of_many_terms_in_one_pass(spark, monkeypatch, bits, held):
+    monkeypatch.setattr(terms, "HELD", held)
+    docs = ["a b c a b\na b", "b c\nx y z a b", "", None, "q", "a b\n\na b c d"]
+    candidates = [("a b", 2), ("b c", 2), ("a b c", 3), ("no such", 2), ("q", 1)]
+    df = spark.createDataFrame([(t,) for t in docs], "text string")
+    said = F.transform(F.split("text", "\n"), T.tokens)
+    found = terms.tfidf(df, F.when(F.col("text") != "", said), spark.createDataFrame(candidates, "term string, size int"), bits)
+    n = sum(bool(t) for t in docs)
+    want = {}
+    for term, size in candidates:
+        df_, tf = 0, 0.0
+        for t in filter(None, docs):
+            each = [sum(s[i : i + size] == term.split(" ") for i in range(len(s))) for s in (x.split() for x in t.split("\n"))]
+            df_ += any(each)
+            tf += sum(1 + math.log(f) for f in each if f)
+        want[term] = (df_, round(tf * (math.log((n + 1) / (df_ + 1)) + 1), 6))
+    got = {r.term: (r.df, r.tfidf) for r in found.collect()}
+    assert {t: d for t, (d, _) in got.items()} == {t: d for t, (d, _) in want.items()}
+    assert all(abs(got[t][1] - want[t][1]) < 1e-5 for t in want)
+
+
+def test_documents_are_read_once_for_any_number_of_terms(spark, tmp_path):
+    spark.createDataFrame([("one two three",)], "text string").write.parquet(str(tmp_path / "docs"))
+    docs, many = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame([(f"term number {i}",) for i in range(1000)], "term string")
+    plan = terms.counted(docs, many)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"Scan parquet .*{tmp_path.name}/docs", plan)) == 1
 
 
 def test_containment(spark):
