@@ -14,8 +14,8 @@ others. Empty tables give an empty one; columns other than those named are not l
 proportion in its task.
 
 Documents are read once, for masks of all lengths together. Up to BROADCAST_SEEDS benchmark seeds are broadcast with the words
-around them. Beyond, bare seeds of both sides meet in a shuffle, and documents with a hit are read once more for their words.
-The SQL looks with MASKS alone, so it lacks what LIGHT adds.
+around them. Beyond, the bare seeds are (of more than FILTER_SEEDS, what they leave modulo that), and only what may be a hit
+goes to a shuffle with the words around it. Benchmark places with equal seed and words around are compared once.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,8 @@ MASKS = ("111011001011", "110100111011", "101110110101")
 LIGHT = ("110010000111", "110001101100", "010101010011", "001011010110", "011110011000", "000101101011")
 #: About 300 bytes each.
 BROADCAST_SEEDS = 200_000
+#: About 24 bytes each.
+FILTER_SEEDS = 1 << 21
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -59,9 +61,9 @@ def _seeds(places: DataFrame, keep: list[str], words: str, picks: list[str], at:
     return places.select(*keep, at, *names, F.posexplode_outer("seeds").alias("pick", "seed"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, light: tuple[str, ...] = LIGHT, min_share: int = MIN_SHARE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, text_key, item_id, n_hits (seeds that led to an overlap; light ones don't count, so 0 where only they did),
-    share (best, in hundredths), first_word (from which on the texts were compared; of light seeds, where the overlap begins)."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, light: tuple[str, ...] = LIGHT, min_share: int = MIN_SHARE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, filter_seeds: int = FILTER_SEEDS) -> DataFrame:
+    """doc_id, text_key, item_id, n_hits (pairs of places with a seed around which an overlap was found), share (best, in
+    hundredths), first_word (where the first stretch begins that agrees enough)."""
     span = len(masks[0])
     d = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), _hashed(docs, text).alias("dw"))
     items = benchmark.select(benchmark[item_id].alias("item_id"), _hashed(benchmark, item_text).alias("iw")).filter(F.size("iw") >= SHORT)
@@ -72,22 +74,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     least = min(map(len, picks))
     # A mask of SPAN words is for long items, a shorter one for items of just its length.
     seeds = _seeds(_places(classes, ["class", "size"], "iw", least, "q"), ["class", "size"], "iw", picks, "q", lambda n: (F.col("size") >= span) if n == span else (F.col("size") == n))
-    seeds = seeds.filter("seed is not null").drop("size")
+    seeds = seeds.filter("seed is not null").groupBy("seed", "pick", "lead_q", "near_q").agg(F.collect_list("class").alias("classes"))
     places = _places(d, ["doc_id", "text_key"], "dw", least, "p")
-    if (shapes["seeds"] or 0) * len(masks + light) + shapes["few"] <= broadcast_seeds:
-        hits = _seeds(places, ["doc_id", "text_key"], "dw", picks, "p").drop("pick").join(F.broadcast(seeds), "seed")
+    sought = _seeds(places, ["doc_id", "text_key"], "dw", picks, "p").drop("pick")
+    n = (shapes["seeds"] or 0) * len(masks + light) + shapes["few"]
+    if n <= broadcast_seeds:
+        hits = sought.join(F.broadcast(seeds), "seed")
     else:
-        bare = _seeds(places, ["doc_id", "text_key"], "dw", picks, "p", around=False).drop("pick").filter("seed is not null")
-        hits = bare.join(seeds, "seed").withColumns({"_id": F.col("doc_id"), "_key": F.col("text_key")}).drop("doc_id", "text_key")
-        words = d.dropDuplicates(["doc_id", "text_key"])
-        hits = hits.join(words, (hits["_key"] == words["text_key"]) & hits["_id"].eqNullSafe(words["doc_id"])).drop("_id", "_key")
-        lead = F.least(F.col("p"), F.lit(OVERLAP - SHORT))
-        hits = hits.withColumn("lead_p", lead).withColumn("near_p", F.slice("dw", F.col("p") - lead + 1, lead + OVERLAP)).drop("dw")
+        known = F.col("seed") if n <= filter_seeds else F.pmod("seed", F.lit(filter_seeds))
+        maybe = F.broadcast(seeds.select(known.alias("known")).distinct())
+        hits = sought.filter("seed is not null").join(maybe, known == maybe["known"], "left_semi").join(seeds, "seed")
     length = F.get(F.array(*(F.lit(len(m)) for m in picks)), F.col("pick"))
-    found = _compared(hits.withColumns({"light": F.col("pick").between(len(masks), len(masks + light) - 1), "room": F.lit(OVERLAP) - length}), min_share)
+    found = _compared(hits.withColumn("room", F.lit(OVERLAP) - length), min_share)
     # Judged here and not before: a filter above would become part of the join's condition and end its generated code.
     good = F.col("share") >= min_share
-    best = found.groupBy("doc_id", "text_key", "class").agg(F.count_if(good & ~F.col("light")).alias("n_hits"), F.max("share").alias("share"), F.min(F.when(good, F.col("first_word"))).alias("first_word")).filter(good)
+    best = found.groupBy("doc_id", "text_key", "class").agg(F.count_if(good).alias("n_hits"), F.max("share").alias("share"), F.min(F.when(good, F.col("first_word"))).alias("first_word")).filter(good)
     return best.join(items.select("item_id", F.xxhash64("iw").alias("class")), "class").select("doc_id", "text_key", "item_id", "n_hits", "share", "first_word")
 
 
@@ -97,14 +98,13 @@ def _compared(hits: DataFrame, min_share: int) -> DataFrame:
     before = F.least("lead_q", "lead_p", "room")
     after = F.least(F.size("near_q") - F.col("lead_q"), F.size("near_p") - F.col("lead_p"))
     part = lambda x: F.slice(f"near_{x}", F.col(f"lead_{x}") - before + 1, before + after)
-    side = hits.select("doc_id", "text_key", "class", "light", (F.col("p") - before).cast("long").alias("first_word"), part("q").alias("a"), part("p").alias("b"))
+    side = hits.select("doc_id", "text_key", "classes", (F.col("p") - before).cast("long").alias("first_word"), part("q").alias("a"), part("p").alias("b"))
     side = side.withColumn("same", F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))).drop("a", "b")
     size = F.least(F.size("same"), F.lit(OVERLAP))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - size + 1), lambda s: F.aggregate(F.slice("same", s, size), F.lit(0), lambda x, y: x + y))
     side = side.withColumn("shares", F.transform(sums, lambda x: F.floor(x * 100 / size).cast("long")))
     begin = F.array_position(F.transform("shares", lambda x: x >= min_share), True) - 1
-    first = F.when(F.col("light"), F.col("first_word") + begin).otherwise(F.col("first_word"))
-    return side.select("doc_id", "text_key", "class", "light", F.array_max("shares").alias("share"), first.alias("first_word"))
+    return side.select("doc_id", "text_key", F.array_max("shares").alias("share"), (F.col("first_word") + begin).alias("first_word"), F.explode("classes").alias("class"))
 
 
 def sql(min_share: int = MIN_SHARE) -> str:
@@ -113,7 +113,7 @@ def sql(min_share: int = MIN_SHARE) -> str:
 
     def seeds(table: str, key: str, w: str, at: str) -> str:
         parts = []
-        for m in MASKS:
+        for m in MASKS + LIGHT:
             picked = ", ".join(f"{w}[{at} + {i + 1}]" for i, c in enumerate(m) if c == "1")
             parts.append(f"SELECT {key}, {w}, {at}, concat_ws(' ', '{m}', {picked}) AS seed FROM (SELECT *, unnest(range(len({w}) - {SPAN - 1})) AS {at} FROM {table} WHERE len({w}) >= {SPAN})")
         lengths = f"SELECT DISTINCT len(iw) AS n FROM i WHERE len(iw) BETWEEN {SHORT} AND {SPAN - 1}"
@@ -125,5 +125,6 @@ WITH d AS (SELECT doc_id, {split} AS dw FROM documents), i AS (SELECT item_id, {
 h AS (SELECT *, CASE WHEN len(iw) >= {SPAN} THEN {SPAN} ELSE len(iw) END AS span FROM ({seeds("d", "doc_id", "dw", "p")}) JOIN ({seeds("i", "item_id", "iw", "q")}) USING (seed)),
 s AS (SELECT *, least(q, p, {OVERLAP} - span) AS bef, least(len(iw) - q, len(dw) - p, {OVERLAP}) AS aft FROM h),
 m AS (SELECT doc_id, item_id, p - bef AS first_word, list_transform(range(bef + aft), lambda k: (iw[q - bef + 1 + k] = dw[p - bef + 1 + k])::INT) AS same FROM s),
-v AS (SELECT doc_id, item_id, first_word, floor(list_max(list_transform(range(len(same) - least(len(same), {OVERLAP}) + 1), lambda k: list_sum(list_slice(same, k + 1, k + least(len(same), {OVERLAP})))))* 100 / least(len(same), {OVERLAP}))::BIGINT AS share FROM m)
-SELECT doc_id, item_id, count(*) AS n_hits, max(share) AS share, min(first_word)::BIGINT AS first_word FROM v WHERE share >= {min_share} GROUP BY ALL"""
+v AS (SELECT doc_id, item_id, first_word, list_transform(range(len(same) - least(len(same), {OVERLAP}) + 1), lambda k: floor(list_sum(list_slice(same, k + 1, k + least(len(same), {OVERLAP}))) * 100 / least(len(same), {OVERLAP}))::BIGINT) AS shares FROM m),
+w AS (SELECT doc_id, item_id, list_max(shares) AS share, first_word + list_position(list_transform(shares, lambda x: x >= {min_share}), true) - 1 AS first_word FROM v)
+SELECT doc_id, item_id, count(*) AS n_hits, max(share) AS share, min(first_word)::BIGINT AS first_word FROM w WHERE share >= {min_share} GROUP BY ALL"""

@@ -224,22 +224,23 @@ def plain_overlaps(docs, items):
             n = span if len(iw) >= span else len(iw)
             if n < decontamination.SHORT:
                 continue
-            for mask in decontamination.MASKS if n == span else ["1" * n]:
+            for mask in decontamination.MASKS + decontamination.LIGHT if n == span else ["1" * n]:
                 for p in range(len(dw) - n + 1):
                     for q in range(len(iw) - n + 1):
                         if all(dw[p + j] == iw[q + j] for j, c in enumerate(mask) if c == "1"):
                             before = min(p, q, decontamination.OVERLAP - n)
                             same = [a == b for a, b in zip(dw[p - before : p - before + before + decontamination.OVERLAP], iw[q - before : q + decontamination.OVERLAP])]
                             size = min(len(same), decontamination.OVERLAP)
-                            share = max(sum(same[s : s + size]) for s in range(len(same) - size + 1)) * 100 // size
-                            if share >= decontamination.MIN_SHARE:
+                            shares = [sum(same[s : s + size]) * 100 // size for s in range(len(same) - size + 1)]
+                            if max(shares) >= decontamination.MIN_SHARE:
+                                begin = next(s for s, x in enumerate(shares) if x >= decontamination.MIN_SHARE)
                                 k, best, first = out.get((d, i), (0, 0, 10**9))
-                                out[d, i] = k + 1, max(best, share), min(first, p - before)
+                                out[d, i] = k + 1, max(best, *shares), min(first, p - before + begin)
     return {(d, i, *v) for (d, i), v in out.items()}
 
 
-@pytest.mark.parametrize("block", [200_000, 40])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize(("block", "bits"), [(200_000, 1 << 21), (40, 1 << 21), (40, 64)])
+def test_decontamination(spark, block, bits):
     r = random.Random(5)
     make = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(n)]
     items = [(i, " ".join(make(n))) for i, n in enumerate((40, 25, 14, 12, 8, 5, 3))] + [(90, None), (91, ""), (92, "same item is here twice in the list and so it is found twice"), (93, "Same item is here twice: in the list and so it is found twice")]
@@ -253,7 +254,10 @@ def test_decontamination(spark, block):
             docs.append((len(docs), " ".join(make(15) + x + make(9))))
         docs.append((len(docs), " ".join(make(5) + w[3:-3])))
     docs += [(None, None), (800, ""), (801, "too short")]
-    got = decontamination.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=block)
+    # Repeated documents, a passage that many share, items with a common beginning and a very long text.
+    docs += [*docs[-2:], *((1000 + k, docs[0][1]) for k in range(20)), (2000, " ".join([*make(4000), items[0][1], *make(4000)]))]
+    items += [(94, items[0][1] + " one more end"), (95, items[0][1] + " another end")]
+    got = decontamination.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=block, filter_seeds=bits)
     assert set(rows_of(got, "doc_id", "item_id", "n_hits", "share", "first_word")) == plain_overlaps(docs, items)
 
 
