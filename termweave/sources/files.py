@@ -95,9 +95,9 @@ def dropout_layout(trace: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With a header; arrays are joined by |."""
+    """With a header; arrays are joined by |, white space stays, an empty text is "" and null nothing."""
     flat = [F.array_join(F.col(f"`{c}`").cast("array<string>"), "|").alias(c) if kind.startswith("array") else F.col(f"`{c}`") for c, kind in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*flat).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""').csv(path)
 
 
 def write_collection(chunks: DataFrame, path: str) -> None:

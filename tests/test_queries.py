@@ -11,7 +11,7 @@ import pytest
 from test_rules import plain_merge
 
 from termweave.functions.text import GENERAL_WORDS, TAG_NAMES
-from termweave.deep_queries import QUERIES, SQL
+from termweave.layout_queries import QUERIES, SQL
 from termweave.operators.chunking import chunks_of
 from termweave.operators.terms import PATTERNS
 
