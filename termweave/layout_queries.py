@@ -1,4 +1,4 @@
-"""Registered queries that write each layout from the given tables, read it back and return its rows; SQL for DuckDB."""
+"""Registered queries that write each layout from the given tables, read it back and return its rows, and of a stream; SQL for DuckDB."""
 
 import uuid
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .deep_queries import QUERIES, SQL, query, table  # noqa: F401
 from .sources import files, layouts
 from .storage import shared_folder, spread
+from .streaming import counts
 
 
 def _place(spark, name: str) -> str:
@@ -130,3 +131,17 @@ def layout_answers(spark, sf_dir):
     a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     rows = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(a, ["conv_id", "turn"])
     return _csv(spark, rows.groupBy("conv_id", "turn", "question").agg(F.min("answer").alias("answer")).select("question", "answer"), "answers", "question string, answer string")
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, string_split(lower(text), chr(10)) AS ls FROM conversations),
+w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(unnest(ls)), '\s+'), lambda x: x <> '') AS w FROM l),
+r AS (SELECT conv_id, turn, n, w, unnest(range(len(w) - n + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS g(n) WHERE len(w) >= n)
+SELECT array_to_string(list_slice(w, i + 1, i + n), ' ') AS term, count(*) AS frequency, count(DISTINCT (conv_id, turn)) AS documents FROM r GROUP BY 1""")
+def stream_term_counts(spark, sf_dir):
+    """Counts kept by a stream: a third of the turns comes first in an older version, which the newer one takes back."""
+    source, out, state = (_place(spark, f"stream-{name}") for name in ("in", "counts", "state"))
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), F.lit(1).cast("long").alias("version"), "text", "turn")
+    for part in (c.filter("turn % 3 = 0").withColumns({"version": F.lit(0).cast("long"), "text": F.concat(F.lit("old words "), "text")}), c):
+        part.select("chunk_id", "version", "text").write.mode("append").parquet(source)
+        counts.stream_counts(spark, source, out, state).awaitTermination()
+    return counts.counts(spark, out).filter("term is not null")

@@ -13,7 +13,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -232,3 +232,39 @@ def lexicon_of(words: DataFrame, least: int = 5, most: int = 200_000) -> DataFra
     major = F.when(number | (F.length("surface") > 3), "noun").otherwise("particle")
     costed = kept.join(F.broadcast(total)).withColumn("cost", F.round(-100 * F.log(F.col("n") / F.col("total"))).cast("int"))
     return costed.select("surface", major.alias("pos_major"), F.when(number, "number").otherwise("general").alias("pos_sub"), "cost")
+
+
+#: Words at the beginning of a longer term that make it a caption, and marks that a term may hold.
+CAPTIONS, TERM_MARKS = ("図", "表", "式"), ("％", "°", "/", "-", "・")
+#: Abbreviations that no class is asked of.
+ABBREVIATION = "^[A-Z]{2,5}[0-9x]?$"
+
+
+def valid_by_classes(words: Column) -> Column:
+    """The part of F6 that goes by word classes, of a term's tokens (surface, pos_major, pos_sub): none begins with a caption or a
+    counter, none is a particle, an auxiliary or a dependent noun, and all are nouns, prefixes, suffixes or marks of terms."""
+    first = F.get(words, F.lit(0))
+    allowed = lambda w: w["pos_major"].isin("noun", "prefix", "suffix") | ((w["pos_major"] == "symbol") & w["surface"].isin(*TERM_MARKS))
+    dependent = lambda w: (w["pos_major"] == "noun") & (w["pos_sub"] == "dependent")
+    caption = first["surface"].isin(*CAPTIONS) & (F.size(words) > 1)
+    return F.when(F.size(words) == 0, True).otherwise(~caption & (first["pos_sub"] != "counter") & F.forall(words, lambda w: allowed(w) & ~dependent(w)))
+
+
+def valid_terms(terms: DataFrame, lexicon: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """F6 with its word classes: the rows of `terms` (term) that is_valid_term keeps and whose tokens fit; codes and abbreviations are
+    taken as they are. Terms with white space have a token that is none of these and go."""
+    entries = shared(lexicon, links)
+    kept = terms.filter(T.is_valid_term(F.col("term")))
+    plain = T.is_code(F.col("term")) | F.col("term").rlike(ABBREVIATION)
+    asked = kept.filter(~plain).select("term").distinct()
+
+    def run(batches):
+        analyser = Analyser(*entries.value)
+        for batch in batches:
+            words = [[{"surface": w, "pos_major": major, "pos_sub": sub} for w, major, sub, *_ in analyser.tokens(t)] for t in batch.column(0).to_pylist()]
+            kind = pa.list_(pa.struct([("surface", pa.string()), ("pos_major", pa.string()), ("pos_sub", pa.string())]))
+            yield batch.append_column("words", pa.array(words, kind))
+
+    tokens = asked.mapInArrow(run, "term string, words array<struct<surface:string,pos_major:string,pos_sub:string>>")
+    good = tokens.filter(valid_by_classes(F.col("words"))).select("term")
+    return kept.filter(plain).unionByName(kept.filter(~plain).join(good, "term", "left_semi").select(kept.columns))

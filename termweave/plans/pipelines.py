@@ -10,7 +10,7 @@ from ..operators import chunking, graph, retrieval, similarity, terms
 
 def ingest(docs: DataFrame, collection: str, doc_id: str = "doc_id", text: str = "text", embed=providers.hashed_vectors) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks, their postings and their vectors."""
-    chunks = chunking.chunk_markdown(docs.select(doc_id, T.normalized(F.col(text)).alias(text)), doc_id, text).withColumn("collection_name", F.lit(collection))
+    chunks = chunking.chunk_markdown(docs, doc_id, text).withColumn("collection_name", F.lit(collection))
     index = retrieval.postings(chunks, T.tokens(F.lower("content")), "chunk_id")
     vectors = providers.apply(chunks.select("chunk_id", "content"), "content", "embedding", embed, "array<float>").select("chunk_id", "embedding")
     return chunks, index, vectors
@@ -39,9 +39,21 @@ def mine(docs: DataFrame, low: int = 2, high: int = 6, least: int = 2, most: int
     loose = F.transform(T.sentences(F.lower("text")), T.tokens)
     scores = terms.combined_score(found.join(terms.tfidf(docs, loose, found), "term").join(kept, "term"))
     top = terms.written(terms.best(scores, most), "mined-top")
-    vectors = providers.apply(top.select("term"), "term", "embedding", embed, "array<float>").withColumn("vec_id", F.xxhash64("term"))
-    edges = similarity.semantic_graph(terms.written(vectors, "mined-vectors"), 0.5)
-    seeds = terms.seeds(top).select(F.xxhash64("term").alias("id"))
-    ranks = graph.pagerank(edges.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")), seeds)
-    importance = top.select("term", F.xxhash64("term").alias("id")).join(ranks, "id").select("term", F.col("rank").alias("importance"))
-    return graph.revised(top, importance)
+    vectors = providers.apply(top.select("term"), "term", "embedding", embed, "array<float>")
+    return enhanced(top, terms.written(vectors, "mined-vectors"), terms.seeds(top).select("term"))
+
+
+def enhanced(scores: DataFrame, vectors: DataFrame, seeds: DataFrame, least: float = 0.5, share: float = 0.15, alpha: float = 0.85) -> DataFrame:
+    """Scores (term, score) revised by rank on the graph of similar terms, which begins at the seeds (term). vectors: term, embedding. The
+    base scores come back where fewer than two terms have a vector, where no two of them are similar, and where there is no seed. Terms
+    are told apart by a 64-bit hash of theirs."""
+    known = vectors.filter("embedding is not null").join(scores.select("term"), "term", "left_semi").withColumn("vec_id", F.xxhash64("term"))
+    if known.limit(2).count() < 2 or seeds.isEmpty():
+        return scores
+    edges = terms.written(similarity.semantic_graph(known, least, share), "enhanced-edges")
+    if edges.isEmpty():
+        return scores
+    at = seeds.select(F.xxhash64("term").alias("id"))
+    ranks = graph.pagerank(edges.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("weight")), at, alpha)
+    importance = scores.select("term", F.xxhash64("term").alias("id")).join(ranks, "id").select("term", F.col("rank").alias("importance"))
+    return graph.revised(scores, importance)

@@ -13,7 +13,12 @@ def texts(spark: SparkSession, path: str | list[str], types: tuple[str, ...] = T
     Spark does not list it."""
     if unknown := set(types) - set(TEXT_TYPES):
         raise ValueError(f"no reader for {sorted(unknown)}")
-    df = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.{" + ",".join(types) + "}").text(path, wholetext=True)
+    reader = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+    return whole_texts(reader.option("pathGlobFilter", "*.{" + ",".join(types) + "}").text(path, wholetext=True))
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """path and text of a table of whole texts; a blank one is an error when read."""
     text = F.when(F.col("value").rlike(r"^\s*$"), F.raise_error(F.concat(F.lit("empty file: "), F.input_file_name())).cast("string")).otherwise(F.col("value"))
     return df.select(F.input_file_name().alias("path"), text.alias("text"))
 

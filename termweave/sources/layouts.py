@@ -7,7 +7,7 @@ file for each partition.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import TEXT_TYPES, texts
+from .files import TEXT_TYPES, whole_texts
 
 #: Types that a load knows, and those that another reader takes.
 KNOWN, PAGES = (*TEXT_TYPES, "pdf"), ("pdf",)
@@ -43,7 +43,7 @@ def load(spark: SparkSession, paths: str | list[str], skip: bool = False) -> tup
         raise ValueError(f"{'empty file' if first.size == 0 else 'no reader for'}: {first.path}")
     good = files.join(bad.select("path"), "path", "left_anti")
     names = [r.path for r in good.filter(F.col("type").isin(*TEXT_TYPES)).select("path").collect()]  # names alone
-    found = texts(spark, names) if names else spark.createDataFrame([], "path string, text string")
+    found = whole_texts(spark.read.text(names, wholetext=True)) if names else spark.createDataFrame([], "path string, text string")
     return found, good.filter(F.col("type").isin(*PAGES)).select("path")
 
 

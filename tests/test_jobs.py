@@ -108,3 +108,36 @@ def test_ingest_and_search(spark, docs):
 def test_mine(spark, docs):
     got = {r.term: r.score for r in pipelines.mine(docs, 2, 3).collect()}
     assert {"heat engine", "gas turbine"} & set(got) and all(x >= 0 for x in got.values())
+
+
+def test_scores_that_cannot_be_enhanced_come_back(spark):
+    scores = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "term string, score double")
+    vector = lambda rows: spark.createDataFrame(rows, "term string, embedding array<float>")
+    seeds = spark.createDataFrame([("a",)], "term string")
+    near, apart = [("a", [1.0, 0.0]), ("b", [1.0, 0.1])], [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
+    base = {(r.term, r.score) for r in scores.collect()}
+    rows = lambda df: {(r.term, r.score) for r in df.collect()}
+    for vectors, start in ((near[:1], seeds), ([], seeds), (apart, seeds), (near, seeds.limit(0)), ([*near[:1], ("b", None)], seeds), ([("a", [1.0, 0.0]), ("x", [1.0, 0.0])], seeds)):
+        assert rows(pipelines.enhanced(scores, vector(vectors), start)) == base
+    revised = rows(pipelines.enhanced(scores, vector(near), seeds))
+    assert {t for t, _ in revised} == {"a", "b", "c"} and dict(revised)["c"] == 3.0 and dict(revised)["a"] > 1 and dict(revised)["b"] > 2
+
+
+def test_loads_of_several_paths(spark, tmp_path):
+    from termweave.sources import layouts
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, content in (("a.txt", "one"), ("deep/b.MD", "two\nlines"), ("deep/c.pdf", "%PDF")):
+        (tmp_path / "in" / name).write_text(content)
+    (tmp_path / "alone.txt").write_text("three")
+    paths = [str(tmp_path / "in"), str(tmp_path / "missing"), str(tmp_path / "alone.txt")]
+    texts, pages = layouts.load(spark, paths)
+    assert sorted(r.text for r in texts.collect()) == ["one", "three", "two\nlines"] and [r.path[-5:] for r in pages.collect()] == ["c.pdf"]
+    assert layouts.load(spark, str(tmp_path / "missing"))[0].count() == 0
+    (tmp_path / "in" / "none.txt").write_text("")
+    with pytest.raises(ValueError, match="empty file.*none.txt"):
+        layouts.load(spark, paths)
+    (tmp_path / "in" / "a0.docx").write_text("x")
+    with pytest.raises(ValueError, match="no reader for.*docx"):
+        layouts.load(spark, paths)
+    assert layouts.load(spark, paths, skip=True)[0].count() == 3

@@ -150,3 +150,12 @@ def test_queries_over_documents(spark):
     assert {r.term: r.frequency for r in QUERIES["noun_places"](spark, SF).collect()} == frequency(lambda d: plain_noun_spans(analyser, docs[d], good))
     grams = valid(spark, {g for t in docs.values() for g, *_ in plain_ngrams(analyser, t)})
     assert {r.term: r.frequency for r in QUERIES["ngram_places"](spark, SF).collect()} == frequency(lambda d: plain_ngrams(analyser, docs[d], grams))
+
+
+def test_terms_are_valid_by_their_classes(spark):
+    entries = [*LEXICON, ("図", "noun", "general", 100), ("段", "suffix", "counter", 100), ("装置", "noun", "general", 200), ("もの", "noun", "dependent", 100), ("は", "particle", "general", 50), ("です", "auxiliary", "general", 50), ("性", "suffix", "general", 100), ("・", "symbol", "general", 10), ("＝", "symbol", "general", 10)]
+    good = ["燃料電池装置", "新燃料", "東京・京都", "燃料性", "SFOC", "6DE-18"]
+    bad = ["図燃料電池", "段燃料電池", "燃料は電池", "燃料もの", "東京に行く", "燃料です", "燃料＝電池", "ab cd燃料", "電池"]
+    rows = [(t, i) for i, t in enumerate(good + bad[:-1] + ["ab"])]
+    got = {(r.term, r.n) for r in lattice.valid_terms(spark.createDataFrame(rows, "term string, n int"), lexicon(spark, entries)).collect()}
+    assert got == {(t, i) for t, i in rows if t in good}
