@@ -10,6 +10,7 @@ from .operators import density, lattice, layout
 from .operators import fulltext as X
 from .operators import retrieval as R
 from .operators import terms as M
+from .operators import vector_index
 from .storage import written
 
 # Clusters by density.
@@ -140,3 +141,14 @@ def keyword_ranked_all(spark, sf_dir):
 def reduced_clusters(spark, sf_dir):
     """G7 as a whole: neighbour graph, layout of ten dimensions, clusters by density."""
     return layout.term_clusters(_embeddings(spark, sf_dir))
+
+
+# The vector index.
+
+
+@query()
+def indexed_knn(spark, sf_dir):
+    """J4 by index: the ten nearest of every hundredth vector among all of them; the tests hold its recall against all distances."""
+    e = _embeddings(spark, sf_dir)
+    index = vector_index.build(e)
+    return vector_index.search(index, e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")).withColumnRenamed("key", "vec_id")

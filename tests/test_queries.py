@@ -52,7 +52,7 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_only_what_has_no_sql_has_none():
     # Each of them is held against a plain version: here, or in test_rules.
-    assert set(QUERIES) - set(SQL) == {"nested_terms", "spelling_variants", "pattern_candidates", "merged_terms", "chunk_markdown", "normalized_text", "condensed_tree", "cluster_stability", "density_clusters", "cluster_levels", "lattice_words", "noun_places", "ngram_places", "reduced_clusters"}
+    assert set(QUERIES) - set(SQL) == {"nested_terms", "spelling_variants", "pattern_candidates", "merged_terms", "chunk_markdown", "normalized_text", "condensed_tree", "cluster_stability", "density_clusters", "cluster_levels", "lattice_words", "noun_places", "ngram_places", "reduced_clusters", "indexed_knn"}
 
 
 def plain_patterns(duck):
