@@ -155,7 +155,7 @@ def similar_terms(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
 
 def reverse_lookup(terms: DataFrame, queries: DataFrame, patterns: DataFrame | None = None, similar: DataFrame | None = None, k: int = 10) -> DataFrame:
     """query_id, term, branch, confidence, rank: terms for descriptions. terms has term and keys (phrases, array);
-    queries has query_id and query; patterns pattern and term (a short list); similar query_id, term and confidence.
+    queries has query_id and query; patterns pattern and term; similar query_id, term and confidence.
 
     Branches, of which the first that has a term decides: 0 a key equals the query, 1.0; 1 one holds the other, X18, by
     the key that gives most; 2 a pattern stands in the query, 0.8; 3 similar vectors. Keys and queries are compared in
@@ -167,7 +167,7 @@ def reverse_lookup(terms: DataFrame, queries: DataFrame, patterns: DataFrame | N
     near = both.groupBy("query_id", "term").agg(F.max(F.round(T.partial_confidence(F.col("key"), F.col("query")), 6)).alias("confidence"))
     found = exact.unionByName(near.select("query_id", "term", F.lit(1).alias("branch"), "confidence"))
     if patterns is not None:
-        hit = queries.join(F.broadcast(patterns), F.contains("query", "pattern"))
+        hit = held(patterns, "pattern", queries, "query")
         found = found.unionByName(hit.select("query_id", "term", F.lit(2).alias("branch"), F.lit(0.8).alias("confidence")))
     if similar is not None:
         found = found.unionByName(similar.select("query_id", "term", F.lit(3).alias("branch"), "confidence"))
