@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import SENTENCE_END  # the pattern alone goes to the tasks, not its module
 from ..storage import spread
 from .terms import _islands
 
@@ -120,7 +121,7 @@ class Analyser:
 def sentence_spans(text: str):
     """(start, end) of the pieces between 。！？ and line breaks, without white space at their ends; blank ones go."""
     at = 0
-    for piece in re.split(T.SENTENCE_END, text):
+    for piece in re.split(SENTENCE_END, text):
         start = text.index(piece, at)
         at = start + len(piece)
         bare = piece.strip()
