@@ -30,7 +30,7 @@ from .common import hand_back, slices
 #: Bytes of text whose words are looked up together, and of a longer text's part.
 SLICE = 2_000_000
 SLICE_WORDS = 400_000
-#: Distinct words that a worker remembers between slices and tasks, about 200 bytes each.
+#: Distinct words that a task remembers between slices, about 200 bytes each.
 REMEMBERED = 1_000_000
 #: Bytes of a word that goes pair by pair.
 LONG_WORD = 64
@@ -209,7 +209,7 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """The worker's codec of this file: workers are kept between tasks, and with them the words they know."""
+    """The task's codec of this file. Functions go to tasks by value, each with variables of its own, so it does not outlast the task."""
     if path not in _CODECS:
         _CODECS.clear()
         _CODECS[path] = Codec(path)
