@@ -214,6 +214,16 @@ def test_containment(spark):
     assert got == {(a, b) for a in words for b in words if a and a != b and a in b}
 
 
+def test_containment_hands_on_what_is_held_alone(spark):
+    """Runs of characters that are no term stay in the task, nothing is broadcast by the join, and long and repeated terms count."""
+    words = ["x" * 9 + str(i) + "y" * (i % 50) for i in range(400)] + ["ab" * 40, "ba" * 20, "b", "b", "z" + "ab" * 700_000]
+    found = terms.containment(spark.createDataFrame([(w,) for w in words], "term string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    key = lambda a, b: (len(a), a[:12], len(b), b[:12])
+    assert sorted(key(*r) for r in found.collect()) == sorted(key(a, b) for a in words for b in words if len(a) < len(b) and a in b)
+
+
 def test_nested_terms(spark):
     rows = [(r.term, r.cvalue) for r in QUERIES["cvalue"](spark, SF).collect()]
     kept = {}
