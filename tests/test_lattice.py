@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 from math import log
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
@@ -159,3 +160,17 @@ def test_terms_are_valid_by_their_classes(spark):
     rows = [(t, i) for i, t in enumerate(good + bad[:-1] + ["ab"])]
     got = {(r.term, r.n) for r in lattice.valid_terms(spark.createDataFrame(rows, "term string, n int"), lexicon(spark, entries)).collect()}
     assert got == {(t, i) for t, i in rows if t in good}
+
+
+def test_tokens_leave_a_task_as_they_come(spark):
+    """A batch of texts is taken apart a few rows at a time, and all rows come; the lexicon is one table of words."""
+    lexicon = spark.createDataFrame([("word", "noun", "general", 100), ("word", "verb", "general", 90), ("wo", "noun", "general", 200)], "surface string, pos_major string, pos_sub string, cost int")
+    entries = lattice.shared(lexicon)
+    assert entries.value[0] == {"word": (("noun", "general", 100), ("verb", "general", 90)), "wo": (("noun", "general", 200),)}
+    texts = ["word word. word\nword"] * 300 + [None, "", "word " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sizes = [sum(len(t or "") for t in b.column(1).to_pylist()) for b in lattice._slices(pa.RecordBatch.from_pydict({"d": list(range(400)), "t": ["x" * 1000] * 399 + [None]}))]
+    assert sum(sizes) == 399_000 and max(sizes) <= lattice.CHARACTERS
+    got = lattice.analysed(docs, lexicon).groupBy("doc_id").count().collect()
+    want = {i: sum(1 for _ in lattice._sentence_tokens(lattice.Analyser(*entries.value), t)) for i, t in enumerate(texts) if t}
+    assert {r.doc_id: r["count"] for r in got} == want
