@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import written
 from .blocks import held
 
+#: The rarest tokens of a query, of which a text must have all before the others are looked for.
+RAREST = 3
 #: Queries that a task holds at a time, as a matrix.
 QUERY_BLOCK = 512
 #: Vectors of one group that a task multiplies them with.
@@ -19,6 +22,17 @@ def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+def chosen(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The postings of the queries' tokens alone (column token). Tokens that fit a broadcast, as their table's size tells, choose before
+    postings are counted, so what no query asks for is not shuffled."""
+    return index.join(written(queries.select("token").filter("token is not null").distinct(), "asked"), "token", "left_semi")
+
+
+def asked_for(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The chosen ones as a table, so that texts are read once however often it is used."""
+    return written(chosen(index, queries), "asked-postings")
+
+
 def _scored(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy("query_id", key).agg(F.round(F.sum(1 - 1 / (1 + F.col("tf"))), 6).alias("score"), F.count("*").alias("matched"))
 
@@ -27,13 +41,15 @@ def keyword_search(index: DataFrame, queries: DataFrame, k: int | None = None, m
     """Queries has query_id and token (distinct). score is the sum of 1 - 1 / (1 + tf), a substitute for a
     database's own rank; match_all keeps only texts with every token of the query. Ties go to the smaller key.
 
-    With match_all, the texts that have a query's rarest token are looked at, and no posting of its common ones is."""
+    With match_all, a text is looked at where it has all of a query's RAREST rarest tokens, and its others are looked for only then."""
     if match_all:
         df = index.join(queries.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-        of = queries.join(df, "token", "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
-        texts = index.join(of, "token").select("query_id", key, "wanted")
+        rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "token")
+        of = queries.join(df, "token", "left").withColumns({"turn": F.row_number().over(rarest), "wanted": F.count("*").over(Window.partitionBy("query_id"))})
+        texts = index.join(of.filter(F.col("turn") <= RAREST), "token").groupBy("query_id", key).agg(F.count("*").alias("n"), F.first("wanted").alias("wanted"))
+        texts = texts.filter(F.col("n") == F.least("wanted", F.lit(RAREST))).select("query_id", key, "wanted")
         hits = _scored(texts.join(queries, "query_id").join(index, [key, "token"]), key)
-        hits = hits.join(of.select("query_id", "wanted"), "query_id").filter("matched = wanted").drop("wanted")
+        hits = hits.join(queries.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id").filter("matched = wanted").drop("wanted")
     else:
         hits = _scored(index.join(queries, "token"), key)
     return hits if k is None else top_k(hits, k, ["query_id"], F.desc("score"), key)
