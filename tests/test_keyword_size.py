@@ -38,3 +38,10 @@ def test_all_words_of_many_queries_by_their_rarest(spark):
             if words <= tf.keys():
                 want[q, i] = (round(sum(1 - 1 / (1 + tf[t]) for t in words), 6), len(words))
     assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-6 for k in got)
+
+
+def test_words_are_counted_without_postings(spark, tmp_path):
+    spark.createDataFrame([(1, "A b  a"), (2, "b"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = queries._counts(spark, str(tmp_path))
+    assert "doc_id" not in _plan(counts).split("\n")[0] and _plan(counts).count("Aggregate") == 1
+    assert sorted(map(tuple, counts.collect())) == [("a", 2), ("b", 2)]
