@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -45,3 +46,12 @@ def test_words_are_counted_without_postings(spark, tmp_path):
     counts = queries._counts(spark, str(tmp_path))
     assert "doc_id" not in _plan(counts).split("\n")[0] and _plan(counts).count("Aggregate") == 1
     assert sorted(map(tuple, counts.collect())) == [("a", 2), ("b", 2)]
+
+
+def test_texts_that_stay_as_they_are_go_to_python_as_nulls(spark):
+    rows = [(1, "plain"), (2, "ﬁne　ｶﾞ"), (3, None), (4, ""), (5, "é \U0001d400")]
+    df = spark.createDataFrame(rows, "id int, text string").select("id", T.nfkc(F.col("text")).alias("text"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    assert "_nfkc(text" not in plan
+    assert dict(map(tuple, df.collect())) == {i: t and unicodedata.normalize("NFKC", t) for i, t in rows}
