@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Points that one task compares with as many others; cells at most, whose centres and radii go to all tasks.
-BLOCK, CELLS = 4096, 1024
+#: Points that are compared with as many others at a time; cells at most, whose centres and radii go to all tasks; and tiles of such blocks
+#: at most, one for each task: a vector is copied for each tile that it asks.
+BLOCK, CELLS, TILES = 4096, 1024, 16
+#: Distances that a task holds at a time.
+HELD = 1 << 21
 #: Neighbours that are kept of each point.
 NEIGHBOURS = 10
 #: Edges of a spanning tree that one task merges.
@@ -35,7 +38,9 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
 
 
 def _array(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64) if len(column) else np.zeros((0, 1))
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -56,7 +61,7 @@ def distinct_points(vectors: DataFrame, vector: str) -> DataFrame:
 
 
 class Cells:
-    """Points in the cell of the nearest of some centres, a cell in parts of about BLOCK points."""
+    """Points in the cell of the nearest of some centres, a cell in parts of about BLOCK points, and parts in tiles."""
 
     def __init__(self, points: DataFrame, block: int = BLOCK, cells: int = CELLS):
         n = points.count()
@@ -78,71 +83,117 @@ class Cells:
         for r in found:
             self.radius[r.cell], self.parts[r.cell] = r.far * (1 + NEAR) + NEAR, -(-r.n // block)
         parts = F.get(F.array(*(F.lit(int(x)) for x in self.parts)), F.col("cell"))
+        units = np.cumsum(self.parts) - self.parts
+        self.size = max(1, -(-int(self.parts.sum()) // TILES))
+        self.first, self.last = units // self.size, (units + self.parts - 1) // self.size  # the tiles of a cell
+        self.tile = F.floor((F.get(F.array(*(F.lit(int(x)) for x in units)), F.col("cell")) + F.col("part")) / self.size).cast("int")
         self.points, self.block = placed.drop("far").withColumn("part", F.pmod(F.xxhash64("point"), parts).cast("int")), block
 
     def meet(self, queries: DataFrame, points: DataFrame, work, schema: str, own: bool | None = None, whole: np.ndarray | None = None) -> DataFrame:
-        """What `work(queries, points)` gives for every query and block of points that may hold one as near as its bound.
+        """What `work` gives for the (queries, points) of each tile: every query with every cell's points that may hold one as near as its bound.
 
         queries: point, v, cell, core, bound, component; points besides: part. own: its own cell alone, or all but that; whole: for each
-        cell the component of all its points, -1 where there are several. A block that many ask is copied for each BLOCK of them."""
-        centres, radius = self.centres, self.radius
+        cell the component of all its points, -1 where there are several. A tile that many ask is copied for each as many of them."""
+        centres, radius, first, last = self.centres, self.radius, self.first, self.last
         names = ["point", "v", "cell", "core", "bound", "component"]
+        tiles = np.arange(last[-1] + 1)
+        holds = ((first[:, None] <= tiles) & (last[:, None] >= tiles)).astype(np.float32)
+
+        def asking(x, cell, core, bound, component, to: np.ndarray) -> np.ndarray:
+            """Which of the cells `to` each query asks."""
+            if own:
+                return cell[:, None] == to
+            low = np.maximum(_about(x, centres[to]) - radius[to], core[:, None])
+            ask = (low <= bound[:, None] * (1 + NEAR) + NEAR) & np.isfinite(radius[to])
+            if own is not None:
+                ask &= cell[:, None] != to
+            if whole is not None:
+                ask &= whole[to] != component[:, None]
+            return ask
+
+        def about(t) -> list:
+            return [_array(t.column(1)), *(t.column(i).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(i).to_numpy() for i in (2, 3, 4, 5))]
 
         def route(batches):
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x, cell, core, bound, component = _array(b.column(1)), *(b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
-                if own:
-                    row, to = np.arange(len(x)), cell
-                else:
-                    low = np.maximum(_about(x, centres) - radius[None], core[:, None])
-                    ask = (low <= bound[:, None] * (1 + NEAR) + NEAR) & np.isfinite(radius)[None]
-                    if own is not None:
-                        ask[np.arange(len(x)), cell] = False
-                    if whole is not None:
-                        ask &= whole[None] != component[:, None]
-                    row, to = np.nonzero(ask)
-                yield b.take(pa.array(row)).set_column(2, "cell", pa.array(to, pa.int32()))
-
-        asked = written(queries.select(*names).mapInArrow(route, "point bigint, v array<double>, cell int, core double, bound double, component bigint"), "asked")
-        chunks = np.ones(len(radius), np.int64)
-        for r in asked.groupBy("cell").count().collect():  # a row for each cell
-            chunks[r.cell] = -(-r["count"] // self.block)
-        of = lambda numbers: F.get(F.array(*(F.lit(int(x)) for x in numbers)), F.col("cell"))
-        upto = lambda n, name: F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias(name)
-        left = asked.select("*", F.pmod(F.xxhash64("point"), of(chunks)).cast("int").alias("chunk"), upto(of(self.parts), "part"))
-        right = points.select("point", "v", "core", "component", "copies", "cell", "part", upto(of(chunks), "chunk"))
-        key = ["cell", "part", "chunk"]
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(work, schema)
+                if b.num_rows:
+                    row, to = np.nonzero(asking(*about(b), np.arange(len(radius))).astype(np.float32) @ holds)
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, pa.array(to, pa.int32())], [*names, "tile"])
+
+        asked = written(queries.select(*names).mapInArrow(route, "point bigint, v array<double>, cell int, core double, bound double, component bigint, tile int"), "asked")
+        chunks = np.ones(len(tiles), np.int64)
+        for r in asked.groupBy("tile").count().collect():  # a row for each tile
+            chunks[r.tile] = -(-r["count"] // (self.block * self.size))
+        of = F.get(F.array(*(F.lit(int(x)) for x in chunks)), F.col("tile"))
+        left = asked.withColumn("chunk", F.pmod(F.xxhash64("point"), of).cast("int"))
+        right = points.withColumn("tile", self.tile).select("point", "v", "core", "component", "copies", "cell", "tile")
+        right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), of.cast("int") - 1)))
+
+        def met(q: pa.Table, p: pa.Table) -> pa.Table:
+            def blocks():
+                if q.num_rows and p.num_rows:
+                    home = p["cell"].to_numpy()
+                    order = np.argsort(home, kind="stable")
+                    some, at = np.unique(home[order], return_index=True)
+                    ask = asking(*about(q), some)
+                    for i, (a, b) in enumerate(zip(at, np.append(at[1:], len(home)))):
+                        if ask[:, i].any():
+                            yield q.filter(pa.array(ask[:, i])), p.take(pa.array(order[a:b]))
+
+            return work(blocks())
+
+        return left.groupBy("tile", "chunk").cogroup(right.groupBy("tile", "chunk")).applyInArrow(met, schema)
 
 
 _NEAREST = "point bigint, other bigint, distance double, copies bigint"
 
 
+def _squares(x: np.ndarray, y: np.ndarray):
+    """Squared distances as one product of matrices (a function of a slice of x), and by how much they may be wrong."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    most = max(xx.max(initial=0), yy.max(initial=0))
+    single = 1e-20 < most < 1e30 and x.shape[1] <= 1024
+    kind, one = (np.float32, 1e-5) if single else (np.float64, NEAR)
+    left = np.concatenate([x, xx[:, None], np.ones((len(x), 1))], axis=1).astype(kind)
+    right = np.concatenate([-2 * y, np.ones((len(y), 1)), yy[:, None]], axis=1).astype(kind).T.copy()
+    return (lambda s: left[s] @ right), 4 * one * most
+
+
 def _nearest(k: int):
-    """The k nearest others of each query in a block, by distance and place."""
-
-    def work(q: pa.Table, p: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        if q.num_rows and p.num_rows:
-            x, y, me, they = _array(q["v"]), _array(p["v"]), q["point"].to_numpy(), p["point"].to_numpy()
-            copies = p["copies"].to_numpy()
-            for at in range(0, len(x), 512):
-                d = _about(x[at : at + 512], y)
-                d[me[at : at + 512, None] == they[None]] = np.inf
-                far = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.finfo(float).max)
-                size = 1 + np.abs(x[at : at + 512]).max(initial=0) + np.abs(y).max(initial=0)
-                i, j = np.nonzero(d <= far[:, None] + NEAR * size)
-                exact = _apart(x[at + i], y[j])
-                order = np.lexsort((they[j], exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                first = np.searchsorted(i, i)  # of each query's run
-                keep = np.arange(len(i)) - first < k
-                for o, v in zip(out, (me[at + i[keep]], they[j[keep]], exact[keep], copies[j[keep]])):
-                    o.append(v)
-        flat = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({n: pa.array(v, t) for n, v, t in zip(("point", "other", "distance", "copies"), flat, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))})
+    """The k nearest others of each query in a tile, by distance and place."""
+
+    def first(rows: np.ndarray, they: np.ndarray, distance: np.ndarray, copies: np.ndarray) -> tuple:
+        order = np.lexsort((they, distance, rows))
+        rows = rows[order]
+        order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+        return rows[np.arange(len(rows)) - np.searchsorted(rows, rows) < k], they[order], distance[order], copies[order]
+
+    def work(blocks) -> pa.Table:
+        best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64))
+        for q, p in blocks:
+            x, y, me, they, copies, bound = _array(q["v"]), _array(p["v"]), *(t[c].to_numpy() for t, c in ((q, "point"), (p, "point"), (p, "copies"), (q, "bound")))
+            # The k-th of those found before bounds what is looked for.
+            some, at, n = np.unique(best[0], return_index=True, return_counts=True)
+            full = np.flatnonzero(n == k)
+            where = np.searchsorted(some[full], me)
+            if len(full):
+                hit = np.minimum(where, len(full) - 1)
+                bound = np.where(some[full][hit] == me, np.minimum(bound, best[2][at[full] + k - 1][hit]), bound)
+            squares, slack = _squares(x, y)
+            found = [best]
+            step = max(1, HELD // len(y))
+            for a in range(0, len(x), step):
+                d = squares(slice(a, a + step))
+                b = bound[a : a + step]
+                far = (b * b) * (1 + NEAR) + slack
+                if d.shape[1] > k + 1 and not np.isfinite(far).all():  # one of k + 1 may be the query itself
+                    far = np.minimum(far, np.partition(d, k, axis=1)[:, k].astype(np.float64) + 2 * slack)
+                i, j = np.divmod(np.flatnonzero(d <= np.minimum(far, np.finfo(d.dtype).max)[:, None].astype(d.dtype)), d.shape[1])
+                other = me[a + i] != they[j]
+                i, j = i[other], j[other]
+                found.append(first(me[a + i], they[j], _apart(x[a + i], y[j]), copies[j]))
+            best = first(*(np.concatenate(c) for c in zip(*found)))
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(("point", "other", "distance", "copies"), best, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))})
 
     return work
 
@@ -173,14 +224,15 @@ def cores(cells: Cells, near: DataFrame, samples: int) -> DataFrame:
 _EDGE = "component bigint, weight double, a bigint, b bigint, other bigint"
 
 
-def _leaving(q: pa.Table, p: pa.Table) -> pa.Table:
-    """For each component among the queries its least edge (weight, a, b) to a point of another one in the block."""
+def _leaving(blocks) -> pa.Table:
+    """For each component among the queries its least edge (weight, a, b) to a point of another one in the tile."""
     best: dict[int, tuple] = {}
-    if q.num_rows and p.num_rows:
+    for q, p in blocks:
         x, y = _array(q["v"]), _array(p["v"])
         me, they, cx, cy, kx, ky, bound = (t[n].to_numpy() for t, n in ((q, "point"), (p, "point"), (q, "component"), (p, "component"), (q, "core"), (p, "core"), (q, "bound")))
-        for at in range(0, len(x), 512):
-            s = slice(at, at + 512)
+        step = max(1, HELD // len(y))
+        for at in range(0, len(x), step):
+            s = slice(at, at + step)
             w = np.maximum(np.maximum(_about(x[s], y), kx[s, None]), ky[None])
             w[cx[s, None] == cy[None]] = np.inf
             groups, group = np.unique(cx[s], return_inverse=True)
@@ -272,7 +324,10 @@ _MERGE = "node bigint, left bigint, right bigint, left_size bigint, right_size b
 def _merge(e: pd.DataFrame) -> pd.DataFrame:
     """Union of some edges in their order; u and v are nodes with sizes."""
     e = e.sort_values("node")
-    up, top, size, out = {}, {}, {}, []
+    ends, at = np.unique(np.concatenate([e.u, e.v]), return_inverse=True)
+    sizes = np.zeros(len(ends), np.int64)
+    sizes[at] = np.concatenate([e.u_size, e.v_size])
+    up, top, size, out = list(range(len(ends))), ends.tolist(), sizes.tolist(), np.empty((len(e), 4), np.int64)
 
     def find(x):
         while up[x] != x:
@@ -280,16 +335,13 @@ def _merge(e: pd.DataFrame) -> pd.DataFrame:
             x = up[x]
         return x
 
-    for node, w, u, v, us, vs in zip(e.node, e.weight, e.u, e.v, e.u_size, e.v_size):
-        for x, n in ((u, us), (v, vs)):
-            if x not in up:
-                up[x], top[x], size[x] = x, x, n
-        x, y = find(u), find(v)
-        out.append((node, top[x], top[y], size[x], size[y], w))
+    for i, (node, u, v) in enumerate(zip(e.node, at[: len(e)], at[len(e) :])):
+        x, y = find(int(u)), find(int(v))
+        out[i] = top[x], top[y], size[x], size[y]
         if size[x] < size[y]:
             x, y = y, x
         up[y], size[x], top[x] = x, size[x] + size[y], node
-    return pd.DataFrame(out, columns=["node", "left", "right", "left_size", "right_size", "weight"])
+    return pd.DataFrame({"node": e.node.to_numpy(), **dict(zip(("left", "right", "left_size", "right_size"), out.T)), "weight": e.weight.to_numpy()})
 
 
 def merges(edges: DataFrame, n: int, most: int = EDGES) -> DataFrame:

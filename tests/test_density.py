@@ -167,3 +167,22 @@ def test_queries_over_embeddings(spark):
     depth = lambda c: 0 if c not in clusters else 1 + depth(clusters[c][0])
     leaves = {p: c for p, c in plain_labels(tree(5, 5), n, 0.0, True).items() if c >= 0}
     assert levels == {keys[p]: (c, round(clusters[c][1], 9), depth(c)) for p, c in leaves.items() if c in clusters}
+
+
+def test_a_vector_is_copied_for_each_tile_and_not_for_each_block(spark, monkeypatch):
+    """80 blocks in 4 tiles: the neighbours are exact, in single and in double precision, and nothing is sent to every block."""
+    monkeypatch.setattr(density, "TILES", 4)
+    sent, written = [], density.written
+    monkeypatch.setattr(density, "written", lambda df, name: (sent.append((name, t := written(df, name))), t)[1])
+    for scale in (1.0, 1e-12):
+        x = np.round(np.random.default_rng(4).normal(size=(400, 24)), 1) * scale
+        x[:50, 1:] = 0.0  # many equal distances
+        x[:50, 0] = np.arange(50) * scale
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "point long, v array<double>, copies long")
+        sent.clear()
+        got = {r.point: [n.other for n in r.near] for r in density.neighbours(density.Cells(df, 5), 7).collect()}
+        far = np.stack([density._apart(np.repeat(v[None], 400, 0), x) for v in x])  # ties as there
+        np.fill_diagonal(far, np.inf)
+        assert got == {i: np.lexsort((np.arange(400), far[i]))[:7].tolist() for i in range(400)}
+        asked = [t.count() for name, t in sent if name == "asked"]
+        assert len(asked) == 2 and max(asked) <= 400 * 4
