@@ -6,7 +6,8 @@ longest set can't reach the overlap that its shortest set needs. Two sets that l
 n - ceil(share * n) + 1 n-grams of the order; only sets that do are probed against each other.
 
 1. Chunks of documents send these n-grams, once for all their sets, to find those that several sets have. A frequent one
-   names the set with the most frequent n-grams as its hub, which is probed against the trees of all chunks that have it.
+   names the set with the most frequent n-grams as its hub, which is probed against the trees of the chunks that have
+   enough of the n-grams it is the hub of. Others only miss a shortcut: their sets meet in the second step.
 2. For each shared n-gram, a chunk then names its sets with a parity sketch, and of the sets that link with one hub, if
    they are many, the hub alone. Where sets that are not connected share an n-gram, they are probed: named ones against
    those that the sketch, which never loses a link, allows, all others against all that share it in the other's chunk.
@@ -38,6 +39,10 @@ PERCENT = 85
 RANKED = 1 << 17
 #: From so many sets (or chunks) on, an n-gram has a hub.
 HUB_FROM = 12
+#: A hub goes to the chunks with at least this share of its last n-grams: near copies have most of them, a common phrase few.
+HUB_SHARE = 0.5
+#: Bytes of text that a task packs at a time.
+PACK_BYTES = 32_000_000
 #: Linked sets of one chunk and hub that an n-gram names one by one; beyond, it names the hub alone.
 LINKED_BY_NAME = 256
 #: Sets of one part that a set is probed against at first: those that the sketch finds nearest.
@@ -253,14 +258,64 @@ def ranked(docs: DataFrame, k: int, keep: int, text: str) -> tuple[np.ndarray, n
     return hashes[by], np.minimum(n[by], 2**32 - 1).astype(np.uint32)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones and so on: zeros stand together, which shuffles as next to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """chunk, size and block: the rows of `chunked`, those of one chunk and task as one compressed block, for the shuffle."""
+
+    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("chunk")
+        chunk = table.column("chunk").to_numpy()
+        out = []
+        for a, b in zip(*runs(chunk)):
+            sink = pa.BufferOutputStream()
+            part = table.slice(a, b - a).select(["doc_id", "text"]).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema) as writer:
+                writer.write_table(part)
+            data = sink.getvalue()
+            out.append((int(chunk[a]), data.size, pa.Codec("zstd").compress(data, asbytes=True)))
+        return pa.RecordBatch.from_pylist([dict(zip(("chunk", "size", "block"), x)) for x in out], pa.schema([("chunk", pa.int32()), ("size", pa.int64()), ("block", pa.binary())]))
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield blocks(held)
+                held, size = [], 0
+        if held:
+            yield blocks(held)
+        hand_back()
+
+    return rows.mapInArrow(pack, "chunk int, size bigint, block binary")
+
+
+def unpacked(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
+    """What chunk_rows gives, of a chunk's blocks."""
+    codec = pa.Codec("zstd")
+    parts = [pa.ipc.open_stream(codec.decompress(block.as_buffer(), n)).read_all() for block, n in zip(table.column("block"), table.column("size").to_pylist())]
+    return chunk_rows(pa.concat_tables(parts)) if parts else ([], [])
+
+
 _SENT = "bucket int, chunk int, hashes binary, rows binary, counts binary, scores binary"
 _ASKED = "chunk int, hashes binary, row bigint, target int, wanted binary"
 _SHIPPED = "chunk int, hashes binary, hub bigint, shingles binary, wanted binary, later int"
 _FOUND = "bucket int, chunk int, kind int, node bigint, other bigint, doc_id bigint, n bigint, text_key bigint, hashes binary, rows binary, sizes binary, sketches binary, hubs binary"
 _KEPT = "kind int, node bigint, other bigint, doc_id bigint, n bigint, text_key bigint, more binary"
 DOCUMENT, LINK, NAMED, LINKED, LATER = range(5)
-#: In place of a target: what is wanted are pairs put off, or sets named by their nodes.
-PUT_OFF, NODES = -1, -2
+#: In place of a target: what is wanted are pairs put off, sets named by their nodes, or chunks and how many n-grams ask for each.
+PUT_OFF, NODES, COUNTED = -1, -2, -3
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 
 
@@ -317,14 +372,14 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(ranked(docs, k, RANKED, text))
     rows, n = chunked(docs, doc_id, text, chunk_bytes)
-    buckets = -(-n // CHUNKS_A_BUCKET)
+    rows, buckets = packed(rows), -(-n // CHUNKS_A_BUCKET)
 
     def tail(s: np.ndarray) -> np.ndarray:
         return s[-signature_size(len(s), percent) :]
 
     def classes(table: pa.Table):
         """Ids, texts, the row that each row's set is first seen in (-1: empty), sizes, and these rows' sets in order."""
-        ids, texts = chunk_rows(table)
+        ids, texts = unpacked(table)
         seen, first, sizes, sets, ordering = {}, np.full(len(texts), -1, np.int64), np.zeros(len(texts), np.int64), {}, Order(*order.value)
         for i, s in shingle_sets(texts, k):
             first[i], sizes[i] = seen.setdefault(s.tobytes(), i), len(s)
@@ -364,40 +419,49 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         bucket = bucket_of(mix(hashes), n)  # mixed anew: the last n-grams of a set have high hashes
         by = np.argsort(bucket, kind="stable")
         hashes, row, score, count, bucket = hashes[by], row[by], score[by], count[by], bucket[by]
-        return _table([(int(bucket[a]), key[0].as_py(), *(x[a:b].tobytes() for x in (hashes, row, count, score))) for a, b in zip(*runs(bucket))], _SENT)
+        score = (score.view(np.uint32) >> np.uint32(16)).astype(np.uint16)  # none is negative, so the upper half of the bits is in order
+        return _table([(int(bucket[a]), key[0].as_py(), hashes[a:b].tobytes(), *(planes(x[a:b]) for x in (row, count, score))) for a, b in zip(*runs(bucket))], _SENT)
 
     def meet(table: pa.Table) -> pa.Table:
         """To each chunk, its n-grams that other sets have too; to the chunk of a hub, where to send it."""
         parts = unpack(table, "hashes", np.uint64)
         names = table.column("chunk").to_numpy().astype(np.int64)
         hashes, chunk = joined(parts, np.uint64), np.repeat(names, [len(p) for p in parts])
-        row, count, score = (joined(unpack(table, c, d), d) for c, d in (("rows", np.uint32), ("counts", np.uint8), ("scores", np.float32)))
+        row, count, score = (joined([from_planes(x, d) for x in table.column(c).to_pylist()], d) for c, d in (("rows", np.uint32), ("counts", np.uint8), ("scores", np.uint16)))
         # Equal sets score alike: which of their chunks has the hub differs from score to score, not from n-gram to n-gram.
-        lot = mix(chunk.astype(np.uint64) | score.view(np.uint32).astype(np.uint64) << np.uint64(32))
-        by = np.lexsort((row, lot, -score, hashes))
+        lot = mix(chunk.astype(np.uint64) | score.astype(np.uint64) << np.uint64(32))
+        by = np.lexsort((row, lot, ~score, hashes))
         starts, ends = runs(hashes[by])
         sums = np.add.reduceat(count[by].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
         several = np.zeros(len(hashes), bool)
         several[by] = np.repeat(sums > 1, ends - starts)
-        asked: dict[tuple[int, int], None] = {}
-        for a, b in zip(starts[sums >= hub_from], ends[sums >= hub_from]):
-            hub = int(chunk[by[a]]) * SPAN + int(row[by[a]])
-            asked.update(((hub, c), None) for c in chunk[by[a:b]].tolist())
+        often = sums >= hub_from
+        first, lengths = by[starts[often]], (ends - starts)[often]
+        hub = np.repeat(chunk[first] * SPAN + row[first], lengths)
+        to = chunk[by[np.repeat(often, ends - starts)]]
+        order = np.lexsort((to, hub))
+        hub, to = hub[order], to[order]
+        at = np.flatnonzero(np.concatenate(([True], (hub[1:] != hub[:-1]) | (to[1:] != to[:-1])))) if len(hub) else np.zeros(0, np.int64)
+        hub, pairs = hub[at], np.stack([to[at], np.diff(np.append(at, len(order)))], axis=1).astype(np.int32)
+        asks = [(int(hub[a] // SPAN), None, int(hub[a] % SPAN), COUNTED, pairs[a:b].tobytes()) for a, b in zip(*runs(hub))]
         cut = np.cumsum([0, *map(len, parts)])
         out = [(int(c), p[several[a:b]].tobytes(), None, None, None) for c, p, a, b in zip(names, parts, cut, cut[1:]) if several[a:b].any()]
-        return _table(out + _asks(asked), _ASKED)
+        return _table(out + asks, _ASKED)
 
     def ship(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         """Sets that other chunks asked for: by row for chunks (target null) or nodes, or (row null) all with an n-gram for a target; the chunk's own shared n-grams (both null)."""
         chunk, ordering = key[0].as_py(), Order(*order.value)
         asked: dict[tuple[int, int], set[int] | None] = {}
         shared: dict[int, set[int]] = {}
+        counted: dict[int, list[bytes]] = {}
         out = []
         for h, r, t, w in zip(*(right.column(c).to_pylist() for c in ("hashes", "row", "target", "wanted"))):
             if t is None and r is None:
                 out.append((chunk, h, None, None, None, 0))
             elif t is None:
                 asked.update(((r, x), None) for x in np.frombuffer(w, np.int32).tolist())
+            elif t == COUNTED:
+                counted.setdefault(r, []).append(w)
             elif t == PUT_OFF:
                 out.append((chunk, None, r, h, w, 1))
             elif t == NODES:
@@ -407,8 +471,8 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
             else:
                 for x in np.frombuffer(h, np.uint64).tolist():
                     shared.setdefault(x, set()).add(t)
-        texts = chunk_rows(left)[1] if asked or shared else []
-        at = range(len(texts)) if shared else sorted({r for r, _ in asked})
+        texts = unpacked(left)[1] if asked or shared or counted else []
+        at = range(len(texts)) if shared else sorted({r for r, _ in asked} | set(counted))
         targets: dict[int, list[int]] = {}
         for r, t in sorted(asked):
             targets.setdefault(r, []).append(t)
@@ -417,6 +481,9 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
             s, r = ordering.sort(s)[0], at[i]
             last = tail(s)
             extra = {t for h in last[in_sorted(last, some)].tolist() for t in shared[h]}
+            if r in counted:
+                to, times = np.frombuffer(b"".join(counted[r]), np.int32).reshape(-1, 2).T
+                extra.update(np.flatnonzero(np.bincount(to, times) >= HUB_SHARE * len(last)).tolist())
             for t in extra | set(targets.get(r, ())):
                 rows_there = None if t in extra else asked[r, t]
                 out.append((t, None, chunk * SPAN + r, s.tobytes(), None if rows_there is None else np.array(sorted(rows_there), np.uint32).tobytes(), 0))
@@ -457,8 +524,8 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
             h, r = hashes[a:b][~many[a:b]], row[a:b][~many[a:b]]
             once = np.unique(r).tolist()
             if once:
-                about = np.array([(i, len(sets[i][0]), hub_of.get(base + i, -1)) for i in once], np.int64).tobytes()
-                out.append((int(bucket[a]), chunk, NAMED, None, None, None, None, None, h.tobytes(), r.astype(np.uint32).tobytes(), about, b"".join(bits[i] for i in once), None))
+                about = planes(np.array([(i, len(sets[i][0]), hub_of.get(base + i, -1)) for i in once], np.int64).ravel())
+                out.append((int(bucket[a]), chunk, NAMED, None, None, None, None, None, h.tobytes(), planes(r.astype(np.uint32)), about, b"".join(bits[i] for i in once), None))
             if many[a:b].any():
                 both = np.unique(np.stack([hashes[a:b][many[a:b]], hub[a:b][many[a:b]].astype(np.uint64)], axis=1), axis=0)
                 out.append((int(bucket[a]), chunk, LINKED, None, None, None, None, None, both[:, 0].tobytes(), None, None, None, both[:, 1].astype(np.int64).tobytes()))
@@ -471,12 +538,12 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         for chunk, kind, h, r, about, sk, hubs in zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "hashes", "rows", "sizes", "sketches", "hubs"))):
             if kind == NAMED:
                 at, place = 0, {}
-                for i, size, hub in np.frombuffer(about, np.int64).reshape(-1, 3).tolist():
+                for i, size, hub in from_planes(about, np.int64).reshape(-1, 3).tolist():
                     width, node = sketch_bits(size) // 8, chunk * SPAN + i
                     place[i] = known.add(node, hub if hub >= 0 else node, size, sk[at : at + width])
                     at += width
                 flat.append(np.frombuffer(h, np.uint64))
-                of.append(np.array([place[i] for i in np.frombuffer(r, np.uint32).tolist()], np.int64))
+                of.append(np.array([place[i] for i in from_planes(r, np.uint32).tolist()], np.int64))
             elif kind == LINKED:
                 for x, hub in zip(np.frombuffer(h, np.uint64).tolist(), np.frombuffer(hubs, np.int64).tolist()):
                     where.setdefault(x, []).append((hub, chunk))
@@ -530,7 +597,7 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         base, probes = key[0].as_py() * SPAN, probes_of(right)
         found = []
         if probes:
-            texts, ordering = chunk_rows(left)[1], Order(*order.value)
+            texts, ordering = unpacked(left)[1], Order(*order.value)
             at = range(len(texts)) if any(w is None for _, _, w in probes) else sorted({int(i) for _, _, w in probes for i in w})
             sets = {at[i]: ordering.sort(s) for i, s in shingle_sets([texts[r] for r in at], k)}
             found = links(base, sets, ordering, {i: tail(s) for i, (s, _) in sets.items()}, probes)

@@ -585,6 +585,32 @@ def test_ngram_join_in_a_large_group_of_near_copies(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_join(rows)
 
 
+def shuffled_mb(spark, run) -> float:
+    """What the stages of run() write for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    run()
+    return sum(n for key, n in written().items() if key not in before) / 1e6
+
+
+def test_ngram_join_sends_no_set_to_every_chunk_for_a_common_phrase(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RANKED", 1)  # as if there were so many phrases that most are outside the order
+    r = random.Random(12)
+    phrases = [" ".join(f"p{i}w{j}" for j in range(8)) for i in range(60)]
+    rows = [(i, " ".join([*(f"w{r.randrange(10**9)}" for _ in range(60)), *r.sample(phrases, 4)])) for i in range(1200)]
+    rows += [(2000 + i, rows[i][1]) for i in range(0, 40, 4)]
+    df = frame(spark, rows)
+    got = []
+    mb = shuffled_mb(spark, lambda: got.append(rows_of(ngram_join.join(df, chunk_bytes=12_000), "doc_id", "n_shingles", "component_id")))
+    assert got[0] == plain_join(rows)
+    assert mb < 1.3 * sum(len(t) for _, t in rows) / 1e6
+
+
 def test_prefix_tree_finds_every_link():
     r = random.Random(6)
     base = list(range(1, 300))
