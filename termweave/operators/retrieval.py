@@ -11,6 +11,8 @@ from .blocks import held
 
 #: The rarest tokens of a query, of which a text must have all before the others are looked for.
 RAREST = 3
+#: Numbers of eight bytes that are broadcast at most, to choose what is shuffled.
+BROADCAST_ROWS = 2_000_000
 #: Queries that a task holds at a time, as a matrix.
 QUERY_BLOCK = 512
 #: Vectors of one group that a task multiplies them with.
@@ -55,12 +57,44 @@ def keyword_search(index: DataFrame, queries: DataFrame, k: int | None = None, m
     return hits if k is None else top_k(hits, k, ["query_id"], F.desc("score"), key)
 
 
+def _query_words(queries: DataFrame, first: int, shortest: int) -> DataFrame:
+    q = queries.filter("query is not null").select("query_id", T.is_japanese(F.col("query")).alias("japanese"), T.tokens(F.col("query")).alias("t"))
+    short = F.filter(F.slice("t", 1, first), lambda x: F.length(x) >= shortest)
+    return q.select("query_id", "japanese", F.explode(F.array_distinct(F.when(F.col("japanese"), short).otherwise(F.col("t")))).alias("token"))
+
+
+def _among(rows: DataFrame, few: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose columns have a hash among those of few, so that of the others none is shuffled. Another value with the same hash may stay."""
+    hashes = written(few.select(F.xxhash64(*columns).alias("_hash")).distinct(), "asked-hashes")
+    hashes = F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes
+    return rows.withColumn("_hash", F.xxhash64(*columns)).join(hashes, "_hash", "left_semi").drop("_hash")
+
+
+def keyword_queries_in(docs: DataFrame, tokens: Column, queries: DataFrame, k: int = 20, key: str = "doc_id", first: int = 5, shortest: int = 2) -> DataFrame:
+    """What keyword_queries gives for the postings of docs, for many long queries: no word is shuffled that isn't among a query's
+    rarest, and of a text only where it has all of these for some query.
+
+    Rare is what few of the queries have, as these are read anyway; that choice changes the speed, not the result."""
+    words = written(_query_words(queries, first, shortest), "asked-words")
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("query_id").orderBy("df", F.desc(F.length("token")), "token")
+    of = words.filter("not japanese").join(df, "token").withColumns({"turn": F.row_number().over(rarest), "wanted": F.count("*").over(Window.partitionBy("query_id"))})
+    rare = written(of.filter(F.col("turn") <= RAREST).select("query_id", "token", F.least("wanted", F.lit(RAREST)).alias("wanted")), "rarest")
+    any_words = words.filter("japanese").select("query_id", "token")
+    said = docs.select(key, F.explode(tokens).alias("token"))
+    found = _among(said, rare.select("token").unionByName(any_words.select("token")), "token").groupBy(key, "token").agg(F.count("*").alias("tf"))
+    found = written(found, "rare-postings")
+    texts = found.join(rare, "token").groupBy("query_id", key).agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).filter("n = wanted").select(key)
+    whole = written(postings(_among(docs, texts, key), tokens, key), "asked-postings")
+    any_of = keyword_search(found, any_words, key=key)
+    all_of = keyword_search(whole, words.filter("not japanese").drop("japanese"), match_all=True, key=key)
+    return top_k(any_of.unionByName(all_of), k, ["query_id"], F.desc("score"), key)
+
+
 def keyword_queries(index: DataFrame, queries: DataFrame, k: int = 20, key: str = "doc_id", first: int = 5, shortest: int = 2) -> DataFrame:
     """J5 for texts as queries (query_id, query, its tokens between blanks): of a Japanese one any of its first tokens that
     have two characters and more, of any other all of its tokens, so one that a text lacks rules it out."""
-    q = queries.filter("query is not null").select("query_id", T.is_japanese(F.col("query")).alias("japanese"), T.tokens(F.col("query")).alias("t"))
-    short = F.filter(F.slice("t", 1, first), lambda x: F.length(x) >= shortest)
-    words = q.select("query_id", "japanese", F.explode(F.array_distinct(F.when(F.col("japanese"), short).otherwise(F.col("t")))).alias("token"))
+    words = _query_words(queries, first, shortest)
     any_of = keyword_search(index, words.filter("japanese").drop("japanese"), key=key)
     all_of = keyword_search(index, words.filter("not japanese").drop("japanese"), match_all=True, key=key)
     return top_k(any_of.unionByName(all_of), k, ["query_id"], F.desc("score"), key)

@@ -41,6 +41,25 @@ def test_all_words_of_many_queries_by_their_rarest(spark):
     assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-6 for k in got)
 
 
+def test_long_queries_over_texts_shuffle_their_rarest_words_alone(spark):
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice([f"c{r.randrange(9)}", f"w{r.randrange(300)}"]) for _ in range(r.randrange(1, 40)))) for i in range(200)]
+    docs += [(300 + i, docs[i][1] + " more") for i in range(60)] + [(400 + i, " ".join(docs[i][1].split()[1:])) for i in range(60)]
+    docs += [(7, "c1 c2 again"), (500, None), (501, ""), (502, "水素 燃料 の c1"), (503, "東京 水素 水素"), (None, docs[0][1])]
+    asked = [(i, t) for i, t in docs if i is not None and i % 10 == 0 or i in (502, 503)] + [(900, "c1 lacking"), (901, "  "), (902, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    words = T.tokens(F.col("text"))
+    mine = lambda x: sorted(map(tuple, x.select("query_id", "doc_id", "score", "rank").collect()))
+    want = mine(retrieval.keyword_queries(retrieval.postings(df, words), q, k=7))
+    assert len(want) > 30
+    assert mine(retrieval.keyword_queries_in(df, words, q, k=7)) == want
+    # Hashes of few words choose before anything is shuffled, so what the texts' scan hands on has no exchange below it.
+    found = retrieval._among(df.select("doc_id", F.explode(words).alias("token")), q.select(F.lit("w1").alias("token")), "token")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_words_are_counted_without_postings(spark, tmp_path):
     spark.createDataFrame([(1, "A b  a"), (2, "b"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     counts = queries._counts(spark, str(tmp_path))
