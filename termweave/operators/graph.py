@@ -9,6 +9,8 @@ from ..storage import written
 #: What an edge type passes on of a term's weight; any other type passes 0.2.
 RELATION_WEIGHTS = {"SYNONYM": 0.95, "IS_A": 0.8, "PART_OF": 0.7, "SIMILAR_TO": 0.6, "BELONGS_TO": 0.5, "RELATED_TO": 0.4, "CO_OCCURS_WITH": 0.3}
 OTHER_RELATION, DECAY = 0.2, 0.7
+#: Edges of one node that a row holds, about.
+EDGES_A_ROW = 10_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -74,26 +76,33 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.
 
     Rank starts at and returns to the seeds (column id), evenly; to all nodes if none of them is in the graph. Every node
     has an edge here, so no rank is lost. Stops when ranks change by less than n * tolerance in sum, or after `iterations`.
-    Each tenth round is written."""
-    e = both_ways(edges.select("source_id", "target_id", "weight"))
-    out = e.groupBy("src").agg(F.sum("weight").alias("out"))
-    e = written(e.join(out, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("out")).alias("share")), "pagerank-edges")
-    nodes = e.select(F.col("src").alias("id")).distinct()
-    marked = nodes.withColumn("seed", F.lit(1.0)) if seeds is None else nodes.join(seeds.select("id").distinct().withColumn("seed", F.lit(1.0)), "id", "left")
+    Each tenth round is written. A row holds edges of one node, so a round meets ranks with as many rows as there are nodes (more
+    for a node of very many edges) and sorts no edges: each task holds its part of the ranks, one row a node, as a hash table."""
+    e = both_ways(edges.select("source_id", "target_id", "weight")).filter("src is not null")
+    nodes = written(e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / EDGES_A_ROW).alias("rows")), "pagerank-nodes")
+    # Hashes stand for ids where no two nodes share one.
+    n, hashes = nodes.agg(F.count("*"), F.countDistinct(F.xxhash64("id"))).first()
+    key = (lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))) if hashes == n else F.col
+    e = e.select(key("src").alias("src"), key("dst").alias("dst"), "weight").join(nodes.select(key("id").alias("src"), "out", "rows").hint("shuffle_hash"), "src")
+    e = e.groupBy("src", "dst").agg((F.sum("weight") / F.first("out")).alias("share"), F.first("rows").alias("rows"))
+    e = e.groupBy("src", F.pmod(F.xxhash64("dst"), "rows").alias("row")).agg(F.collect_list(F.struct("dst", "share")).alias("edges"))
+    e = written(e.select("src", "edges"), "pagerank-edges")
+    marked = nodes.select("id", F.lit(1.0).alias("seed")) if seeds is None else nodes.select("id").join(seeds.select("id").distinct().withColumn("seed", F.lit(1.0)), "id", "left")
     marked = written(marked, "pagerank-seeds")
-    n, hits = marked.agg(F.count("*"), F.count("seed")).first()
+    hits = marked.agg(F.count("seed")).first()[0]
     start = F.coalesce("seed", F.lit(0.0)) / hits if hits else F.lit(1.0 / max(1, n))
-    base = written(marked.select("id", start.alias("home")), "pagerank-home")
-    ranks = base.select("id", F.col("home").alias("rank"))
+    base = written(marked.select("id", key("id").alias("key"), start.alias("home")), "pagerank-home")
+    ranks = base.select("id", "key", F.col("home").alias("rank"))
     for i in range(1, iterations + 1):
-        moved = e.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        new = base.join(moved, "id", "left").select("id", (alpha * F.coalesce("in", F.lit(0.0)) + (1 - alpha) * F.col("home")).alias("rank"))
+        moved = e.join(ranks.select(F.col("key").alias("src"), "rank").hint("shuffle_hash"), "src").select("rank", F.inline("edges"))
+        moved = moved.groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
+        new = base.join(moved.hint("shuffle_hash"), "key", "left").select("id", "key", (alpha * F.coalesce("in", F.lit(0.0)) + (1 - alpha) * F.col("home")).alias("rank"))
         if tolerance is not None or i % 10 == 0:
             new = written(new, "pagerank")
-        if tolerance is not None and (new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0) < n * tolerance:
-            return new
+        if tolerance is not None and (new.join(ranks.select("key", F.col("rank").alias("old")), "key").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0) < n * tolerance:
+            return new.drop("key")
         ranks = new
-    return ranks
+    return ranks.drop("key")
 
 
 def revised(scores: DataFrame, importance: DataFrame) -> DataFrame:
