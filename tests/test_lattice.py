@@ -174,3 +174,40 @@ def test_tokens_leave_a_task_as_they_come(spark):
     got = lattice.analysed(docs, lexicon).groupBy("doc_id").count().collect()
     want = {i: sum(1 for _ in lattice._sentence_tokens(lattice.Analyser(*entries.value), t)) for i, t in enumerate(texts) if t}
     assert {r.doc_id: r["count"] for r in got} == want
+
+
+def test_many_stretches_have_the_paths_of_each(spark):
+    """All at once as one by one; a hash that stands for another word doesn't change a path, and long stretches and links go alone."""
+    r = random.Random(9)
+    for links in ([], [("noun", "verb", -40)]):
+        for _ in range(12):
+            entries = [("".join(r.choice("ab1あ東") for _ in range(r.randrange(1, 5))), r.choice(("noun", "verb", "prefix")), "general", r.randrange(-50, 4000)) for _ in range(r.randrange(25))]
+            analyser = lattice.Analyser(entries, links)
+            together = lattice.Together(analyser)
+            if len(together.names) > 1 and not links:
+                together.names[0], together.names[1] = together.names[1], together.names[0]
+            stretches = sorted({"".join(r.choice("ab1あ東x・") for _ in range(r.randrange(1, r.choice((9, 80))))) for _ in range(40)} | {""})
+            paths = together.paths(stretches)
+            for s, a, b in zip(stretches, paths.first, paths.first[1:]):
+                got = [(int(n), paths.classes[m], bool(k)) for n, m, k in zip(paths.size[a:b], paths.major[a:b], paths.known[a:b])]
+                assert got == [(len(w), m, k) for w, m, _, k in analyser.path(s)[1]]
+
+
+def test_counts_are_taken_where_a_document_stands(spark):
+    """The sums of tokens, nouns and runs are those of the rows, also where a document comes in several; no token is shuffled."""
+    from termweave.operators import terms
+
+    texts = ["新燃料電池と燃料電池、燃料。12 12燃料電池 the the燃料", "東京東京 東京都東。東京都東 東京 x燃料電池x燃料電池", None, "", " \n", "x" * 300 + "燃料 燃料", "は。に"]
+    for ids in (range(7), (1, 1, 2, 2, 3, 3, None)):
+        docs = frame(spark, list(zip(ids, texts)))
+        tokens = lattice.analysed(docs, lexicon(spark))
+        rows = tokens.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(~F.col("known")).alias("unknown"))
+        want = rows.join(lattice.content_words(tokens).select("doc_id", F.size("words").cast("long").alias("content")), "doc_id", "left")
+        assert sorted(map(str, lattice.token_counts(docs, lexicon(spark)).collect())) == sorted(map(str, want.collect()))
+        nouns, runs = lattice.noun_frequency(docs, lexicon(spark)), lattice.ngram_frequency(docs, lexicon(spark))
+        assert sorted(nouns.collect()) == sorted(terms.candidate_frequency(lattice.noun_spans(docs, lexicon(spark))).collect()) != []
+        assert sorted(runs.collect()) == sorted(terms.candidate_frequency(lattice.ngram_spans(tokens)).collect()) != []
+    docs = frame(spark, list(enumerate(texts)))
+    for found in (lattice.noun_frequency(docs, lexicon(spark)), lattice.ngram_frequency(docs, lexicon(spark))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(term" in plan and "hashpartitioning(doc_id" not in plan
