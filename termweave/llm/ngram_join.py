@@ -47,6 +47,10 @@ PACK_BYTES = 32_000_000
 LINKED_BY_NAME = 256
 #: Sets of one part that a set is probed against at first: those that the sketch finds nearest.
 NEAREST = 6
+#: Words of sketches, of 8 bytes each, that are compared at a time.
+COMPARED = 1 << 20
+#: Pairs that are held before those that came several times become one.
+PAIRS = 1 << 18
 #: Chunks whose shared n-grams meet in one task of the second step.
 CHUNKS_A_BUCKET = 8
 #: Names of documents, of about 40 bytes each, that are broadcast at most.
@@ -179,6 +183,12 @@ def sketch_bits(n: int) -> int:
     return max(64, 1 << (2 * n - 1).bit_length())
 
 
+def sketch_widths(sizes: np.ndarray) -> np.ndarray:
+    """Bytes of the sketches of sets of these sizes."""
+    distinct, of = np.unique(sizes, return_inverse=True)
+    return np.array([sketch_bits(n) // 8 for n in distinct.tolist()], np.int64)[of]
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     """Parity of the n-grams that fall on each bit."""
     size = sketch_bits(len(shingles))
@@ -190,22 +200,33 @@ class Sketched:
     """Sets that may have to be compared: their places, parts (what they are connected with), sizes and sketches."""
 
     def __init__(self):
-        self.nodes, self.parts, self.sizes, self.bits = [], [], [], []
+        self.nodes, self.parts, self.sizes, self.buffers, self.at, self.n = [], [], [], [], [], 0
 
-    def add(self, node: int, part: int, size: int, bits: bytes) -> int:
-        self.nodes.append(node)
-        self.parts.append(part)
-        self.sizes.append(size)
-        self.bits.append(bits)
-        return len(self.nodes) - 1
+    def add(self, nodes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: pa.Buffer | bytes) -> None:
+        """Sets whose sketches stand behind each other in a buffer, which is kept as it is."""
+        widths = sketch_widths(sizes)
+        of = np.full(len(nodes), len(self.buffers), np.int64)
+        self.buffers.append(memoryview(sketches))
+        for held, x in ((self.nodes, nodes), (self.parts, parts), (self.sizes, sizes), (self.at, np.stack([of, np.cumsum(widths) - widths], axis=1))):
+            held.append(x)
+        self.n += len(nodes)
 
     def close(self) -> None:
-        self.parts, self.sizes = np.array(self.parts, np.int64), np.array(self.sizes, np.int64)
-        self.widths = np.array([len(b) // 8 for b in self.bits], np.int64)
+        self.nodes, self.parts, self.sizes = (joined(x, np.int64) for x in (self.nodes, self.parts, self.sizes))
+        self.at = np.concatenate(self.at) if self.at else np.zeros((0, 2), np.int64)
+        self.widths = sketch_widths(self.sizes) // 8
+
+    def hold(self, rows: np.ndarray) -> None:
+        """Takes the sketches of the sets that are going to be compared out of the buffers."""
+        self.spot, self.held = np.full(self.n, -1, np.int64), {}
+        for own in np.unique(self.widths[rows]).tolist():
+            some = rows[self.widths[rows] == own]
+            self.spot[some] = np.arange(len(some))
+            self.held[own] = np.frombuffer(b"".join(self.buffers[i][at : at + own * 8] for i, at in self.at[some].tolist()), np.uint64).reshape(len(some), -1)
 
     def matrix(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Sketches of one width, folded to a smaller one."""
-        m = np.frombuffer(b"".join(self.bits[i] for i in rows.tolist()), np.uint64).reshape(len(rows), -1)
+        m = self.held[int(self.widths[rows[0]])][self.spot[rows]]
         while m.shape[1] > width:
             m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
         return m
@@ -227,8 +248,9 @@ class Sketched:
                     continue
                 width = int(min(own, other))
                 left, right = self.matrix(a, width), self.matrix(b, width)
-                for at in range(0, len(a), 64):
-                    some = a[at : at + 64]
+                step = max(1, min(64, COMPARED // (len(b) * width)))
+                for at in range(0, len(a), step):
+                    some = a[at : at + step]
                     n, m = self.sizes[some][:, None], self.sizes[b][None, :]
                     fits = (self.parts[some][:, None] != self.parts[b][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                     fits &= ~b_few[None, :] | (some[:, None] < b[None, :])  # of two that are few, once
@@ -535,52 +557,83 @@ def placed(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str
         """Which sets have to be probed where, so that all that share an n-gram are connected or compared."""
         known, flat, of = Sketched(), [], []
         where: dict[int, list[tuple[int, int]]] = {}
-        for chunk, kind, h, r, about, sk, hubs in zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "hashes", "rows", "sizes", "sketches", "hubs"))):
-            if kind == NAMED:
-                at, place = 0, {}
-                for i, size, hub in from_planes(about, np.int64).reshape(-1, 3).tolist():
-                    width, node = sketch_bits(size) // 8, chunk * SPAN + i
-                    place[i] = known.add(node, hub if hub >= 0 else node, size, sk[at : at + width])
-                    at += width
-                flat.append(np.frombuffer(h, np.uint64))
-                of.append(np.array([place[i] for i in from_planes(r, np.uint32).tolist()], np.int64))
-            elif kind == LINKED:
-                for x, hub in zip(np.frombuffer(h, np.uint64).tolist(), np.frombuffer(hubs, np.int64).tolist()):
+        # Row by row from Arrow's own memory, as most of a bucket is sketches that are never looked at.
+        columns = [table.column(c) for c in ("chunk", "hashes", "rows", "sizes", "sketches", "hubs")]
+        kinds = table.column("kind").to_numpy()
+        for i in np.flatnonzero((kinds == NAMED) | (kinds == LINKED)).tolist():
+            chunk, h, r, about, sk, hubs = (c[i] for c in columns)
+            chunk = chunk.as_py()
+            if kinds[i] == NAMED:
+                row, size, hub = from_planes(about.as_buffer(), np.int64).reshape(-1, 3).T
+                # The rows that a chunk names are in order.
+                of.append((known.n + np.searchsorted(row, from_planes(r.as_buffer(), np.uint32).astype(np.int64))).astype(np.int32))
+                flat.append(np.frombuffer(h.as_buffer(), np.uint64))
+                known.add(chunk * SPAN + row, np.where(hub >= 0, hub, chunk * SPAN + row), size, sk.as_buffer())
+            else:
+                for x, hub in zip(np.frombuffer(h.as_buffer(), np.uint64).tolist(), np.frombuffer(hubs.as_buffer(), np.int64).tolist()):
                     where.setdefault(x, []).append((hub, chunk))
         known.close()
-        flat, of = joined(flat, np.uint64), joined(of, np.int64)
+        flat, of = joined(flat, np.uint64), joined(of, np.int32)
         by = np.lexsort((of, flat))
         flat, of = flat[by], of[by]
+        del by
+        starts, ends = runs(flat)
+        flat = flat[starts]
+        mixed = np.zeros(len(starts), bool)
+        if len(starts):
+            parts = known.parts[of]
+            mixed = np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts)
+            del parts
         asked: dict[tuple[int, int], set[int] | None] = {}
         whole: dict[tuple[int, int], set[int]] = {}
-        seen, near = set(), []
-        starts, ends = runs(flat)
-        parts = known.parts[of]
-        mixed = np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts) if len(starts) else np.zeros(0, bool)
-        for x, a, b, differ in zip(flat[starts].tolist(), starts, ends, mixed):
-            group = of[a:b]
-            for hub, chunk in where.get(x, ()):
-                asked.update(dict.fromkeys(((known.nodes[i], chunk) for i in group.tolist() if known.parts[i] != hub), None))
-            if not differ or (name := group.tobytes()) in seen:
-                continue
-            seen.add(name)
-            near += known.pairs(group, percent)
-        left, right, apart = (np.concatenate([x[k] for x in near]) if near else np.zeros(0, np.int64) for k in range(3))
-        _, once = np.unique(left * max(1, len(known.nodes)) + right, return_index=True)
-        left, right, apart = left[once], right[once], apart[once]
-        by = np.lexsort((right, apart, known.parts[right], left)) if len(left) else once
+        if where:
+            for x, a, b in zip(flat.tolist(), starts.tolist(), ends.tolist()):
+                for hub, chunk in where.get(x, ()):
+                    group = of[a:b]
+                    asked.update(dict.fromkeys(((node, chunk) for node in known.nodes[group[known.parts[group] != hub]].tolist()), None))
+        # Many n-grams are shared by the same sets: these are compared once. Two sums of hashes tell groups apart, so no group is kept.
+        starts, ends = starts[mixed], ends[mixed]
+        own = mix(np.arange(known.n, dtype=np.uint64) + np.uint64(1))
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x[of])]) for x in (own, mix(own ^ np.uint64(0x9E3779B97F4A7C15)))]
+        names = np.stack([*(x[ends] - x[starts] for x in sums), (ends - starts).astype(np.uint64)], axis=1)
+        del sums
+        once = np.sort(np.unique(names, axis=0, return_index=True)[1])
+        starts, ends = starts[once], ends[once]
+        del names, once
+        near, held, most = [], 0, PAIRS
+
+        def distinct(near: list) -> tuple[np.ndarray, ...]:
+            left, right, apart = (np.concatenate([x[k] for x in near]) if near else np.zeros(0, np.int64) for k in range(3))
+            once = np.unique(left.astype(np.int64) * known.n + right, return_index=True)[1]
+            return left[once], right[once], apart[once]
+
+        compared = np.zeros(known.n, bool)
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            compared[of[a:b]] = True
+        known.hold(np.flatnonzero(compared))
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            for pairs in known.pairs(of[a:b], percent):
+                near.append(pairs)
+                held += len(pairs[0])
+                # Two sets may meet in several groups.
+                if held > most:
+                    near = [distinct(near)]
+                    held = len(near[0][0])
+                    most = max(PAIRS, 2 * held)
+        left, right, apart = distinct(near)
+        by = np.lexsort((right, apart, known.parts[right], left))
         left, right = left[by], right[by]
-        first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (known.parts[right[1:]] != known.parts[right[:-1]])))) if len(left) else once
+        first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (known.parts[right[1:]] != known.parts[right[:-1]])))) if len(left) else np.zeros(0, np.int64)
         # The nearest of each part are probed; the others only if that leaves the two unconnected.
         later = []
         for a, b in zip(first, np.append(first[1:], len(left))):
-            node = known.nodes[left[a]]
-            for j in right[a : min(b, a + NEAREST)].tolist():
-                to = node, known.nodes[j] // SPAN
+            node = int(known.nodes[left[a]])
+            for other in known.nodes[right[a : min(b, a + NEAREST)]].tolist():
+                to = node, other // SPAN
                 if asked.get(to, ()) is not None:
-                    asked.setdefault(to, set()).add(known.nodes[j] % SPAN)
+                    asked.setdefault(to, set()).add(other % SPAN)
             if b > a + NEAREST:
-                others = np.array([known.nodes[j] for j in right[a + NEAREST : b].tolist()], np.int64)
+                others = known.nodes[right[a + NEAREST : b]]
                 later.append((node // SPAN, np.array([known.parts[right[a]]], np.int64).tobytes(), node, PUT_OFF, others.tobytes()))
         for h, places in where.items():
             hubs = sorted({hub for hub, _ in places})
