@@ -68,3 +68,18 @@ def test_runs_are_counted_without_a_step_for_each(spark):
         hashes = M._run_hashes(names, token, left)
         assert sum(len(next(hashes)[0]) for _ in range(6)) > 0
     assert time.process_time() - began < 6
+
+
+def test_short_texts_are_looked_at_together(spark, monkeypatch):
+    """A thousand texts take a few passes, not one each; no term is found across two of them, nor over itself."""
+    texts = ["abab ab", "b abc", None, "", "aaaa", "a"] * 170 + ["ab" * 700_000]
+    terms = ["ab", "ba", "abab", "bb", "aa", "bab", "ca", "ab ab"]
+    passes = []
+    monkeypatch.setattr(M, "spread", lambda df: df)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema, *a, whole=type(spark.range(1)).mapInArrow: (passes.append(f) if schema == "term string, n bigint" else None) or whole(df, f, schema, *a))
+    got = {r.term: r.total for r in M.counted(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {t: n for t in terms if (n := sum((x or "").count(t) for x in texts))}
+    made = []
+    monkeypatch.setattr(M, "_Windows", lambda text, whole=M._Windows: made.append(len(text)) or whole(text))
+    list(passes[0]([pa.RecordBatch.from_arrays([pa.array(texts[:-1])], ["t"])]))
+    assert len(made) == 1
